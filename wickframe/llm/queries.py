@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from wickframe.llm import packing, token_files
+from wickframe.llm import chat, fingerprint, mixing, packing, token_files
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
+    "op3_chat": chat.op3_chat,
     "op4_packing": packing.op4_packing,
     "op6_token_files": token_files.op6_token_files,
+    "op10_fingerprint": fingerprint.op10_fingerprint,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op1_mixing": mixing.OP1_SQL, "op3_chat": chat.OP3_SQL}

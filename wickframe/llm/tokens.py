@@ -8,14 +8,15 @@ from __future__ import annotations
 import re
 import sys
 import types
+from array import array
 
 import numpy as np
 
 DEFAULT_FILE = "byte_bpe_50k.json"
 #: Chunks kept in memory by a worker.  The cache fills with the first, mostly frequent, ones; others are encoded anew.
 CACHE = 600_000
-#: White space other than the space itself, by Python's or Unicode's definition.
-_OTHER = "\n\t\r\v\f\x1c\x1d\x1e\x1f\x85\xa0                　"
+#: White space other than space and line end, by Python's or Unicode's definition.
+_OTHER = "\t\r\v\f\x1c\x1d\x1e\x1f\x85\xa0                　"
 
 
 def default_path() -> str:
@@ -23,6 +24,22 @@ def default_path() -> str:
 
     return public_tokenizers.path(DEFAULT_FILE)
 
+#: Marks that the tokenizer never joins to letters before them.
+_MARKS = ",.;:!?"
+
+
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
+class _Cache(dict):
+    """Ids by word; words beyond CACHE are kept in `extra` for one call only."""
+
+    extra: dict = {}
+
+    def __missing__(self, word: str) -> bytes:
+        return self.extra[word]
+
 
 class Encoder:
     """encode(texts) -> one uint32 array for each text, equal to Tokenizer.encode(text, add_special_tokens=False).ids.
@@ -32,8 +49,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.led: dict[str, bytes] = {}  # chunks " x", by x
+        self.led = _Cache()  # the ids of " x", by x
+        self.bare = _Cache()  # the ids of x
         self.cut = re.compile(r"(?<=\S)(?= \S)")
+        self.line = self._ids(["\n"])[0]
+        self.marks = dict(zip(_MARKS, self._ids(list(_MARKS)), strict=True))
 
     @classmethod
     def of_worker(cls, path: str) -> Encoder:
@@ -45,37 +65,61 @@ class Encoder:
         return encoders[path]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     @staticmethod
     def _plain(t: str) -> bool:
-        """Whether every space stands between two characters that are not white space."""
-        if "  " in t or t[:1] == " " or t[-1:] == " ":
+        """Whether every space and line end stands between two characters that are not white space, and no other
+        white space occurs."""
+        if "  " in t or "\n\n" in t or "\n " in t or " \n" in t or t[:1] in " \n" or t[-1:] in " \n":
             return False
-        return not any(c in t and (c + " " in t or " " + c in t) for c in _OTHER)
+        return not any(c in t for c in _OTHER)
+
+    def _fill(self, cache: _Cache, words: set[str], lead: str) -> None:
+        """Sees to the ids of these words.  A mark after letters is a token of its own, so such a word is made of the
+        two."""
+        cache.extra = {}
+        missing = words.difference(cache)
+        if not missing:
+            return
+        marked = [x for x in missing if x[-1:] in self.marks and x[:-1].isalpha()]
+        missing.difference_update(marked)
+        missing.update({x[:-1] for x in marked}.difference(cache))
+        names = list(missing)
+        new = dict(zip(names, self._ids([lead + x for x in names] if lead else names), strict=True))
+        for x in marked:
+            base = x[:-1]
+            new[x] = (new.get(base) or cache[base]) + self.marks[x[-1]]
+        if len(cache) < CACHE:
+            cache.update(new)
+        else:
+            cache.extra = new
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        led, split = self.led, []
+        lines, n_lines = [], []  # of a line, its first word and the others
         for t in texts:
             if self._plain(t):
-                head, *rest = t.split(" ")
+                split = [x.split(" ") for x in t.split("\n")]
+                n_lines.append(len(split))
+                lines += split
             else:
                 head, *rest = self.cut.split(t)
-                rest = [x[1:] for x in rest]
-            split.append((head, rest))
-        missing = list({x for _, rest in split for x in rest if x not in led})
-        if missing:
-            new = dict(zip(missing, self._ids([" " + x for x in missing]), strict=True))
-            if len(led) < CACHE:
-                led.update(new)
-            else:
-                new.update((x, led[x]) for _, rest in split for x in rest if x in led)
-                led = new
-        get = led.__getitem__
-        return [np.frombuffer(h + b"".join(map(get, rest)), np.uint32) for h, (_, rest) in zip(self._ids([h for h, _ in split]), split, strict=True)]
-
-
-def batches(texts: list, most: int = 1 << 21):
+                n_lines.append(1)
+                lines.append([head, *(x[1:] for x in rest)])
+        heads = [x.pop(0) for x in lines]
+        self._fill(self.bare, set(heads), "")
+        self._fill(self.led, set().union(*lines), " ")
+        led, made = self.led.__getitem__, []
+        for head, x in zip(map(self.bare.__getitem__, heads), lines, strict=True):
+            made.append(head + b"".join(map(led, x)))
+        out, at = [], 0
+        for n in n_lines:
+            out.append(np.frombuffer(made[at] if n == 1 else self.line.join(made[at : at + n]), np.uint32))
+            at += n
+        return out
+
+
+def batches(texts: list, most: int = 6 << 20):
     """Runs of rows with about that many characters."""
     i, size = 0, 0
     for j, t in enumerate(texts):
