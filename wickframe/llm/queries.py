@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from wickframe.llm import chat, fingerprint, mixing, packing, token_files
+from wickframe.llm import chat, fingerprint, langid, mixing, packing, token_files, topk, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_language_id": langid.op2_language_id,
     "op3_chat": chat.op3_chat,
     "op4_packing": packing.op4_packing,
     "op6_token_files": token_files.op6_token_files,
+    "op7_topk": topk.op7_topk,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op10_fingerprint": fingerprint.op10_fingerprint,
 }
-ORACLE_SQL = {"op1_mixing": mixing.OP1_SQL, "op3_chat": chat.OP3_SQL}
+ORACLE_SQL = {"op1_mixing": mixing.OP1_SQL, "op3_chat": chat.OP3_SQL, "op7_topk": topk.OP7_SQL}
