@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wickframe.llm import chat, fingerprint, langid, mixing, packing, token_files, topk, toxicity
+from wickframe.llm import chat, fingerprint, jaccard, langid, mixing, packing, token_files, topk, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_token_files": token_files.op6_token_files,
     "op7_topk": topk.op7_topk,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_jaccard": jaccard.op9_jaccard,
     "op10_fingerprint": fingerprint.op10_fingerprint,
 }
 ORACLE_SQL = {"op1_mixing": mixing.OP1_SQL, "op3_chat": chat.OP3_SQL, "op7_topk": topk.OP7_SQL}
