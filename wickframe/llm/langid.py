@@ -21,6 +21,8 @@ from wickframe.llm.common import crc_mod, mix, only, runs, utf8
 TRAIN_ROWS, GRAMS, SLOTS, HASHES = 20_000, 20_000, 1 << 19, 2
 #: An n-gram is entered for a language if its rate there is this share of its highest rate in any language.
 SHARE = 0.3
+#: A text of which the winner has less than this share of the n-grams is in none of the languages.
+LEAST = 0.2
 
 #: Bytes that are not letters become spaces; those of longer UTF-8 sequences stay.
 _LETTERS = np.full(256, 32, np.uint8)
@@ -135,37 +137,57 @@ def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS, n_grams: int = GRAMS, s
     return Filters.build({name: gram[keep & (lang == name)] for name in set(lang)}, slots, hashes)
 
 
+def _predict(text: pa.Array, letters: np.ndarray, filters: Filters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of the language (-1: und), score and coverage of each (lower-case) text."""
+    data, offsets = utf8(text)
+    n = len(offsets) - 1
+    pred, score, coverage = np.full(n, -1), np.zeros(n), np.zeros(n)
+    for i, j in runs(offsets):
+        at = offsets[i : j + 1]
+        g, first = grams(data[at[0] : at[-1]], at - at[0])
+        c = filters.counts(g, first)
+        if c.shape[1]:
+            most, total = c.max(1), c.sum(1)
+            pred[i:j], score[i:j], coverage[i:j] = c.argmax(1), most / np.where(total > 0, total, 1), most / np.maximum(np.diff(first), 1)
+    pred[~letters], score[~letters], coverage[~letters] = -1, 0, 0
+    return pred, score, coverage
+
+
+def _inputs() -> tuple:
+    """Of a column `text`: its lower case, and whether it has a letter."""
+    return F.lower(F.coalesce("text", F.lit(""))).alias("lower_text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters")
+
+
 def identify(docs: DataFrame, filters: Filters) -> DataFrame:
     """doc_id, lang_pred, score, coverage of every row, from the whole text alone.  Score is the winner's share of all
     languages' counts; coverage its share of the text's n-grams.  `und` with score 0 if text is null or has no letter,
     or if nothing was learned; equal counts go to the language that sorts first."""
-    rows = only(docs, "doc_id", "text")
-    rows = rows.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    rows = only(docs, "doc_id", "text").select("doc_id", *_inputs())
     names = np.array([*filters.languages, "und"], object)
 
     def predict(parts):
-        for batch in parts:
-            data, offsets = utf8(batch.column(1))
-            pred, score, coverage = [], [], []
-            for i, j in runs(offsets):
-                at = offsets[i : j + 1]
-                g, first = grams(data[at[0] : at[-1]], at - at[0])
-                c = filters.counts(g, first)
-                total = c.sum(1)
-                best = c.argmax(1) if c.shape[1] else np.full(j - i, -1)
-                most = c.max(1) if c.shape[1] else total
-                pred.append(best)
-                score.append(most / np.where(total > 0, total, 1))
-                coverage.append(most / np.maximum(np.diff(first), 1))
-            letters = np.array(batch.column(2).to_pylist(), bool)
-            at = np.where(letters, np.concatenate([*pred, []]).astype(int), -1)
-            known = at >= 0
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names[at], pa.string()), pa.array(np.where(known, np.concatenate([*score, []]), 0.0)), pa.array(np.where(known, np.concatenate([*coverage, []]), 0.0))],
-                ["doc_id", "lang_pred", "score", "coverage"])
-
-    kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double, coverage double")
+        for b in parts:
+            pred, score, coverage = _predict(b.column(1), np.array(b.column(2).to_pylist(), bool), filters)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names[pred], pa.string()), pa.array(score), pa.array(coverage)], ["doc_id", "lang_pred", "score", "coverage"])
+
+    return rows.mapInArrow(predict, f"doc_id {dict(rows.dtypes)['doc_id']}, lang_pred string, score double, coverage double")
+
+
+def accepted(docs: DataFrame, filters: Filters, least_coverage: float = LEAST) -> DataFrame:
+    """The rows of docs, unchanged, whose text is in one of the known languages: not `und`, and that language has at
+    least this share of its n-grams.  Without any known language, all rows with letters are accepted."""
+    have = [c.lower() for c in docs.columns]
+    fresh = docs.toDF(*[f"x{i}" for i in range(len(have))])
+    rows = fresh.withColumn("text", F.col(f"x{have.index('text')}")).select(*fresh.columns, *_inputs()).where("letters")
+
+    def keep(parts):
+        for b in parts:
+            n = b.num_columns - 2
+            pred, _, coverage = _predict(b.column(n), np.ones(b.num_rows, bool), filters)
+            good = (pred >= 0) & (coverage >= least_coverage) if filters.languages else np.ones(b.num_rows, bool)
+            yield b.select(range(n)).filter(pa.array(good))
+
+    return rows.mapInArrow(keep, fresh.schema).toDF(*docs.columns)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

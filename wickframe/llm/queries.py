@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from wickframe.llm import chat, fingerprint, jaccard, langid, mixing, packing, token_files, topk, toxicity
+from wickframe.llm import chat, fingerprint, jaccard, langid, mixing, packing, suffixes, token_files, topk, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_language_id": langid.op2_language_id,
     "op3_chat": chat.op3_chat,
     "op4_packing": packing.op4_packing,
+    "op5_suffix_dedup": suffixes.op5_suffix_dedup,
     "op6_token_files": token_files.op6_token_files,
     "op7_topk": topk.op7_topk,
     "op8_toxicity": toxicity.op8_toxicity,
