@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from wickframe.plans.queries import QUERIES, flagship
+from wickframe.plans.sql import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
