@@ -407,3 +407,29 @@ QUERIES = {
     "exit_fixed": exit_query("fixed"), "exit_partial": exit_query("partial"), "exit_trailing": exit_query("trail"), "exit_early": exit_query("early_out"), "mfe_mae": excursions, "mfe_quantiles": quantiles,
     "exit_grid": exit_grid, "backtest_trades": backtest, "backtest_stats": backtest_stats, "control_arm": control, "funding_asof": funding, "run_up": runup, "pre_move": premove(0), "pre_move_lag": premove(24), "tier_medians": tiers,
 }
+
+
+# ---------------------------------------------------------------- reversal mode
+def tape_symbols(s, d):
+    """The tape's symbols with their last turnover; one in four counts as a new listing."""
+    b = src.daily(s, d)
+    g = b.groupBy("symbol").agg(F.sum("quote_volume").alias("quote_volume"))
+    return g.withColumn("new_listing", F.crc32("symbol") % 4 == 0)
+
+
+def reversal_results(s, d):
+    from wickframe.operators import reversal
+
+    return reversal.results(src.stacked(s, d), tape_symbols(s, d), dataclasses.replace(TAPE, reversal=dataclasses.replace(TAPE.reversal, core_min=0.0)))
+
+
+def reversal_query(s, d):
+    p = reversal_results(s, d).select("*", "plan.*")
+    return shown(p.withColumn("top", F.array_join("top_signals", ",")).withColumn("lost", F.array_join(F.transform("penalties", lambda x: x["key"]), ",")), "direction", "score", "grade", "stage", "absorption", "core_pct", "golden_cross", "near_ema200", "noisy", "top", "lost", "entry", "stop", "tp1", "tp2", "tp3", "risk_reward", "valid", keys=("symbol",))
+
+
+def reversal_view(s, d):
+    return funnel.view(reversal_results(s, d), TAPE, min_score=0, hide_noisy=False, sort="volume").select("rank", "symbol", "direction", "score", "grade")
+
+
+QUERIES |= {"reversal_scan": reversal_query, "reversal_view": reversal_view}
