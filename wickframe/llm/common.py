@@ -32,10 +32,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_base(spark)}/wickframe/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: df as a Parquet table in the shared folder, read again.  A lost executor costs nothing of it."""
+def written(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+    """Cuts lineage: df as a Parquet table in the shared folder, read again.  A lost executor costs nothing of it.
+    parts: files at most, for tables whose size is known to need no more; small ones would else have a file, and later
+    a task with its own shuffle files, for each shuffle partition."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.coalesce(parts) if parts else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -59,6 +61,17 @@ def get_file(folder: str, name: str) -> bytes:
         return f.read()
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: a Python worker lives on and shares its executor's memory."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 # ---------------------------------------------------------------- columns
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns, whatever else the table has (first of those with equal names, without regard to case)."""

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickframe.llm.common import crc_ids, only, written
+from wickframe.llm.common import crc_ids, only, trim, written
 from wickframe.llm.tokens import Encoder, batches, default_path
 
 CAPACITY, SHARD, ISLANDS, POPULATION, GENERATIONS, EPOCHS = 1024, 8192, 3, 6, 8, 2
@@ -123,10 +123,9 @@ def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str |
     def cut(parts):
         encoder, end, row = Encoder.of_worker(path), np.array([end_id], np.uint32), 0
         for batch in parts:
-            doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for i, j in batches(texts):
+            for doc_ids, texts in batches(batch):
                 out = [[] for _ in range(6)]
-                for doc_id, ids in zip(doc_ids[i:j], encoder.encode(texts[i:j]), strict=True):
+                for doc_id, ids in zip(doc_ids, encoder.encode(texts), strict=True):
                     ids, row = np.concatenate([ids, end]), row + 1
                     at, piece = 0, 0
                     while at < len(ids):
@@ -134,6 +133,7 @@ def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str |
                         for col, x in zip(out, (doc_id, piece, at, n, crc_ids(ids[at : at + n]), row), strict=True):
                             col.append(x)
                         at, piece = at + n, piece + 1
+                trim()
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
 
     rows = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -167,6 +167,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, island
 
         return one
 
+    n_tasks = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("sizes", pa.list_(pa.int32())), ("packings", pa.list_(pa.binary())), ("n_bins", pa.int32()), ("fill", pa.float64())])
     state = sizes.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "sizes", F.expr("cast(array() as array<binary>)").alias("packings"), F.lit(0).alias("n_bins"), F.lit(0.0).alias("fill"))
     for epoch in range(epochs):
@@ -174,8 +175,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, island
             guest = state.select("shard", ((F.col("island") + 1) % islands).alias("island"), "sizes", F.slice("packings", 1, 1).alias("packings"))
             state = state.select("shard", "island", "sizes", "packings").unionByName(guest)
             state = state.groupBy("shard", "island").agg(F.first("sizes").alias("sizes"), F.flatten(F.collect_list("packings")).alias("packings"), F.lit(0).alias("n_bins"), F.lit(0.0).alias("fill"))
-        else:
-            state = state.repartition("shard", "island")
+        # few rows but much work each: as many tasks as the session asks for, not as few as the bytes would fill
+        state = state.repartition(n_tasks, "shard", "island")
         state = written(state.mapInArrow(run(epoch), state_type), "islands")
     best = state.groupBy("shard").agg(F.min_by(F.element_at("packings", 1), F.struct("n_bins", "fill", "island")).alias("packing"))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wickframe.llm.common import crc_ids, only, shared_path, written
+from wickframe.llm.common import crc_ids, only, shared_path, trim, written
 from wickframe.llm.tokens import Encoder, batches, default_path
 
 #: Bytes of ids after which a frame is closed.
@@ -113,12 +113,13 @@ class Reader:
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int | None = 0, level: int = 1) -> DataFrame:
     """Writes the ids of each whole text, and end_id after it, into files of folder, in ascending doc_id (null first;
-    equal ids by text).  Null and empty texts give the end id only.  Returns the manifest, a table in the shared
+    equal ids by a hash of the text).  Null and empty texts give the end id only.  Returns the manifest, a table in the shared
     folder: part (ascending with doc_id), file, n_docs, n_ids, start (ids in the files before).  A file counts only
     if the manifest lists it: what a lost task left behind is never read."""
     path = tokenizer or default_path()
     rows = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    ordered = rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text") if _tied(rows) else rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    order = ("doc_id", F.xxhash64("text"))
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     end = np.array([] if end_id is None else [end_id], np.uint32)
 
     def write(parts):
@@ -128,15 +129,15 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         encoder, store = Encoder.of_worker(path), fs.FileSystem.from_uri(folder)
         k, name, writer, out, n = TaskContext.get().partitionId(), f"ids-{uuid.uuid4().hex}.tok", None, None, 0
         for batch in parts:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            if texts and writer is None:
+            if batch.num_rows and writer is None:
                 store[0].create_dir(store[1], recursive=True)
                 out = store[0].open_output_stream(f"{store[1]}/{name}", compression=None)
                 writer = Writer(out, level)
-            for i, j in batches(texts):
-                for doc_id, x in zip(ids[i:j], encoder.encode(texts[i:j]), strict=True):
+            for ids, texts in batches(batch):
+                for doc_id, x in zip(ids, encoder.encode(texts), strict=True):
                     writer.add(doc_id, np.concatenate([x, end]))
-            n += len(ids)
+                trim()
+            n += batch.num_rows
         if writer is not None:
             writer.close()
             out.close()
@@ -147,14 +148,6 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
-def _tied(rows: DataFrame) -> bool:
-    """Whether a doc_id occurs twice, or is null (reads that column only)."""
-    n, some, different = rows.agg(F.count(F.lit(1)), F.count("doc_id"), F.approx_count_distinct("doc_id", 0.01)).first()
-    if n and different < 0.9 * n:
-        return True
-    return n != some or rows.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
-
-
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files that the manifest lists."""
     spark = manifest.sparkSession

@@ -5,12 +5,16 @@ So a text is the concatenation of such chunks, and each distinct chunk needs to
 
 from __future__ import annotations
 
+import gc
 import re
 import sys
 import types
 from array import array
 
 import numpy as np
+import pyarrow as pa
+
+from wickframe.llm.common import runs, utf8
 
 DEFAULT_FILE = "byte_bpe_50k.json"
 #: Chunks kept in memory by a worker.  The cache fills with the first, mostly frequent, ones; others are encoded anew.
@@ -33,12 +37,13 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class _Cache(dict):
-    """Ids by word; words beyond CACHE are kept in `extra` for one call only."""
+    """Ids by word.  A word that isn't there is noted, and found to be None."""
 
-    extra: dict = {}
+    def __init__(self):
+        self.missed: set[str] = set()
 
-    def __missing__(self, word: str) -> bytes:
-        return self.extra[word]
+    def __missing__(self, word: str) -> None:
+        self.missed.add(word)
 
 
 class Encoder:
@@ -53,6 +58,10 @@ class Encoder:
         self.bare = _Cache()  # the ids of x
         self.cut = re.compile(r"(?<=\S)(?= \S)")
         self.line = self._ids(["\n"])[0]
+        self.line_id = int(np.frombuffer(self.line, np.uint32)[0])
+        self.starts = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)  # tokens that begin with a space
+        for token, k in self.tokenizer.get_vocab().items():
+            self.starts[k] = token.startswith("\u0120")
         self.marks = dict(zip(_MARKS, self._ids(list(_MARKS)), strict=True))
 
     @classmethod
@@ -62,10 +71,33 @@ class Encoder:
         encoders = store.__dict__.setdefault("encoders", {})
         if path not in encoders:
             encoders[path] = cls(path)
+            gc.freeze()  # the cache is much to walk through
+            gc.set_threshold(50_000, 20, 50)
         return encoders[path]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out = []
+        for i in range(0, len(texts), 4096):  # an Encoding is large
+            out += [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)]
+        return out
+
+    def _many(self, words: list[str], led: bool) -> dict[str, bytes]:
+        """The ids of each x, or of " x" if led.  Words of letters and digits go many to a text: led ones each begin
+        with a token that begins with a space, and no other token does; others stand on lines of their own."""
+        easy = [x for x in words if x.isalnum()]
+        groups = [easy[i : i + 500] for i in range(0, len(easy), 500)]
+        out = {}
+        for i in range(0, len(groups), 16):
+            part = groups[i : i + 16]
+            texts = [" " + " ".join(g) if led else "\n" + "\n".join(g) for g in part]
+            for group, e in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, np.uint32)
+                raw, cuts = ids.tobytes(), (np.flatnonzero(self.starts[ids] if led else ids == self.line_id) * 4).tolist()
+                skip = 0 if led else 4
+                out.update(zip(group, [raw[a + skip : b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)], strict=True))
+        hard = [x for x in words if not x.isalnum()]
+        out.update(zip(hard, self._ids([" " + x for x in hard] if led else hard), strict=True))
+        return out
 
     @staticmethod
     def _plain(t: str) -> bool:
@@ -75,25 +107,22 @@ class Encoder:
             return False
         return not any(c in t for c in _OTHER)
 
-    def _fill(self, cache: _Cache, words: set[str], lead: str) -> None:
-        """Sees to the ids of these words.  A mark after letters is a token of its own, so such a word is made of the
-        two."""
-        cache.extra = {}
-        missing = words.difference(cache)
-        if not missing:
-            return
-        marked = [x for x in missing if x[-1:] in self.marks and x[:-1].isalpha()]
-        missing.difference_update(marked)
-        missing.update({x[:-1] for x in marked}.difference(cache))
-        names = list(missing)
-        new = dict(zip(names, self._ids([lead + x for x in names] if lead else names), strict=True))
+    def _found(self, cache: _Cache, led: bool) -> dict[str, bytes]:
+        """The ids of the words that cache has missed; it keeps them if it has room.  A mark after letters is a token
+        of its own, so such a word is made of the two."""
+        missed, cache.missed = cache.missed, set()
+        if not missed:
+            return {}
+        marked = [x for x in missed if x[-1:] in self.marks and x[:-1].isalpha()]
+        plain = missed.difference(marked)
+        plain.update({x[:-1] for x in marked if x[:-1] not in cache})
+        new = self._many(list(plain), led)
         for x in marked:
             base = x[:-1]
             new[x] = (new.get(base) or cache[base]) + self.marks[x[-1]]
         if len(cache) < CACHE:
             cache.update(new)
-        else:
-            cache.extra = new
+        return new
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         lines, n_lines = [], []  # of a line, its first word and the others
@@ -107,11 +136,15 @@ class Encoder:
                 n_lines.append(1)
                 lines.append([head, *(x[1:] for x in rest)])
         heads = [x.pop(0) for x in lines]
-        self._fill(self.bare, set(heads), "")
-        self._fill(self.led, set().union(*lines), " ")
-        led, made = self.led.__getitem__, []
-        for head, x in zip(map(self.bare.__getitem__, heads), lines, strict=True):
-            made.append(head + b"".join(map(led, x)))
+        first = [*map(self.bare.__getitem__, heads)]
+        led = self.led.__getitem__
+        ids = [[*map(led, x)] for x in lines]
+        bare_new, led_new = self._found(self.bare, False), self._found(self.led, True)
+        made = []
+        for head, word, x, words in zip(first, heads, ids, lines, strict=True):
+            if None in x:
+                x = [led_new[w] if v is None else v for v, w in zip(x, words, strict=True)]
+            made.append((bare_new[word] if head is None else head) + b"".join(x))
         out, at = [], 0
         for n in n_lines:
             out.append(np.frombuffer(made[at] if n == 1 else self.line.join(made[at : at + n]), np.uint32))
@@ -119,13 +152,9 @@ class Encoder:
         return out
 
 
-def batches(texts: list, most: int = 6 << 20):
-    """Runs of rows with about that many characters."""
-    i, size = 0, 0
-    for j, t in enumerate(texts):
-        size += len(t)
-        if size >= most:
-            yield i, j + 1
-            i, size = j + 1, 0
-    if i < len(texts):
-        yield i, len(texts)
+def batches(batch: pa.RecordBatch, most: int = 2 << 20):
+    """(ids, texts) of runs of a batch's rows (doc_id, text) with about that many bytes; null is empty."""
+    _, offsets = utf8(batch.column(1))
+    for i, j in runs(offsets, most):
+        part = batch.slice(i, j - i)
+        yield part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
