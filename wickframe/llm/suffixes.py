@@ -3,7 +3,8 @@
 Texts go to block files in the shared folder.  A local-minimum rule picks anchors from each text: whatever `length`
 bytes one looks at, their anchor depends on these bytes alone, so equal strings have equal anchors at equal places.
 Only anchors that occur twice matter; around each, the segment that can hold a string with this anchor (168 bytes
-for strings of 100) is cut out, and equal segments are collapsed before anything moves.
+for strings of 100) is looked at, and equal segments are collapsed: in each block, then, by 128-bit hashes, everywhere.
+Only what is left, different contents around the same anchor, is cut out and moved.
 
 The segments of a range of anchors are a collection of documents whose suffix order is built column by column: each
 round puts one symbol in front of every document's suffix, and from the symbols in the old order (this column of the
@@ -26,11 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wickframe.llm.common import get_file, mix, odd, only, pack, put_file, runs, shared_path, utf8, written
+from wickframe.llm.common import get_file, mix, odd, only, pack, put_file, runs, shared_path, trim, utf8, written
 
 LENGTH, KMER = 100, 32
 #: Bytes of text in a block file, and whose anchors make up about one fragment; a fixed share of the input each.
-BLOCK, FRAGMENT = 8 << 20, 8 << 20
+BLOCK, FRAGMENT = 4 << 20, 4 << 20
 #: Longest run of text whose anchors are found at once (places take 24 bits).
 PIECE = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
@@ -106,7 +107,7 @@ def repeated(rows: np.ndarray, rank: np.ndarray, begin: np.ndarray, end: np.ndar
     if m < 2:
         return first, last
     columns = np.ascontiguousarray(rows.T)
-    order = np.arange(m)
+    order = np.arange(m, dtype=np.int32)
     # empty suffixes are alike; the cap is enough, as common prefixes beyond it say nothing more
     common = np.full(m, length, np.uint8)
     common[0] = 0
@@ -175,6 +176,8 @@ def _write_blocks(docs: DataFrame, folder: str, n_fragments: int, length: int) -
             for f in np.flatnonzero(np.diff(edges)).tolist():
                 i, j = edges[f], edges[f + 1]
                 yield _record((f, 0, block, pack(h[i:j]), pack(n[i:j] > 1)))
+            del table, data, h, n
+            trim()
 
         for b in parts:
             # long batches in pieces, so that a block stays near its size
@@ -221,8 +224,8 @@ def _read_block(folder: str, block: int) -> pa.Table:
 
 
 def _segments(shared: DataFrame, folder: str, n_fragments: int, length: int) -> DataFrame:
-    """Kind 0, by fragment: hashes, doc_ids, places, texts, first and last column, rows of the distinct segments of a
-    block.  Kind 1, by block: the texts' ranges that equal an earlier segment of the same block."""
+    """Kind 0, by fragment: anchors, doc_ids, places, texts, first and last column, 16 bytes that stand for the content,
+    of the distinct segments of a block.  Kind 1, by block: ranges that equal an earlier segment of the same block."""
     left, width = length - KMER, 2 * length - KMER
 
     def cut(table: pa.Table) -> pa.Table:
@@ -239,7 +242,7 @@ def _segments(shared: DataFrame, folder: str, n_fragments: int, length: int) ->
         lo, hi = offsets[doc], offsets[doc + 1]
         h1, h2 = np.empty(len(p), np.uint64), np.empty(len(p), np.uint64)
         k1, k2 = odd(31, width), odd(32, width)
-        step = 8192
+        step = 4096
         with np.errstate(over="ignore"):
             for i in range(0, len(p), step):
                 s = segments(data, p[i : i + step], lo[i : i + step], hi[i : i + step], left, width)
@@ -248,6 +251,7 @@ def _segments(shared: DataFrame, folder: str, n_fragments: int, length: int) ->
                 words = mix(wide.view(np.uint64))
                 h1[i : i + step] = (words * k1[: words.shape[1]]).sum(1, dtype=np.uint64)
                 h2[i : i + step] = (mix(words + k2[: words.shape[1]]) * k2[: words.shape[1]]).sum(1, dtype=np.uint64)
+        trim()
         order = np.lexsort((p, h2, h1))
         new = np.append(True, (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])) if len(p) else np.zeros(0, bool)
         copies, keep = np.sort(order[~new]), np.sort(order[new])
@@ -258,11 +262,83 @@ def _segments(shared: DataFrame, folder: str, n_fragments: int, length: int) ->
         edges = np.searchsorted(np.sort(frag), np.arange(n_fragments + 1))
         for f in np.flatnonzero(np.diff(edges)).tolist():
             k = keep[edges[f] : edges[f + 1]]
-            s = segments(data, p[k], lo[k], hi[k], left, width)
-            out.append((f, 0, block, pack(h[k]), pack(ids[doc[k]].astype(np.int64)), pack(p[k] - lo[k]), pack(doc[k].astype(np.int64)), pack((begin - p + left)[k].astype(np.int64)), pack((end - p + left)[k].astype(np.int64)), pack(s)))
+            out.append((f, 0, block, pack(h[k]), pack(ids[doc[k]].astype(np.int64)), pack(p[k] - lo[k]), pack(doc[k].astype(np.int64)), pack((begin - p + left)[k].astype(np.uint8)), pack((end - p + left)[k].astype(np.uint8)), pack(np.stack([h1[k], h2[k]], 1))))
         return pa.Table.from_batches([_record(*out)] if out else [], schema=_PART)
 
-    return shared.groupBy("key").applyInArrow(cut, _PART_SQL)
+    return shared.repartition(n_fragments, "key").groupBy("key").applyInArrow(cut, _PART_SQL)
+
+
+def _columns(rows: list[dict], **kinds) -> list[np.ndarray]:
+    return [np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in kinds.items()]
+
+
+def _distinct(found: DataFrame, n_fragments: int, length: int) -> DataFrame:
+    """By block.  Kind 1: ranges of segments whose content an earlier one has.  Kind 0: texts, places and anchors of
+    the first of each content, where an anchor has several: only their bytes must be compared."""
+    left = length - KMER
+
+    def pick(parts):
+        rows = []
+        for b in parts:
+            through = b.filter(pc.equal(b.column("kind"), 1))
+            if through.num_rows:
+                yield through
+            rows += b.filter(pc.equal(b.column("kind"), 0)).to_pylist()
+        if not rows:
+            return
+        h, ids, p, doc, begin, end, content = _columns(rows, a=np.uint64, b=np.int64, c=np.int64, d=np.int64, e=np.uint8, f=np.uint8, g=np.uint64)
+        content = content.reshape(-1, 2)
+        names = np.array([r["block"] for r in rows])[np.repeat(np.arange(len(rows)), [len(r["a"]) // 8 for r in rows])]
+        del rows
+        order = np.lexsort((p, doc, names, ids, content[:, 1], content[:, 0], h))
+        ho, co = h[order], content[order]
+        anchor = np.append(True, ho[1:] != ho[:-1])
+        new = anchor | np.append(True, (co[1:] != co[:-1]).any(1))
+        kinds = np.add.reduceat(new.astype(np.int64), np.flatnonzero(anchor))
+        several = np.repeat(kinds > 1, np.diff(np.append(np.flatnonzero(anchor), len(ho))))
+        for kind, some in ((1, order[~new]), (0, order[new & several])):
+            if not len(some):
+                continue
+            some = some[np.argsort(names[some], kind="stable")]
+            blocks, at = np.unique(names[some], return_index=True)
+            for name, i, j in zip(blocks.tolist(), at, np.append(at[1:], len(some)), strict=True):
+                k = some[i:j]
+                from_, to = (p[k] - left + begin[k], p[k] - left + end[k]) if kind else (p[k], h[k])
+                yield _record((name, kind, name, pack(doc[k]), pack(from_), pack(to)))
+        trim()
+
+    return found.repartition(n_fragments, "key").mapInArrow(pick, _PART_SQL)
+
+
+def _bytes(wanted: DataFrame, folder: str, n_fragments: int, length: int) -> DataFrame:
+    """Kind 0, by fragment: anchors, doc_ids, places, texts, first and last column, and bytes of the wanted segments.
+    Kind 1 passes through."""
+    left, width = length - KMER, 2 * length - KMER
+
+    def cut(table: pa.Table) -> pa.Table:
+        through = table.filter(pc.equal(table.column("kind"), 1))
+        rows = table.filter(pc.equal(table.column("kind"), 0)).to_pylist()
+        if not rows:
+            return through
+        block = rows[0]["key"]
+        doc, place, h = _columns(rows, a=np.int64, b=np.int64, c=np.uint64)
+        docs = _read_block(folder, block)
+        data, offsets = utf8(docs.column("c1"))
+        ids = docs.column("c0").to_numpy()
+        lo, hi = offsets[doc], offsets[doc + 1]
+        p = lo + place
+        begin, end = np.maximum(p - left, lo) - p + left, np.minimum(p - left + width, hi) - p + left
+        frag = _fragments(h, n_fragments)
+        keep = np.argsort(frag, kind="stable")
+        edges = np.searchsorted(frag[keep], np.arange(n_fragments + 1))
+        out = []
+        for f in np.flatnonzero(np.diff(edges)).tolist():
+            k = keep[edges[f] : edges[f + 1]]
+            out.append((f, 0, block, pack(h[k]), pack(ids[doc[k]].astype(np.int64)), pack(place[k]), pack(doc[k]), pack(begin[k].astype(np.uint8)), pack(end[k].astype(np.uint8)), pack(segments(data, p[k], lo[k], hi[k], left, width))))
+        trim()
+        return pa.concat_tables([through, pa.Table.from_batches([_record(*out)], schema=_PART)])
+
+    return wanted.repartition(n_fragments, "key").groupBy("key").applyInArrow(cut, _PART_SQL)
 
 
 def _marked(found: DataFrame, n_fragments: int, length: int) -> DataFrame:
@@ -278,23 +354,19 @@ def _marked(found: DataFrame, n_fragments: int, length: int) -> DataFrame:
             rows += b.filter(pc.equal(b.column("kind"), 0)).to_pylist()
         if not rows:
             return
-        col = lambda c, t: np.concatenate([np.frombuffer(r[c], t) for r in rows])
-        h, ids, p, doc, begin, end = col("a", np.uint64), col("b", np.int64), col("c", np.int64), col("d", np.int64), col("e", np.int64), col("f", np.int64)
-        s = col("g", np.uint8).reshape(-1, width)
+        h, ids, p, doc, begin, end, s = _columns(rows, a=np.uint64, b=np.int64, c=np.int64, d=np.int64, e=np.uint8, f=np.uint8, g=np.uint8)
+        begin, end, s = begin.astype(np.int64), end.astype(np.int64), s.reshape(-1, width)
         names = np.array([r["block"] for r in rows])
         of = np.repeat(np.arange(len(rows)), [len(r["a"]) // 8 for r in rows])
         del rows
-        order = np.argsort(h, kind="stable")
-        lead = np.append(True, h[order][1:] != h[order][:-1])
-        n = np.diff(np.append(np.flatnonzero(lead), len(h)))
-        some = order[np.repeat(n > 1, n)]  # an anchor with one segment left has nothing to meet
-        if not len(some):
-            return
-        ids, p, doc, begin, end, s, of = ids[some], p[some], doc[some], begin[some], end[some], s[some], of[some]
-        rank = np.empty(len(some), np.int64)
-        rank[np.lexsort((p, doc, names[of], ids))] = np.arange(len(some))
+        rank = np.empty(len(h), np.int64)
+        rank[np.lexsort((p, doc, names[of], ids))] = np.arange(len(h))
+        trim()
         first, last = repeated(s, rank, begin, end, length)
+        del s
         hit = np.flatnonzero(first >= 0)
+        if not len(hit):
+            return
         hit = hit[np.argsort(names[of[hit]], kind="stable")]
         blocks, at = np.unique(names[of[hit]], return_index=True)
         for name, i, j in zip(blocks.tolist(), at, np.append(at[1:], len(hit)), strict=True):
@@ -311,7 +383,7 @@ def _cover(docs: pa.Table, ranges: list[tuple[np.ndarray, np.ndarray, np.ndarray
     for doc, lo, hi in ranges:
         np.add.at(edge, offsets[doc] + lo, 1)
         np.add.at(edge, offsets[doc] + hi, -1)
-    return data, offsets, np.cumsum(edge[:-1]) > 0
+    return data, offsets, np.cumsum(edge[:-1], dtype=np.int32) > 0
 
 
 def _plan(docs: DataFrame, length: int) -> tuple[DataFrame, str]:
@@ -321,7 +393,7 @@ def _plan(docs: DataFrame, length: int) -> tuple[DataFrame, str]:
     n = max(1, -(-size // FRAGMENT))
     found = written(_write_blocks(docs, folder, n, length), "anchors")
     cuts = _segments(_repeated_anchors(found, n), folder, n, length)
-    ranges = _marked(cuts, n, length)
+    ranges = _marked(_bytes(_distinct(cuts, n, length), folder, n, length), n, length)
     return found.where("kind = 2").unionByName(ranges).select("key", "kind", "a", "b", "c"), folder
 
 
@@ -346,8 +418,9 @@ def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         data, offsets, gone = _cover(docs, ranges)
         before = np.append(False, gone[:-1])
         before[offsets[:-1][offsets[:-1] < len(gone)]] = False
-        removed, spans = (np.append(0, np.cumsum(x)) for x in (gone, gone & ~before))
+        removed, spans = (np.append(np.int32(0), np.cumsum(x, dtype=np.int32)) for x in (gone, gone & ~before))
         removed, spans = removed[offsets[1:]] - removed[offsets[:-1]], spans[offsets[1:]] - spans[offsets[:-1]]
+        trim()
         raw = data.tobytes()
         sha = []
         for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
@@ -374,7 +447,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def finish(table: pa.Table) -> pa.Table:
         docs, ranges = _block_rows(table, folder)
         data, offsets, gone = _cover(docs, ranges)
-        raw, touched = data.tobytes(), np.append(0, np.cumsum(gone))
+        raw, touched = data.tobytes(), np.append(np.int32(0), np.cumsum(gone, dtype=np.int32))
         texts, null = [], docs.column(f"x{text}").is_null().to_pylist()
         for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
             kept = raw[a:b] if touched[a] == touched[b] else data[a:b][~gone[a:b]].tobytes()
