@@ -13,6 +13,7 @@ from wickframe.functions import scalar as sc
 from wickframe.operators import indicators as ind
 from wickframe.operators import structure as st
 from wickframe.operators.indicators import SERIES
+from wickframe.sources.shared import cut
 
 KEY = list(SERIES)
 
@@ -27,7 +28,8 @@ def snapshot(bars: DataFrame, cfg: Config) -> DataFrame:
     d = ind.with_cvd(ind.with_volume(ind.with_vwap(ind.with_choppiness(ind.with_atr(ind.with_rsi(ind.with_changes(bars)))))))
     for p in (20, 50, 200):
         d = ind.ema(d, "close", p, f"ema_{p}")
-    d = st.with_pivots(d, cfg.structure.pivot)
+    # a dozen states are read off these columns
+    d = cut(st.with_pivots(d, cfg.structure.pivot))
     swings, events = st.swings(d), st.structure_events(d, cfg.structure.skip_last)
     last = ind.last_of_series(d).where(F.col("bar_idx") >= cfg.structure.min_bars - 1)
     s = last.select(
@@ -188,7 +190,8 @@ def with_score(d: DataFrame, cfg: Config) -> DataFrame:
 def results(bars: DataFrame, symbols: DataFrame, cfg: Config, direction: str = "both") -> DataFrame:
     """The better side of each symbol (long wins ties) that has enough of the core signals, with badges.
     symbols: symbol, quote_volume, new_listing, and change_24h if known."""
-    wide = across(snapshot(bars, cfg)).join(symbols, "symbol").checkpoint()
+    wide = across(snapshot(bars, cfg)).join(symbols, "symbol")
+    wide = cut(wide)
     sides = [with_score(signals(wide, s, cfg), cfg) for s in (("long", "short") if direction == "both" else (direction,))]
     d = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])
     best = Window.partitionBy("symbol").orderBy(F.desc("score"), "direction")
