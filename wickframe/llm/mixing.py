@@ -105,9 +105,10 @@ def training_order(mix: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The documents that the mix takes, in training order, with the columns of docs; one taken twice comes twice."""
     takes = mixed(docs, **how).select("doc_id", "positions").where(F.size("positions") > 0)
-    twice = takes.groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("k")).agg(F.max("positions").alias("positions"))
-    kept = docs.join(twice, F.coalesce(docs["doc_id"].cast("string"), F.lit("")) == twice["k"]).drop("k")
-    return kept.withColumn("position_", F.explode("positions")).drop("positions").orderBy("position_").drop("position_")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    times = takes.groupBy(key.alias("_k")).agg(F.max("positions").alias("_positions"))
+    kept = docs.join(times, F.coalesce(docs["doc_id"].cast("string"), F.lit("")) == times["_k"]).drop("_k")
+    return kept.withColumn("_position", F.explode("_positions")).drop("_positions").orderBy("_position").drop("_position")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
