@@ -140,7 +140,6 @@ def pre_move(bars: DataFrame, day: int = 24, pre: int = 48, week: int = 168, lag
     n = F.count(F.lit(1)).over(Window.partitionBy(*SERIES))
     i = F.col("bar_idx")
     enough = lambda k, x: F.when(i >= k + lag, x)
-    rising = F.sum((c > ind.back("close", 1)).cast("int"))
     d = bars.withColumn("_up", (c > ind.back("close", 1)).cast("int"))
     d = d.withColumn("move", F.when((i >= pre + lag) & (i < n - day) & (c > 0), (ahead / c - 1) * 100))
     d = d.withColumn("range_pct", F.when(lo > 0, (h / lo - 1) * 100)).withColumn("base_range", enough(pre + week, F.when(bl > 0, (bh / bl - 1) * 100)))
@@ -152,7 +151,6 @@ def pre_move(bars: DataFrame, day: int = 24, pre: int = 48, week: int = 168, lag
         d = d.withColumn(name, F.when(then > 0, (prev / then - 1) * 100))
     top = F.max("high").over(ind.o().rowsBetween(Window.unboundedPreceding, -1 - lag))
     d = d.withColumn("from_high", F.when(top > 0, (prev / top - 1) * 100)).withColumn("up_bars", F.sum("_up").over(w(-pre - lag, -1 - lag)))
-    del rising
     best = F.max_by(F.struct("move", "open_time_ms", "range_pct", "base_range", "volume_ratio", "position", "r14", "r30", "from_high", "up_bars"), F.when(F.col("move").isNotNull(), F.struct("move", (-i).alias("first"))))
     out = d.groupBy(*SERIES).agg(best.alias("b")).where("b is not null").select(*SERIES, "b.*")
     return out.withColumn("compress", F.when(F.col("base_range") > 0, F.col("range_pct") / F.col("base_range")))

@@ -106,9 +106,7 @@ def stage3(side):
 
 
 def candidates(s, d):
-    last = ind.last_of_series(src.daily(s, d)).select("symbol", "tf", "bar_idx")
     got = funnel.candidates(funnel.stage3(src.daily(s, d), TAPE).where("bar_idx % 50 = 0"), TAPE)
-    del last
     return shown(got, "hint", "change_6")
 
 
@@ -188,7 +186,7 @@ def levels(s, d):
 
 def sweep(side):
     def run(s, d):
-        """Every bar as the last one of a 120-bar scan would need its own pass; here the last 120 bars in blocks."""
+        """Series of 60 bars each, so that there are many last bars."""
         b = src.daily(s, d).withColumn("tf", F.concat("tf", F.lit("#"), F.floor(F.col("bar_idx") / 60).cast("string"))).drop("bar_idx", "taker_sell_base")
         p = structure.with_pivots(ind.with_volume(src.indexed(b)))
         return shown(structure.sweeps(p, side), "swept_level", "sweep_price", "sweep_time", "recovered", "failed", "volume_confirm", "sell_pressure", "valid", keys=("symbol", "tf"))
@@ -237,7 +235,8 @@ def labelled(s, d):
 
 
 def rows(s, d):
-    """Evaluation rows with a label: a bar's best change over six bars within the next 42 reached 40 %."""
+    """Evaluation rows with a label: the best change over six bars within the next 42 reached 400 % (these prices are
+    independent draws, so 40 % is nearly always reached)."""
     g = replay.grid(labelled(s, d)).where("box_high is not null and best_change is not null")
     return g.withColumn("hit", F.col("best_change") >= 400.0)
 
@@ -259,8 +258,7 @@ def bands(s, d):
 
 
 def variants(s, d):
-    r = rows(s, d).withColumn("symbol", F.col("symbol"))
-    return r.select("symbol", "open_time_ms", *[research.variant(v, 1e6).alias(f"score_{v.lower()}") for v in research.VARIANTS])
+    return rows(s, d).select("symbol", "open_time_ms", *[research.variant(v, 1e6).alias(f"score_{v.lower()}") for v in research.VARIANTS])
 
 
 def chrono(s, d):
@@ -285,9 +283,8 @@ def overlap(s, d):
 
 def signals(s, d):
     """Early results on the evaluation grid, with risk scaled to the fill."""
-    e = early_results(s, d)
-    g = replay.grid(e).where(F.col("score") >= TAPE.early.min_score).select("symbol", "tf", "bar_idx", "open_time_ms", "score", "stage", "stop", "entry", "atr")
-    return g
+    g = replay.grid(early_results(s, d)).where(F.col("score") >= TAPE.early.min_score)
+    return g.select("symbol", "tf", "bar_idx", "open_time_ms", "score", "stage", "stop", "entry", "atr")
 
 
 COST = TAPE.costs.round_trip_pct / 100
