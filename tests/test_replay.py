@@ -98,3 +98,10 @@ def test_quantiles_and_tiers(spark):
     rows = spark.createDataFrame([(float(i), float(i)) for i in range(4)], "a double, b double")
     assert research.tiers(rows, "a", ["b"]).select("median_b", "upper_b").first()[:] == (1.5, 2.0)
     assert rows.agg(research.nearest_rank("b", 0.5)).first()[0] == 2
+
+
+def test_window_before_a_move(spark):
+    moves = spark.createDataFrame([("A", 100), ("B", 100), ("C", 5)], "symbol string, move_ms long")
+    series = spark.createDataFrame([("A", t, float(t)) for t in range(40, 140, 10)] + [("B", 90, 1.0)], "symbol string, ms long, value double")
+    got = {r.symbol: (r.n, r.change, r["mean"]) for r in research.window_change(moves, series, 50, 5).collect()}
+    assert got == {"A": (6, 100.0, 75.0), "B": (1, None, None), "C": (0, None, None)}

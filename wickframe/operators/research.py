@@ -156,6 +156,18 @@ def pre_move(bars: DataFrame, day: int = 24, pre: int = 48, week: int = 168, lag
     return out.withColumn("compress", F.when(F.col("base_range") > 0, F.col("range_pct") / F.col("base_range")))
 
 
+def window_change(moves: DataFrame, series: DataFrame, before_ms: int, least: int = 10) -> DataFrame:
+    """symbol, move_ms, n, change (%, from the first to the last value), mean of a series (symbol, ms, value) in the
+    `before_ms` up to each move (symbol, move_ms); change and mean are null with fewer than `least` values.  Joined on
+    symbol and on time steps of that length, so a move meets only its two steps."""
+    step = lambda c: F.floor(F.col(c) / before_ms)
+    m = moves.select("symbol", "move_ms", F.explode(F.sequence(step("move_ms") - 1, step("move_ms"))).alias("step"))
+    j = m.join(series.withColumn("step", step("ms")), ["symbol", "step"]).where((F.col("ms") >= F.col("move_ms") - before_ms) & (F.col("ms") <= F.col("move_ms")))
+    g = j.groupBy("symbol", "move_ms").agg(F.count(F.lit(1)).alias("n"), F.min_by("value", "ms").alias("a"), F.max_by("value", "ms").alias("b"), F.avg("value").alias("m"))
+    ok = F.col("n") >= least
+    return moves.select("symbol", "move_ms").join(g, ["symbol", "move_ms"], "left").select("symbol", "move_ms", F.coalesce("n", F.lit(0)).alias("n"), F.when(ok & (F.col("a") > 0), (F.col("b") / F.col("a") - 1) * 100).alias("change"), F.when(ok, F.col("m")).alias("mean"))
+
+
 def tiers(rows: DataFrame, by: str, values: list[str]) -> DataFrame:
     """Medians by tier of `by`: 40 and more, 15 and more, the rest; n_upper_<v> is the upper median (an element)."""
     tier = F.when(F.col(by) >= 40, "40+").when(F.col(by) >= 15, "15-40").otherwise("rest")

@@ -357,6 +357,14 @@ def premove(lag):
     return lambda s, d: shown(research.pre_move(src.daily(s, d), lag=lag), "move", "range_pct", "base_range", "volume_ratio", "position", "r14", "r30", "from_high", "up_bars", "compress")
 
 
+def premove_oi(s, d):
+    """Open interest (summed hourly quantity) in the 48 hours up to each symbol's best move on hourly bars."""
+    b = src.hourly(s, d)
+    moves = research.pre_move(b).select("symbol", F.col("open_time_ms").alias("move_ms"))
+    series = b.select("symbol", F.col("open_time_ms").alias("ms"), F.sum("volume").over(ind.past()).alias("value"))
+    return shown(research.window_change(moves, series, 48 * src.HOUR_MS), "n", "change", "mean", keys=("symbol", "move_ms"))
+
+
 def tiers(s, d):
     b = src.daily(s, d).withColumn("tf", F.concat("tf", F.lit("#"), F.floor(F.col("bar_idx") / 31).cast("string"))).drop("bar_idx", "taker_sell_base")
     t = research.tiers(research.run_up(src.indexed(b)).withColumn("d7_", F.col("d7") / 10), "d7_", ["runup", "d30"])
@@ -402,7 +410,7 @@ QUERIES = {
     "gaps": gaps, "order_blocks": blocks, "golden_cross_retest": retest, "noise": noise,
     "forward_labels": forward, "topn_per_day": top_n, "lift_table": lifts, "score_bands": bands, "score_variants": variants, "chrono_split": chrono, "feature_zscores": zscores, "logistic_refit": refit, "overlap_counts": overlap,
     "exit_fixed": exit_query("fixed"), "exit_partial": exit_query("partial"), "exit_trailing": exit_query("trail"), "exit_early": exit_query("early_out"), "mfe_mae": excursions, "mfe_quantiles": quantiles,
-    "exit_grid": exit_grid, "backtest_trades": backtest, "backtest_stats": backtest_stats, "control_arm": control, "funding_asof": funding, "run_up": runup, "pre_move": premove(0), "pre_move_lag": premove(24), "tier_medians": tiers,
+    "exit_grid": exit_grid, "backtest_trades": backtest, "backtest_stats": backtest_stats, "control_arm": control, "funding_asof": funding, "run_up": runup, "pre_move": premove(0), "pre_move_lag": premove(24), "pre_move_oi": premove_oi, "tier_medians": tiers,
 }
 
 

@@ -331,6 +331,14 @@ def premove(lag: int) -> str:
     return c.out("up_bars", rounded=("move", "range_pct", "base_range", "volume_ratio", "position", "r14", "r30", "from_high", "compress"))
 
 
+def premove_oi() -> str:
+    c = Chain(hourly(1)).add(n=f"count(*) over {A}", value=f"sum(volume) over {W(None)}")
+    b = c.top
+    c.add(move=f"case when i >= 48 and i < n - 24 and close > 0 then (lead(close, 24) over {O} / close - 1) * 100 end").where("move is not null qualify row_number() over (partition by symbol, tf order by move desc, i) = 1")
+    c.raw(f"select m.symbol, m.open_time_ms as move_ms, count(x.value) as n, arg_min(x.value, x.open_time_ms) as a, arg_max(x.value, x.open_time_ms) as z, avg(x.value) as av from {{t}} m left join {b} x on x.symbol = m.symbol and x.open_time_ms between m.open_time_ms - {2 * DAY} and m.open_time_ms group by 1, 2")
+    return c.add(change="case when n >= 10 and a > 0 then (z / a - 1) * 100 end", mean="case when n >= 10 then av end").out("n", keys="symbol, move_ms", rounded=("change", "mean"))
+
+
 def run_ups() -> Chain:
     c = Chain().split(31).add(_r=f"case when min(low) over {W(None)} > 0 then (high / min(low) over {W(None)} - 1) * 100 end", **{f"d{k}": f"case when lag(close, {k}) over {O} <> 0 then (close / lag(close, {k}) over {O} - 1) * 100 end" for k in (1, 7, 30)})
     return c.raw("select symbol, tf, max(d1) filter (i = m) as d1, max(d7) filter (i = m) as d7, max(d30) filter (i = m) as d30, greatest(0, max(_r)) as runup, count(*) as bars, max(close) filter (i = m) as price from (select *, max(i) over (partition by symbol, tf) as m from {t}) group by 1, 2")
@@ -549,7 +557,7 @@ def _build() -> dict[str, str]:
         "overlap_counts": c().rows().out("count(*) filter (abs(momentum) >= 15 and abs(change_24h) >= 5) as both", "count(*) filter (abs(momentum) >= 15 and not coalesce(abs(change_24h) >= 5, false)) as only_a", "count(*) filter (not coalesce(abs(momentum) >= 15, false) and abs(change_24h) >= 5) as only_b", keys=""),
         "exit_fixed": one_exit("fixed"), "exit_partial": one_exit("partial"), "exit_trailing": one_exit("trail"), "exit_early": one_exit("early_out"), "mfe_mae": excursions().out(rounded=("mfe", "mae")), "mfe_quantiles": _quantiles(),
         "exit_grid": exit_grid(), "backtest_trades": finished(bt(), f"{R('partial_r')} as r", "partial_why as why", "cast(partial_k as bigint) as exit_k", "score", "stage"), "backtest_stats": backtest_stats(), "control_arm": control(), "funding_asof": _asof(),
-        "run_up": run_ups().out("bars", keys="symbol, tf", rounded=("d1", "d7", "d30", "runup", "price")), "pre_move": premove(0), "pre_move_lag": premove(24), "tier_medians": _tiers(),
+        "run_up": run_ups().out("bars", keys="symbol, tf", rounded=("d1", "d7", "d30", "runup", "price")), "pre_move": premove(0), "pre_move_lag": premove(24), "pre_move_oi": premove_oi(), "tier_medians": _tiers(),
     }
 
 
