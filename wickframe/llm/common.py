@@ -72,6 +72,18 @@ def trim() -> None:
         pass
 
 
+def forget() -> None:
+    """Drops what a worker has kept of another operator (an encoder's cache), which would count beside this one."""
+    import gc
+    import sys
+
+    if (kept := sys.modules.pop("_wickframe_worker", None)) is not None:
+        kept.__dict__.clear()
+        gc.unfreeze()
+        gc.collect()
+        trim()
+
+
 # ---------------------------------------------------------------- columns
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns, whatever else the table has (first of those with equal names, without regard to case)."""

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wickframe.llm.common import crc_mod, mix, only, runs, utf8
+from wickframe.llm.common import crc_mod, forget, mix, only, runs, utf8
 
 #: Labelled texts to learn from at most (a sample by hash of the doc_id), n-grams kept for each language at most,
 #: slots of the filter, hashes.
@@ -110,6 +110,7 @@ def learn(docs: DataFrame, train_rows: int = TRAIN_ROWS, n_grams: int = GRAMS, s
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * train_rows / n))
 
     def count(parts):
+        forget()
         found: dict[str, list] = {}
         for batch in parts:
             lang = np.array(batch.column(1).to_pylist(), object)
@@ -166,6 +167,7 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
     names = np.array([*filters.languages, "und"], object)
 
     def predict(parts):
+        forget()
         for b in parts:
             pred, score, coverage = _predict(b.column(1), np.array(b.column(2).to_pylist(), bool), filters)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names[pred], pa.string()), pa.array(score), pa.array(coverage)], ["doc_id", "lang_pred", "score", "coverage"])
@@ -181,6 +183,7 @@ def accepted(docs: DataFrame, filters: Filters, least_coverage: float = LEAST) -
     rows = fresh.withColumn("text", F.col(f"x{have.index('text')}")).select(*fresh.columns, *_inputs()).where("letters")
 
     def keep(parts):
+        forget()
         for b in parts:
             n = b.num_columns - 2
             pred, _, coverage = _predict(b.column(n), np.ones(b.num_rows, bool), filters)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wickframe.llm.common import get_file, mix, odd, only, pack, put_file, runs, shared_path, trim, utf8, written
+from wickframe.llm.common import forget, get_file, mix, odd, only, pack, put_file, runs, shared_path, trim, utf8, written
 
 LENGTH, KMER = 100, 32
 #: Bytes of text in a block file, and whose anchors make up about one fragment; a fixed share of the input each.
@@ -156,6 +156,7 @@ def _write_blocks(docs: DataFrame, folder: str, n_fragments: int, length: int) -
     distinct anchors of a block, and whether each is there more than once.  Kind 2: one row for each block."""
 
     def write(parts):
+        forget()
         held, size = [], 0
 
         def flush():
@@ -197,6 +198,7 @@ def _repeated_anchors(found: DataFrame, n_fragments: int) -> DataFrame:
     """Kind 0, by block: its anchors that occur twice anywhere."""
 
     def count(parts):
+        forget()
         rows = [r for b in parts for r in b.to_pylist()]
         if not rows:
             return
@@ -229,6 +231,7 @@ def _segments(shared: DataFrame, folder: str, n_fragments: int, length: int) ->
     left, width = length - KMER, 2 * length - KMER
 
     def cut(table: pa.Table) -> pa.Table:
+        forget()
         block = table.column("key")[0].as_py()
         want = np.sort(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("a")]))
         docs = _read_block(folder, block)
@@ -278,6 +281,7 @@ def _distinct(found: DataFrame, n_fragments: int, length: int) -> DataFrame:
     left = length - KMER
 
     def pick(parts):
+        forget()
         rows = []
         for b in parts:
             through = b.filter(pc.equal(b.column("kind"), 1))
@@ -346,6 +350,7 @@ def _marked(found: DataFrame, n_fragments: int, length: int) -> DataFrame:
     left, width = length - KMER, 2 * length - KMER
 
     def mark(parts):
+        forget()
         rows = []
         for b in parts:
             through = b.filter(pc.equal(b.column("kind"), 1))

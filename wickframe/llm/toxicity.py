@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickframe.llm.common import IS_SPACE, LOWER, crc_mod, mix, only, runs, utf8, word_hashes
+from wickframe.llm.common import IS_SPACE, LOWER, crc_mod, forget, mix, only, runs, utf8, word_hashes
 
 #: Labelled texts to learn from at most (a sample by hash of the doc_id); places; passes; FTRL's parameters.
 TRAIN_ROWS, BITS, PASSES = 12_000, 20, 10
@@ -72,6 +72,7 @@ def learn(labelled: DataFrame, bits: int = BITS, **how) -> tuple[np.ndarray, np.
     """Places, weights that are not zero, and bias, from a bounded table of (doc_id, text, toxic), in one task."""
 
     def fit(parts):
+        forget()
         rows, labels = [], []
         for batch in parts:
             data, offsets = utf8(batch.column(0))
@@ -115,6 +116,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bits: i
     rows = only(docs, "doc_id", "text")
 
     def score(parts):
+        forget()
         table = np.zeros(1 << bits, np.float32)
         table[place] = weight
         for batch in parts:
