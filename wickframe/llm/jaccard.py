@@ -8,9 +8,9 @@ The global order of all n-grams (64-bit hashes of five words) is cut into fragme
 2. Sets that are left are ordered by frequency, rarest first.  Two sets of similarity 0.8 share an n-gram among the
    rarest 20 % of either, so only sets that meet in such a prefix are candidates, if their sizes allow it.
 3. For candidate pairs each fragment counts its overlap separately, and the counts are summed per pair.
-4. Candidates are drawn as stars (a group's first set with the others), so a group of thousands of near copies costs
-   thousands of pairs; links join sets into components; then all pairs that still meet in a prefix from different
-   components are counted, until none is left.  So no link between components is missed, and links inside one, which
+4. Candidates are drawn as stars (each set with a few leaders of its groups), so a group of thousands of near copies
+   costs thousands of pairs; links join sets into components; after some rounds with other leaders, all pairs that
+   still meet in a prefix from different components are counted.  So no link between components is missed, and links inside one, which
    change no component, needn't all be counted.
 
 Texts with equal sets are one class from the start and are never paired.
@@ -26,13 +26,16 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wickframe.llm.common import mix, odd, only, pack, runs, shared_base, utf8, word_hashes, written
+from wickframe.llm.common import forget, mix, odd, only, pack, runs, shared_base, trim, utf8, word_hashes, written
 
 WORDS, SIMILARITY = 5, 80
 #: Bytes of text whose n-grams make up about one fragment; bytes and texts of a batch.
-FRAGMENT, BATCH, BATCH_ROWS = 8 << 20, 16 << 20, 60_000
+FRAGMENT, BATCH, BATCH_ROWS = 6 << 20, 10 << 20, 60_000
 #: Fragments in which the overlaps of candidate pairs are counted.
-PARTS = 8
+PARTS = 4
+#: Rounds of stars before all pairs that are left are counted; leaders of a set in the first round.
+STARS, LEADERS = 5, 8
+
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
@@ -73,6 +76,15 @@ _CUT_SQL = "key long, kind byte, batch long, a binary, b binary, c binary"
 _ROW = np.dtype([("doc_id", "<i8"), ("n", "<i8"), ("s0", "<u8"), ("s1", "<u8")])
 
 
+def planes(h: np.ndarray) -> bytes:
+    """Ascending hashes byte by byte: their leading bytes hardly change, and the shuffle's codec makes little of them."""
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unplanes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
 def _cut(docs: DataFrame, n_fragments: int, words: int) -> DataFrame:
     """Batches of texts, cut along the fragments.  Kind 0, by fragment: hashes, and the text of the batch each is of.
     A hash of several texts of a batch goes only once (text 65535); kind 1, by batch: those texts.  Kind 2, by
@@ -82,6 +94,7 @@ def _cut(docs: DataFrame, n_fragments: int, words: int) -> DataFrame:
     def cut(parts):
         from pyspark import TaskContext
 
+        forget()
         part, seq = TaskContext.get().partitionId(), 0
         held: list[tuple[int, np.ndarray]] = []
         size = 0
@@ -121,7 +134,9 @@ def _cut(docs: DataFrame, n_fragments: int, words: int) -> DataFrame:
                 for f in np.unique(frag).tolist():
                     i, j = edges[f], edges[f + 1]
                     some = d[i:j] == 65535
-                    out.append((f, 0, batch, pack(h[i:j]), pack(d[i:j]), pack(n[i:j][some])))
+                    out.append((f, 0, batch, planes(h[i:j]), pack(d[i:j]), pack(n[i:j][some])))
+                del h, d, n, sets, order, frag
+            trim()
             return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out, strict=True), _CUT, strict=True)], schema=_CUT)
 
         for b in parts:
@@ -150,13 +165,14 @@ def _shared(cuts: DataFrame, n_fragments: int) -> DataFrame:
     numbers); kinds 1 and 2 pass through."""
 
     def count(parts):
+        forget()
         hs, ds, ns, bs, batches = [], [], [], [], []
         for b in parts:
             through = b.filter(pa.compute.not_equal(b.column("kind"), 0))
             if through.num_rows:
                 yield through
             for r in b.filter(pa.compute.equal(b.column("kind"), 0)).to_pylist():
-                h, d = np.frombuffer(r["a"], np.uint64), np.frombuffer(r["b"], np.uint16)
+                h, d = unplanes(r["a"]), np.frombuffer(r["b"], np.uint16)
                 n = np.ones(len(h), np.uint32)
                 n[d == 65535] = np.frombuffer(r["c"], np.uint32)
                 hs.append(h)
@@ -181,10 +197,11 @@ def _shared(cuts: DataFrame, n_fragments: int) -> DataFrame:
         h, d, of, total = h[some], d[order][some], of[order][some], np.minimum(total[run[some]], 2**32 - 1).astype(np.uint32)
         order = np.argsort(of, kind="stable")
         h, d, of, total = h[order], d[order], of[order], total[order]
+        trim()
         edges = np.searchsorted(of, np.arange(len(batches) + 1))
         for k in np.unique(of).tolist():
             i, j = edges[k], edges[k + 1]
-            yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip((batches[k], 0, batches[k], pack(h[i:j]), pack(d[i:j]), pack(total[i:j])), _CUT, strict=True)], schema=_CUT)
+            yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip((batches[k], 0, batches[k], planes(h[i:j]), pack(d[i:j]), pack(total[i:j])), _CUT, strict=True)], schema=_CUT)
 
     return cuts.repartition(n_fragments, "key").mapInArrow(count, _CUT_SQL)
 
@@ -197,14 +214,16 @@ def _sets(shared: DataFrame, percent: int) -> DataFrame:
     links: its shared hashes, rarest first, and how many of them are in its prefix."""
 
     def gather(table: pa.Table) -> pa.Table:
+        forget()
         rows, many, single = None, None, []
+        trim()
         for r in table.to_pylist():
             if r["kind"] == 2:
                 rows = np.frombuffer(r["a"], _ROW)
             elif r["kind"] == 1:
                 many = (np.frombuffer(r["a"], np.uint64), np.frombuffer(r["b"], np.uint16))
             else:
-                single.append(tuple(np.frombuffer(r[c], t) for c, t in (("a", np.uint64), ("b", np.uint16), ("c", np.uint32))))
+                single.append((unplanes(r["a"]), np.frombuffer(r["b"], np.uint16), np.frombuffer(r["c"], np.uint32)))
         sig = np.ascontiguousarray(np.stack([rows["s0"], rows["s1"]], 1)).tobytes()
         sigs = [sig[16 * k : 16 * k + 16] if n else None for k, n in enumerate(rows["n"].tolist())]
         out = [pa.array(np.full(len(rows), 2, np.int8)), pa.array(rows["doc_id"]), pa.array(rows["n"]), pa.array(sigs, pa.binary()), pa.nulls(len(rows), pa.list_(pa.int64())), pa.nulls(len(rows), pa.int32())]
@@ -231,32 +250,49 @@ def _sets(shared: DataFrame, percent: int) -> DataFrame:
     return shared.groupBy("batch").applyInArrow(gather, _SETS_SQL)
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame, parts: int = PARTS) -> DataFrame:
-    """a, b, n_a, n_b, overlap of pairs (a, b): every fragment counts what both have there, and the counts are summed."""
+def cut_sets(sets: DataFrame, parts: int = PARTS) -> DataFrame:
+    """id, n, f, part: each set's n-grams by fragment."""
     fragment = lambda h: F.pmod(F.shiftrightunsigned(h, 40), F.lit(parts))
-    cut = sets.select("id", "n", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("f"), "hashes").select("id", "n", "f", F.filter("hashes", lambda h: fragment(h) == F.col("f")).alias("part")).where(F.size("part") > 0)
+    cut = sets.select("id", "n", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("f"), "hashes")
+    return cut.select("id", "n", "f", F.filter("hashes", lambda h: fragment(h) == F.col("f")).alias("part")).where(F.size("part") > 0)
+
+
+def overlaps(pairs: DataFrame, cut: DataFrame) -> DataFrame:
+    """a, b, n_a, n_b, overlap of pairs (a, b): every fragment counts what both have there, and the counts are summed."""
     left = cut.select(F.col("id").alias("a"), F.col("n").alias("n_a"), "f", F.col("part").alias("part_a"))
     right = cut.select(F.col("id").alias("b"), F.col("n").alias("n_b"), "f", F.col("part").alias("part_b"))
     met = pairs.select("a", "b").join(left, "a").join(right, ["b", "f"])
     return met.withColumn("partial", F.size(F.array_intersect("part_a", "part_b"))).groupBy("a", "b").agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.sum("partial").alias("overlap"))
 
 
-def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """id, root: the smallest id that links (a, b) connect each of nodes (id) with.  Labels spread to neighbours and
-    jump to the label's own label, so the rounds grow with the logarithm of the longest chain."""
-    both = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "links")
-    labels = written(nodes.select("id", F.col("id").alias("root")), "labels")
+def components(links: DataFrame, parts: int | None = None) -> DataFrame:
+    """id, root of every node that links (a, b) have: the smallest id it is connected with.  Labels spread to
+    neighbours and jump to the label's own label, so the rounds grow with the logarithm of the longest chain."""
+    both = written(links.select(F.col("a").alias("id"), F.col("b").alias("to")).union(links.select("b", "a")).distinct(), "links", parts)
+    labels = written(both.groupBy("id").agg(F.min("to").alias("to")).select("id", F.least("id", "to").alias("root")), "labels", parts)
     while True:
-        near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("root").alias("near"))
-        step = labels.join(near, labels["id"] == near["a"], "left").select("id", F.col("root").alias("old"), F.least("root", "near").alias("root"))
+        near = both.join(labels.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.min("root").alias("near"))
+        step = labels.join(near, "id").select("id", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         # the old root learns of the smaller one, and passes it on to all that have it
-        told = step.groupBy(F.col("old").alias("root_id")).agg(F.min("root").alias("better"))
-        new = written(step.join(told, step["old"] == told["root_id"]).select("id", "old", F.least("root", "better").alias("root")), "labels")
+        told = step.groupBy("old").agg(F.min("root").alias("better"))
+        new = written(step.join(told, "old").select("id", "old", F.least("root", "better").alias("root")), "labels", parts)
         if not new.where("root != old").limit(1).count():
             return new.select("id", "root")
         labels = new.select("id", "root")
 
 
+def joined(labels: DataFrame | None, found: DataFrame, parts: int | None = None) -> DataFrame:
+    """labels (id, root) after more links (a, b): only the roots that these connect are labelled anew."""
+    if labels is None:
+        return components(found, parts)
+    root = lambda c: labels.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}"))
+    ends = found.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    moved = components(written(ends.where("a != b").distinct(), "root-links", parts), parts)
+    fresh = moved.select("id", F.col("id").alias("root")).join(labels.select("id"), "id", "left_anti")
+    every = labels.unionByName(fresh).join(moved.select(F.col("id").alias("root"), F.col("root").alias("better")), "root", "left")
+    return written(every.select("id", F.coalesce("better", "root").alias("root")), "labels", parts)
+
+
 def similar(docs: DataFrame, words: int = WORDS, percent: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id long, text).
 
@@ -276,45 +312,55 @@ def similar(docs: DataFrame, words: int = WORDS, percent: int = SIMILARITY) -> D
     sets = gathered.where("kind = 0").groupBy("sig").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("hashes").alias("hashes"), F.first("prefix").alias("prefix"))
     # equal doc_ids may belong to different sets: classes get numbers of their own
     sets = written(sets.select(F.xxhash64("sig").alias("id"), "sig", "n", "hashes", "prefix"), "classes")
-    met = written(sets.select("id", "n", F.explode(F.expr("slice(hashes, 1, prefix)")).alias("hash")), "prefixes")
+    few = 1 + sets.count() // 50_000  # files of tables with some numbers for each set, or pair
+    cut = written(cut_sets(sets), "cut-sets", 4 * few)
+    # place of a prefix n-gram in its whole set: those of this set alone are the rarest and come first
+    met = sets.select("id", "n", F.posexplode(F.expr("slice(hashes, 1, prefix)")).alias("at", "hash"), F.size("hashes").alias("have"))
+    met = written(met.select("hash", "id", "n", (F.col("at") + 1 + F.col("n") - F.col("have")).alias("at")), "prefixes", 4 * few)
     shared = met.groupBy("hash").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("hash")
-    met = written(met.join(shared, "hash", "left_semi"), "prefixes")
-
-    labels = sets.select("id", F.col("id").alias("root"))
-    fits = lambda x, y: F.expr(f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})")
-    links = tested = None
-    for step in ("star", "star", "all", "all"):
-        now = met.join(labels, "id")
-        open_ = now.groupBy("hash").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.struct("n", "id", "root")).alias("low"), F.max(F.struct("n", "id", "root")).alias("high")).where("r0 != r1")
-        if step == "star":
-            end = "low" if links is None else "high"
-            lead = open_.select("hash", F.col(f"{end}.id").alias("x"), F.col(f"{end}.n").alias("nx"), F.col(f"{end}.root").alias("rx"))
-            pairs = now.join(lead, "hash").where("root != rx").where(fits("n", "nx"))
+    met = written(met.join(shared, "hash", "left_semi"), "prefixes", 4 * few)
+
+    labels = None
+    # Sizes that can link; and what can still be shared from the n-gram that two sets meet in, if it is their first.
+    # Of two linked sets the first common n-gram passes, so no link is lost.
+    fits = F.expr(f"100 * least(n, nx) >= {percent} * greatest(n, nx) and (100 + {percent}) * (1 + least(n - at, nx - ax)) >= {percent} * (n + nx)")
+    tested = None
+    for step in range(STARS + 1):
+        now = met.withColumn("root", F.col("id")) if labels is None else met.join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        mixed = now.groupBy("hash").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("hash")
+        now = now.join(mixed, "hash", "left_semi")
+        if step < STARS:
+            # leaders of a group: some sets of the component that has most of it, others and more of them each round
+            most = now.groupBy("hash", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("hash").agg(F.max(F.struct("k", F.xxhash64("root", F.lit(step)).alias("j"), "root"))["root"].alias("lead"))
+            nth = F.row_number().over(Window.partitionBy("hash").orderBy(F.xxhash64("id", "hash", F.lit(step))))
+            lead = now.join(most, "hash").where("root = lead").withColumn("_r", nth).where(F.col("_r") <= 4**step).select("hash", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.col("at").alias("ax"))
+            # each set with those leaders that it meets most often
+            pairs = now.join(lead, "hash").where("root != rx").where(fits).groupBy("id", "x").agg(F.count(F.lit(1)).alias("k"))
+            nth = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("k"), F.xxhash64("x", F.lit(step))))
+            pairs = pairs.withColumn("_r", nth).where(F.col("_r") <= LEADERS * 2**step).select("id", "x")
         else:
-            left = now.join(open_.select("hash"), "hash", "left_semi")
-            right = left.select("hash", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-            pairs = left.join(right, "hash").where("root != rx and id < x").where(fits("n", "nx"))
+            left = now
+            right = left.select("hash", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.col("at").alias("ax"))
+            pairs = left.join(right, "hash").where("root < rx").where(fits).select("id", "x")
         pairs = pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
+        pairs = written(pairs, "pairs", few)
         if not pairs.limit(1).count():
-            if step == "all":
-                break
             continue
-        found = written(overlaps(pairs, sets).where(F.expr(f"100 * overlap >= {percent} * (n_a + n_b - overlap)")).select("a", "b"), "found")
+        found = written(overlaps(pairs, cut).where(F.expr(f"100 * overlap >= {percent} * (n_a + n_b - overlap)")).select("a", "b"), "found", few)
         tested = pairs if tested is None else tested.union(pairs)
-        links = found if links is None else links.union(found)
-        labels = components(links, sets)
-        if step == "all":
-            break
+        labels = joined(labels, found, few)
 
     # the smallest doc_id of each class, then of each component; only classes with links have a root of their own
     classes = members.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"))
-    roots = sets.select("id", "sig").join(labels, "id").select("sig", "root")
-    classes = classes.join(roots, "sig", "left").withColumn("root", F.coalesce("root", F.xxhash64("sig")))
-    class_least = classes.select("sig", "least", F.min("least").over(Window.partitionBy("root")).alias("component")) if links is None else classes.join(classes.groupBy("root").agg(F.min("least").alias("component")), "root").select("sig", "component")
-    out = members.join(class_least.select("sig", "component"), "sig", "left")
+    if labels is not None:
+        classes = classes.join(sets.select("id", "sig").join(labels, "id").select("sig", "root"), "sig", "left")
+        classes = classes.withColumn("root", F.coalesce("root", F.xxhash64("sig")))
+        classes = classes.join(classes.groupBy("root").agg(F.min("least").alias("component")), "root").select("sig", "component")
+    else:
+        classes = classes.select("sig", F.col("least").alias("component"))
+    out = members.join(classes, "sig", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
@@ -327,3 +373,19 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = SIMILARITY)
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: components of near copies among all documents, five words, similarity 0.8."""
     return similar(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP9_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select distinct doc_id, array_to_string(w[i:i + 4], ' ') as g
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by 1),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 80 * (x.n + y.n - k)),
+e as (select a, b from l union select b, a from l),
+r as (select doc_id as id, doc_id as root from documents union select e.b, r.root from r join e on e.a = r.id and r.root < e.b)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, m.root as component_id
+from documents d left join n using (doc_id) join (select id, min(root) as root from r group by 1) m on m.id = d.doc_id
+"""

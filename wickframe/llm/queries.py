@@ -16,4 +16,4 @@ QUERIES = {
     "op9_jaccard": jaccard.op9_jaccard,
     "op10_fingerprint": fingerprint.op10_fingerprint,
 }
-ORACLE_SQL = {"op1_mixing": mixing.OP1_SQL, "op3_chat": chat.OP3_SQL, "op7_topk": topk.OP7_SQL}
+ORACLE_SQL = {"op1_mixing": mixing.OP1_SQL, "op3_chat": chat.OP3_SQL, "op7_topk": topk.OP7_SQL, "op9_jaccard": jaccard.OP9_SQL}
