@@ -446,14 +446,15 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     become empty, and their rows stay."""
     have = [c.lower() for c in docs.columns]
     text, n_chars = have.index("text"), have.index("n_chars") if "n_chars" in have else None
-    placed = _placed(docs)
+    # the text is there as c1; of the column itself only its nulls are needed
+    placed = _placed(docs).withColumn(f"x{text}", F.col(f"x{text}").isNull())
     plan, folder = _plan(placed, length)
 
     def finish(table: pa.Table) -> pa.Table:
         docs, ranges = _block_rows(table, folder)
         data, offsets, gone = _cover(docs, ranges)
         raw, touched = data.tobytes(), np.append(np.int32(0), np.cumsum(gone, dtype=np.int32))
-        texts, null = [], docs.column(f"x{text}").is_null().to_pylist()
+        texts, null = [], docs.column(f"x{text}").to_pylist()
         for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
             kept = raw[a:b] if touched[a] == touched[b] else data[a:b][~gone[a:b]].tobytes()
             texts.append(None if null[i] else kept.decode("utf-8", "ignore"))
