@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,3 +36,68 @@ def peers(correlated: DataFrame, least: float = 0.7) -> DataFrame:
     """symbol, peer, r both ways, for r of at least `least`."""
     strong = correlated.where(F.col("r") >= least)
     return strong.select(F.col("a").alias("symbol"), F.col("b").alias("peer"), "r").unionByName(strong.select(F.col("b").alias("symbol"), F.col("a").alias("peer"), "r"))
+
+
+def vector_peers(vectors: DataFrame, least: float = 0.7, block: int = 4096) -> DataFrame:
+    """symbol, peer, r both ways, for r of at least `least`, of all pairs of (symbol long, v array<double>).  r is over
+    the positions that both have (a null component counts as missing); there is none without variance, with fewer than
+    two common positions or with non-finite components, nor between rows of one symbol.
+
+    Symbols are dealt to blocks by hash, and each pair of blocks is one matrix product, so what is sent grows with rows
+    times blocks.  Compared are all pairs, and the output grows with the square of the rows as they do."""
+    rows = vectors.select(F.col("symbol").cast("long").alias("symbol"), F.col("v").cast("array<double>").alias("v")).where("symbol is not null and size(v) > 0")
+    n = max(1, -(-rows.count() // block))
+
+    def pack(t: pa.Table) -> pa.Table:
+        col = t.column("v").combine_chunks()
+        lengths, flat = col.value_lengths().to_numpy(zero_copy_only=False), col.flatten()
+        there = np.arange(lengths.max()) < lengths[:, None]
+        m = np.full(there.shape, np.nan)
+        m[there] = flat.fill_null(0.0).to_numpy(zero_copy_only=False)
+        ok = np.isfinite(m).all(1, where=there)
+        there[there] = flat.is_valid().to_numpy(zero_copy_only=False)
+        m[~there] = np.nan
+        ids = t.column("symbol").to_numpy()[ok].astype("<i8")
+        return pa.table({"block": pa.array([t.column("block")[0].as_py()], pa.int32()), "n": pa.array([len(ids)], pa.int32()), "ids": [ids.tobytes()], "m": [m[ok].astype("<f8").tobytes()]})
+
+    def compared(batches):
+        def load(count, ids, m):
+            x = np.frombuffer(m, "<f8").reshape(count, -1)
+            there = ~np.isnan(x)
+            mean = np.where(there, x, 0).sum(1, keepdims=True) / np.maximum(there.sum(1, keepdims=True), 1)
+            return np.frombuffer(ids, "<i8"), np.where(there, x - mean, 0), there
+
+        def moments(x, tx, y, ty):
+            """r where both rows lack components, from sums over the common positions."""
+            d = min(x.shape[1], y.shape[1])
+            x, y, tx, ty = x[:, :d] * tx[:, :d], y[:, :d], tx[:, :d].astype(float), ty[:, :d].astype(float)
+            k = np.maximum(tx @ ty.T, 1)
+            sx, sy = x @ ty.T, tx @ y.T
+            xx, yy = (x * x) @ ty.T, tx @ (y * y).T
+            vx, vy = xx - sx * sx / k, yy - sy * sy / k
+            vx, vy = np.where(vx > 1e-13 * xx, vx, 0), np.where(vy > 1e-13 * yy, vy, 0)
+            return np.where(tx @ ty.T >= 2, x @ y.T - sx * sy / k, np.nan) / np.sqrt(vx * vy)
+
+        def unit(x):
+            return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+        for b in batches:
+            for p in b.to_pylist():
+                if not p["n"] or not p["n2"]:
+                    continue
+                (a, x, tx), (c, y, ty) = load(p["n"], p["ids"], p["m"]), load(p["n2"], p["ids2"], p["m2"])
+                with np.errstate(all="ignore"):
+                    plain = x.shape[1] == y.shape[1] >= 2 and tx.all() and ty.all()
+                    x, y = (unit(x), unit(y)) if plain else (x, y)
+                    for at in range(0, len(a), 512):
+                        r = x[at : at + 512] @ y.T if plain else moments(x[at : at + 512], tx[at : at + 512], y, ty)
+                        i, j = np.nonzero(r >= least)
+                        left, right, r = a[at + i], c[j], r[i, j]
+                        keep = left < right if p["block"] == p["block2"] else left != right
+                        left, right, r = left[keep], right[keep], r[keep]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([left, right])), pa.array(np.concatenate([right, left])), pa.array(np.concatenate([r, r]))], ["symbol", "peer", "r"])
+
+    packed = rows.withColumn("block", F.pmod(F.xxhash64("symbol"), F.lit(n)).cast("int")).groupBy("block").applyInArrow(pack, "block int, n int, ids binary, m binary")
+    one = packed.withColumn("block2", F.explode(F.sequence("block", F.lit(n - 1))))
+    other = packed.select(F.col("block").alias("block2"), F.col("n").alias("n2"), F.col("ids").alias("ids2"), F.col("m").alias("m2"))
+    return one.join(other, "block2").repartition(n * (n + 1) // 2, "block", "block2").mapInArrow(compared, "symbol long, peer long, r double")

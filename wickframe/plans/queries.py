@@ -155,10 +155,9 @@ def correlated(s, d):
 
 
 def correlated_vectors(s, d):
-    """Vectors 0 to 39 as return series."""
-    e = src.table(s, d, "embeddings").where("vec_id < 40").select(F.col("vec_id").alias("symbol"), F.posexplode("embedding").alias("pos", "ret"))
-    p = correlation.pairs(e.withColumn("ret", F.col("ret").cast("double")))
-    return correlation.peers(p, 0.2).select("symbol", "peer", sc.r("r").alias("r"))
+    """All vectors as return series."""
+    e = src.table(s, d, "embeddings").select(F.col("vec_id").alias("symbol"), F.col("embedding").alias("v"))
+    return correlation.vector_peers(e, 0.2).select("symbol", "peer", sc.r("r").alias("r"))
 
 
 # ---------------------------------------------------------------- structure
