@@ -4,8 +4,9 @@ import random
 
 import numpy as np
 
-from wickframe.operators import correlation
-from wickframe.plans.queries import QUERIES
+from wickframe.operators import correlation, funnel
+from wickframe.plans.queries import QUERIES, TAPE
+from wickframe.sources import bars as src
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -30,3 +31,10 @@ def test_vector_peers_equal_pairs_of_positions(spark):
         rows = correlation.vector_peers(d, 0.3, block).collect()
         got = {(x.symbol, x.peer): x.r for x in rows}
         assert len(rows) == len(got) and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_candidates_are_the_largest_of_all_bars(spark):
+    d = funnel.stage3(src.daily(spark, SMALL), TAPE).where("long or short").select("symbol", "bar_idx", "open_time_ms", "change_6").collect()
+    want = sorted(d, key=lambda x: (-abs(x.change_6), x.symbol, x.bar_idx))[: TAPE.candidate.keep]
+    got = {(x.symbol, x.open_time_ms) for x in QUERIES["candidates"](spark, SMALL).collect()}
+    assert len(want) == TAPE.candidate.keep and got == {(x.symbol, x.open_time_ms) for x in want}

@@ -106,7 +106,7 @@ def stage3(side):
 
 
 def candidates(s, d):
-    got = funnel.candidates(funnel.stage3(src.daily(s, d), TAPE).where("bar_idx % 50 = 0"), TAPE)
+    got = funnel.candidates(funnel.stage3(src.daily(s, d), TAPE), TAPE)
     return shown(got, "hint", "change_6")
 
 
