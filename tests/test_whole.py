@@ -3,8 +3,11 @@
 import random
 
 import numpy as np
+import pytest
 
-from wickframe.operators import correlation, funnel
+from tests import series as S
+from wickframe.operators import correlation, funnel, structure
+from wickframe.operators import indicators as ind
 from wickframe.plans.queries import QUERIES, TAPE
 from wickframe.sources import bars as src
 
@@ -38,3 +41,45 @@ def test_candidates_are_the_largest_of_all_bars(spark):
     want = sorted(d, key=lambda x: (-abs(x.change_6), x.symbol, x.bar_idx))[: TAPE.candidate.keep]
     got = {(x.symbol, x.open_time_ms) for x in QUERIES["candidates"](spark, SMALL).collect()}
     assert len(want) == TAPE.candidate.keep and got == {(x.symbol, x.open_time_ms) for x in want}
+
+
+def gap_status(bars, g):
+    """By walking through the later bars."""
+    deep = 0.0
+    for b in bars[g.bar_idx + 1 :]:
+        bull = g.side == "bullish"
+        if b.low <= g.gap_low if bull else b.high >= g.gap_high:
+            return "inverse" if (b.close < g.gap_low if bull else b.close > g.gap_high) else "filled"
+        deep = max(deep, g.gap_high - b.low if bull else b.high - g.gap_low)
+    part = deep / g.size
+    return "filled" if part >= 0.99 else "partial" if part > 0.05 else "open"
+
+
+@pytest.mark.parametrize("n", [300, 9000])
+def test_gaps_equal_the_walk(spark, n):
+    rows = S.walk(n, 8)
+    jumps = random.Random(n)
+    rows = [(*r[:3], *[x * f for x in r[3:7]], *r[7:]) for r in rows for f in [1 + 0.2 * jumps.random()]]
+    d = ind.with_atr(S.frame(spark, rows))
+    bars = d.orderBy("bar_idx").collect()
+    got = structure.gaps(d).collect()
+    assert len(got) > n / 50 and len({g.status for g in got}) >= 2
+    assert [g.status for g in got] == [gap_status(bars, g) for g in got]
+
+
+def test_gaps_and_blocks_of_all_bars(spark):
+    daily = src.daily(spark, SMALL)
+    bars = {}
+    for b in daily.orderBy("symbol", "bar_idx").collect():
+        bars.setdefault(b.symbol, []).append(b)
+    at = {(b.symbol, b.open_time_ms): b.bar_idx for x in bars.values() for b in x}
+    early = lambda rows: sum(at[r.symbol, r.open_time_ms] < len(bars[r.symbol]) - 260 for r in rows)
+    d = ind.with_atr(daily)
+    want = {(g.symbol, g.open_time_ms, g.side, gap_status(bars[g.symbol], g)) for g in structure.gaps(d).collect()}
+    rows = QUERIES["gaps"](spark, SMALL).collect()
+    assert early(rows) > 0 and {(r.symbol, r.open_time_ms, r.side, r.status) for r in rows} == want
+    rows = QUERIES["order_blocks"](spark, SMALL).collect()
+    assert early(rows) > 0
+    for r in rows:
+        closes = [b.close for b in bars[r.symbol][at[r.symbol, r.open_time_ms] + 1 :]]
+        assert r.invalidated == any(c < r.bottom - 1e-6 if r.side == "bullish" else c > r.top + 1e-6 for c in closes)

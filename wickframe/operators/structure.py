@@ -1,7 +1,7 @@
-"""Price structure over bounded series: pivots, breaks, levels, sweeps, gaps, blocks, retests.
+"""Price structure: pivots, breaks, levels, sweeps, gaps, blocks, retests.
 
-A scan reads a fixed number of latest bars of each series, so per-series joins and arrays here are bounded by that
-limit.  Rows that describe a series' state have one row for each (symbol, tf).
+Nothing joins all bars of a series with each other.  Rows that describe a series' state have one row for each
+(symbol, tf).
 """
 
 from __future__ import annotations
@@ -112,6 +112,29 @@ def nearest_levels(pivots: DataFrame, prices: DataFrame) -> DataFrame:
     return both.groupBy(*SERIES).agg(F.min(F.when((F.col("kind") == "high") & (F.col("price") > F.col("now")), F.col("price"))).alias("above"), F.max(F.when((F.col("kind") == "low") & (F.col("price") < F.col("now")), F.col("price"))).alias("below"))
 
 
+def first_reach(zones: DataFrame, bars: DataFrame, step: int = 64) -> DataFrame:
+    """zones (symbol, tf, side, bar_idx, level) with reached and reached_close: the first bar after bar_idx whose x is
+    at least the level, and its close (null if there is none).  bars: symbol, tf, side, k, x, close.
+
+    A tree of maxima over step, step**2 bars: each zone looks at the rest of its own node on each level (all nodes on
+    the top one), then down into the first one that reaches: about 5 * step rows, not all later bars."""
+    on, top = [*SERIES, "side"], 2
+    node = lambda c, lv: F.floor(F.col(c) / step**lv)
+    up = lambda c, lv: F.lit(0).cast("long") if lv == top else node(c, lv + 1)
+    leaves = bars.withColumn("n", F.explode(F.array(*[F.struct(F.lit(lv).alias("lv"), node("k", lv).alias("at"), up("k", lv).alias("up")) for lv in range(top + 1)])))
+    tree = leaves.groupBy(*on, "n.lv", "n.at", "n.up").agg(F.max("x").alias("x"), F.max("close").alias("close"))
+    keys = [*on, "bar_idx"]
+    climb = zones.select(*keys, "level", F.explode(F.array(*[F.struct(F.lit(lv).alias("lv"), node("bar_idx", lv).alias("own"), up("bar_idx", lv).alias("up")) for lv in range(top + 1)])).alias("n")).select(*keys, "level", "n.*")
+    got = climb.join(tree, [*on, "lv", "up"]).where((F.col("at") > F.col("own")) & (F.col("x") >= F.col("level")))
+    got = got.groupBy(*keys, "level").agg(F.min(F.struct("lv", "at", "close")).alias("f")).select(*keys, "level", "f.*")
+    for lv in range(top, 0, -1):
+        below = tree.where(F.col("lv") == lv - 1).select(*on, "up", F.col("at").alias("_at"), F.col("x").alias("_x"), F.col("close").alias("_close"))
+        down = got.withColumn("up", F.when(F.col("lv") == lv, F.col("at"))).join(below, [*on, "up"], "left").where((F.col("lv") < lv) | (F.col("_x") >= F.col("level")))
+        first = F.struct(F.least("lv", F.lit(lv - 1)).alias("lv"), F.coalesce("_at", "at").alias("at"), F.coalesce("_close", "close").alias("close"))
+        got = down.groupBy(*keys, "level").agg(F.min(first).alias("f")).select(*keys, "level", "f.*")
+    return zones.join(got.select(*keys, F.col("at").alias("reached"), F.col("close").alias("reached_close")), keys, "left")
+
+
 def gaps(df: DataFrame, cfg: Structure | None = None) -> DataFrame:
     """Three-bar gaps of at least gap_min_atr of the last ATR and gap_min_pct: side, from, to, and how far later bars
     filled them: open, partial, filled, or inverse (filled by a bar that closed beyond).  Needs atr."""
@@ -124,28 +147,30 @@ def gaps(df: DataFrame, cfg: Structure | None = None) -> DataFrame:
     size, mid = F.col("gap_high") - F.col("gap_low"), (F.col("gap_high") + F.col("gap_low")) / 2
     found = found.withColumn("size", size).withColumn("mid", mid).withColumn("size_pct", F.coalesce(div(F.col("size"), F.col("mid")) * 100, F.lit(0.0)))
     found = found.where((F.col("size") >= F.coalesce("_atr", F.lit(0.0)) * cfg.gap_min_atr) & (F.col("size_pct") >= cfg.gap_min_pct))
-    bars = df.select(*SERIES, F.col("bar_idx").alias("k"), "low", "high", "close")
-    later = found.join(bars, SERIES_LIST).where("k > bar_idx")
     bull = F.col("side") == "bullish"
-    touch = F.when(bull, F.col("low") <= F.col("gap_low")).otherwise(F.col("high") >= F.col("gap_high"))
-    beyond = F.when(bull, F.col("close") < F.col("gap_low")).otherwise(F.col("close") > F.col("gap_high"))
-    depth = F.when(bull, F.col("gap_high") - F.col("low")).otherwise(F.col("high") - F.col("gap_low"))
-    keys = [*SERIES, "bar_idx", "side"]
-    first = F.min(F.when(touch, F.struct("k", beyond.alias("beyond")))).alias("first")
+    # upside down for bullish gaps, so that on both sides a bar fills a gap that reaches its level
+    flip = lambda c: F.when(bull, -F.col(c)).otherwise(F.col(c))
+    sides = df.select(*SERIES, F.col("bar_idx").alias("k"), "low", "high", "close", F.explode(F.array(F.lit("bullish"), F.lit("bearish"))).alias("side"))
+    bars = sides.select(*SERIES, "side", "k", F.when(bull, -F.col("low")).otherwise(F.col("high")).alias("x"), flip("close").alias("close"))
+    level = F.when(bull, -F.col("gap_low")).otherwise(F.col("gap_high"))
+    out = first_reach(found.withColumn("level", level), bars)
     # before the first full touch no bar reaches depth 1, so the deepest of all bars tells the part if there is none
-    filled = later.groupBy(*keys).agg(first, F.max(depth).alias("deepest"))
-    out = found.join(filled, keys, "left")
+    most = bars.withColumn("most", F.max("x").over(Window.partitionBy(*SERIES, "side").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)))
+    out = out.join(most.select(*SERIES, "side", F.col("k").alias("bar_idx"), "most"), [*SERIES, "side", "bar_idx"], "left")
+    out = out.withColumn("deepest", F.when(bull, F.col("gap_high") + F.col("most")).otherwise(F.col("most") - F.col("gap_low")))
+    out = out.withColumn("first", F.when(F.col("reached").isNotNull(), F.struct(F.col("reached").alias("k"), (F.col("reached_close") > F.col("level")).alias("beyond"))))
     part = div(F.greatest(F.coalesce("deepest", F.lit(0.0)), F.lit(0.0)), F.col("size"))
     level = F.when(F.col("first").isNotNull(), 1.0).otherwise(part)
     status = F.when(F.coalesce(F.col("first.beyond"), F.lit(False)), "inverse").when(level >= 0.99, "filled").when(level > 0.05, "partial").otherwise("open")
-    return out.withColumn("status", status).drop("first", "deepest", "_atr")
+    return out.withColumn("status", status).drop("first", "deepest", "_atr", "level", "reached", "reached_close", "most")
 
 
 def order_blocks(df: DataFrame, events: DataFrame, lookback: int = 12) -> DataFrame:
     """The last opposite bar before each break, at most `lookback` bars back: one row for each side and bar (of the
     first break), with whether a later close went through it.  Needs avg_volume."""
     bars = df.select(*SERIES, F.col("bar_idx").alias("k"), F.col("open_time_ms").alias("time"), "open", "high", "low", "close", "volume", "avg_volume")
-    near = events.select(*SERIES, F.col("bar_idx").alias("at"), "rank", "side", "type").join(bars, SERIES_LIST).where((F.col("k") < F.col("at")) & (F.col("k") >= F.col("at") - lookback))
+    before = F.explode(F.sequence(F.col("bar_idx") - lookback, F.col("bar_idx") - 1)).alias("k")
+    near = events.select(*SERIES, F.col("bar_idx").alias("at"), "rank", "side", "type", before).join(bars, [*SERIES_LIST, "k"])
     opposite = near.where(F.when(F.col("side") == "bullish", F.col("close") < F.col("open")).otherwise(F.col("close") > F.col("open")))
     block = F.max(F.struct("k", "time", "high", "low", "volume", "avg_volume", "open", "close"))
     found = opposite.groupBy(*SERIES, "side", "at", "rank", "type").agg(block.alias("b"))
@@ -153,10 +178,10 @@ def order_blocks(df: DataFrame, events: DataFrame, lookback: int = 12) -> DataFr
     found = found.withColumn("_n", first).where("_n = 1").select(
         *SERIES, "side", F.col("b.k").alias("bar_idx"), F.col("b.time").alias("open_time_ms"), F.greatest("b.open", "b.close", "b.high").alias("top"), F.least("b.open", "b.close", "b.low").alias("bottom"),
         F.when(F.coalesce(F.col("b.avg_volume"), F.lit(0.0)) > 0, F.col("b.volume") >= F.col("b.avg_volume")).otherwise(False).alias("strong"), F.col("type").alias("from_event"))
-    closes = df.select(*SERIES, F.col("bar_idx").alias("k"), "close")
-    through = F.when(F.col("side") == "bullish", F.col("close") < F.col("bottom")).otherwise(F.col("close") > F.col("top"))
-    broken = found.join(closes, SERIES_LIST).where(F.col("k") > F.col("bar_idx")).groupBy(*SERIES, "side", "bar_idx").agg(F.bool_or(through).alias("invalidated"))
-    out = found.join(broken, [*SERIES, "side", "bar_idx"], "left").withColumn("invalidated", F.coalesce("invalidated", F.lit(False)))
+    later = Window.partitionBy(*SERIES).orderBy(F.desc("bar_idx")).rowsBetween(Window.unboundedPreceding, -1)
+    closes = df.select(*SERIES, "bar_idx", F.min("close").over(later).alias("_least"), F.max("close").over(later).alias("_most"))
+    through = F.when(F.col("side") == "bullish", F.col("_least") < F.col("bottom")).otherwise(F.col("_most") > F.col("top"))
+    out = found.join(closes, [*SERIES, "bar_idx"], "left").withColumn("invalidated", F.coalesce(through, F.lit(False))).drop("_least", "_most")
     return out.withColumn("mid", (F.col("top") + F.col("bottom")) / 2)
 
 

@@ -200,13 +200,11 @@ def targets(s, d):
 
 
 def gaps(s, d):
-    recent = src.indexed(src.latest(src.daily(s, d).drop("bar_idx", "taker_sell_base"), 260))
-    return shown(structure.gaps(ind.with_atr(recent)), "side", "gap_low", "gap_high", "size_pct", "status")
+    return shown(structure.gaps(ind.with_atr(src.daily(s, d))), "side", "gap_low", "gap_high", "size_pct", "status")
 
 
 def blocks(s, d):
-    recent = src.indexed(src.latest(src.daily(s, d).drop("bar_idx", "taker_sell_base"), 260))
-    p = structure.with_pivots(ind.with_volume(recent))
+    p = structure.with_pivots(ind.with_volume(src.daily(s, d)))
     return shown(structure.order_blocks(p, structure.structure_events(p)), "side", "top", "bottom", "strong", "invalidated", "from_event")
 
 
