@@ -6,9 +6,9 @@ import numpy as np
 import pytest
 
 from tests import series as S
-from wickframe.operators import correlation, funnel, structure
+from wickframe.operators import correlation, funnel, research, structure
 from wickframe.operators import indicators as ind
-from wickframe.plans.queries import QUERIES, TAPE
+from wickframe.plans.queries import QUERIES, TAPE, rows
 from wickframe.sources import bars as src
 
 SMALL = "/root/testdata/sf0.001"
@@ -83,3 +83,34 @@ def test_gaps_and_blocks_of_all_bars(spark):
     for r in rows:
         closes = [b.close for b in bars[r.symbol][at[r.symbol, r.open_time_ms] + 1 :]]
         assert r.invalidated == any(c < r.bottom - 1e-6 if r.side == "bullish" else c > r.top + 1e-6 for c in closes)
+
+
+def descent(z, y, rounds=4000, rate=0.3, l2=1e-3):
+    """The reference's fit."""
+    w, b = np.zeros(z.shape[1]), 0.0
+    for _ in range(rounds):
+        e = 1 / (1 + np.exp(-(z @ w + b))) - y
+        w, b = w - rate * (z.T @ e / len(y) + l2 * w), b - rate * e.mean()
+    return np.array([*w, b])
+
+
+def test_fit_goes_all_the_way(spark):
+    rng = np.random.default_rng(4)
+    z = rng.normal(size=(800, 3))
+    z[:, 1] = 0.8 * z[:, 0] + 0.6 * z[:, 1]
+    y = (rng.random(800) < 1 / (1 + np.exp(-(2.0 * z[:, 0] - 1.5 * z[:, 2] - 2)))).astype(float)
+    d = spark.createDataFrame([(*map(float, r), bool(t)) for r, t in zip(z, y, strict=True)], "a double, b double, c double, hit boolean")
+    w, b = research.logistic_fit(d, ("a", "b", "c"))
+    assert np.abs(np.array([*w, b]) - descent(z, y)).max() < 1e-9 < np.abs(descent(z, y, 30) - descent(z, y)).max()
+
+
+def test_refit_of_the_tape(spark):
+    """Against the reference's fit of the same rows, at sf0.01."""
+    d = "/root/testdata/sf0.01"
+    got = [r.weight for r in QUERIES["logistic_refit"](spark, d).collect()]
+    cols = QUERIES["feature_zscores"](spark, d).columns[2:]
+    t = research.standardised(research.features(research.split(rows(spark, d)))).where("train").select(*cols, "hit").toPandas()
+    z, y = t[cols].to_numpy(float), t.hit.to_numpy(float)
+    want = descent(z, y)
+    print("largest difference", np.abs(np.array(got) - want).max(), "after 30 rounds", np.abs(descent(z, y, 30) - want).max(), len(y), y.mean())
+    assert np.abs(np.array(got) - want).max() < 1e-9

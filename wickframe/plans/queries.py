@@ -270,7 +270,7 @@ def zscores(s, d):
 def refit(s, d):
     z = research.standardised(research.features(research.split(rows(s, d))))
     cols = tuple(f"z_{c}" for c in research.FEATURES)
-    w, b = research.logistic_fit(z.where("train"), cols, rounds=30)
+    w, b = research.logistic_fit(z.where("train"), cols)
     return s.createDataFrame([(c, float(x)) for c, x in zip((*cols, "bias"), (*w, b), strict=True)], "feature string, weight double")
 
 
