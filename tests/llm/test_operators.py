@@ -134,6 +134,24 @@ def test_packing_is_whole_and_tight(corpus, clashing):
     assert len(by) <= 1.03 * sum(r.length for r in rows) / 64 + 2
 
 
+def test_sequences_follow_positions(spark):
+    rng = random.Random(8)
+    texts = [prose(rng, rng.randint(1, 90)) for _ in range(400)]
+    rows = [(i % 300, t, 5000 * (k // 2) + 100 * k) for k, (i, t) in enumerate(zip(rng.sample(range(400), 400), texts, strict=True))]
+    pieces = packing.tokenized_pieces(spark.createDataFrame(rows, "doc_id long, text string, at long"), 64, position="at")
+    got = packing.pack(pieces, 64, shard=100, generations=2).collect()
+    assert {r.position for r in got} == {at for *_, at in rows} and len(got) == pieces.count()
+    shards = defaultdict(list)
+    for r in got:
+        shards[r.sequence_id >> 24].append(r.position)
+    spans = sorted((min(p), max(p)) for p in shards.values())
+    assert len(spans) >= 5 and all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
+    first = {}
+    for r in got:
+        first[r.sequence_id] = min(first.get(r.sequence_id, r.position), r.position)
+    assert [first[k] for k in sorted(first)] == sorted(first.values())
+
+
 def test_evolution_beats_best_fit():
     """Triples that fill a bin exactly: best fit by descending size wastes bins."""
     rng = np.random.default_rng(1)
@@ -247,6 +265,30 @@ def test_training_order_is_sorted_and_documents_come_as_often_as_taken(docs):
     assert mixing.mixed_documents(docs.dropDuplicates(["doc_id"])).columns == docs.columns
 
 
+@pytest.mark.parametrize("broadcast_rows", [10**6, 0])
+def test_mixed_documents_are_the_mix_in_order(spark, corpus, broadcast_rows):
+    """Over several ranges; with repeated, missing and huge doc_ids, and a source of one document."""
+    rows = [*corpus, (2**60, "big id", "en", "s1", 6), (None, "no id a b", "en", "s2", 9), (None, "no id c", "en", "s2", 7), (5, "x y z", "en", "s1", 5), (900, "alone " * 50, "en", "zz", 300)]
+    df = spark.createDataFrame(rows, DOC).repartition(3)
+    out = mixing.mixed_documents(df.toDF("doc_id", "text", "lang", "source", "LANG"), broadcast_rows=broadcast_rows, n_ranges=7)
+    assert out.columns == ["doc_id", "text", "lang", "source", "LANG"]
+    got = out.collect()
+    takes = [(p, -1 if r.doc_id is None else r.doc_id, r.size) for r in mixing.mixed(df).collect() for p in r.positions]
+    assert Counter((-1 if r[0] is None else r[0], len(WORD.findall(r[1] or ""))) for r in got) == Counter(t[1:] for t in takes)
+    place = defaultdict(list)
+    for p, i, n in takes:
+        place[i, n].append(p)
+    seen, last = defaultdict(int), -1.0
+    for r in got:  # every row stands where one of its takes does
+        k = (-1 if r[0] is None else r[0], len(WORD.findall(r[1] or "")))
+        p = sorted(place[k])[seen[k]]
+        seen[k] += 1
+        assert p >= last - 1e-9
+        last = max(last, p)
+    parts = out.rdd.glom().map(len).collect() if broadcast_rows else []
+    assert not parts or sum(x > 0 for x in parts) >= 4
+
+
 def test_mix_of_nothing(nothing):
     assert mixing.mixed(nothing).count() == 0 and mixing.mixed_documents(nothing).count() == 0
 

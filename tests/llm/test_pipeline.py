@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -32,6 +33,8 @@ def test_stages(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.written(stage(spark, docs, sf_dir), name)
         steps[name] = docs.collect()
+        if name == "source_mix":
+            steps["mixed"] = docs
         if name != "packing":
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert {r.doc_id for r in rows} - {r.doc_id for r in steps["language_id"]} == {200, 201, 202}
@@ -41,6 +44,12 @@ def test_stages(spark, sf_dir):
     times = Counter(r.doc_id for r in steps["source_mix"])
     assert set(times.values()) <= {1, 2} and 1.2 < sum(times.values()) / 60 < 1.8
     assert Counter(r.doc_id for r in steps["packing"] if r.piece == 0) == times
+    # passes are told apart, and positions are places in the order that the mix made
+    packed = [(r.position, r.doc_id) for r in steps["packing"] if r.piece == 0]
+    assert len({p for p, _ in packed}) == len(packed)
+    part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long")
+    mixed = steps["mixed"].select((part * (1 << 40) + F.col("_metadata.row_index")).alias("position"), "doc_id").collect()
+    assert sorted(packed) == sorted(map(tuple, mixed))
 
 
 def test_run_gives_the_same_pieces(spark, sf_dir):

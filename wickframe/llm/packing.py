@@ -1,7 +1,7 @@
 """Best-fit packing by a grouping genetic algorithm on islands.
 
-Pieces of documents (at most `capacity` tokens) are dealt at random to shards of a few thousand.  For each shard,
-several islands evolve populations of packings: crossover injects whole well-filled bins of one parent into the
+Pieces of documents (at most `capacity` tokens) are dealt to shards of a few thousand: at random, or, where documents
+have a position, along it, so that sequences follow a training order.  For each shard, several islands evolve populations of packings: crossover injects whole well-filled bins of one parent into the
 other, removes the bins that now hold duplicates, and best-fits the displaced pieces.  Between epochs the islands'
 elites migrate to the next island.  A shard that reaches its lower bound stops early.
 """
@@ -10,13 +10,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wickframe.llm.common import crc_ids, only, trim, written
 from wickframe.llm.tokens import Encoder, batches, default_path
 
 CAPACITY, SHARD, ISLANDS, POPULATION, GENERATIONS, EPOCHS = 1024, 8192, 3, 6, 8, 2
+#: Bits of a position within which documents stay together.
+STEP = 10
 
 
 # ---------------------------------------------------------------- packing of one shard (plain Python and numpy)
@@ -114,39 +116,64 @@ def evolve(sizes: np.ndarray, population: list[np.ndarray], capacity: int, rng,
 
 
 # ---------------------------------------------------------------- distributed
-def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+
+
+def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = 2, position: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, salt: each document's ids and end_id; one of more than `capacity` ids
-    is cut so that all pieces but the first are full.  Null text is empty.  A table in the shared folder, so the
-    random-looking salt of a piece is settled once."""
+    is cut so that all pieces but the first are full.  Null text is empty.  If position names a column of docs (long,
+    not null), pieces have it as `position`.  A table in the shared folder, so the random-looking salt of a piece is settled once."""
+    ordered = position is not None
     path = tokenizer or default_path()
 
     def cut(parts):
         encoder, end, row = Encoder.of_worker(path), np.array([end_id], np.uint32), 0
         for batch in parts:
+            first = 0  # of the run, in the batch
             for doc_ids, texts in batches(batch):
                 out = [[] for _ in range(6)]
-                for doc_id, ids in zip(doc_ids, encoder.encode(texts), strict=True):
+                of = []
+                for k, (doc_id, ids) in enumerate(zip(doc_ids, encoder.encode(texts), strict=True)):
                     ids, row = np.concatenate([ids, end]), row + 1
                     at, piece = 0, 0
                     while at < len(ids):
                         n = (len(ids) - at) % capacity or capacity
                         for col, x in zip(out, (doc_id, piece, at, n, crc_ids(ids[at : at + n]), row), strict=True):
                             col.append(x)
+                        of.append(first + k)
                         at, piece = at + n, piece + 1
+                first += len(doc_ids)
                 trim()
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
+                cols = [pa.array(x, t) for x, t in zip(out, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(cols + ([batch.column(2).take(pa.array(of, pa.int64()))] if ordered else []), names)
 
-    rows = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    pieces = rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, salt long")
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "salt"] + ["position"] * ordered
+    rows = only(docs, "doc_id", "text", *[position] * ordered).withColumn("doc_id", F.col("doc_id").cast("long"))
+    pieces = rows.mapInArrow(cut, PIECES + ", salt long" + ", position long" * ordered)
     return written(pieces.withColumn("salt", F.xxhash64("doc_id", "piece", "salt")), "pieces")
 
 
+def along(pieces: DataFrame, shard: int = SHARD) -> DataFrame:
+    """Adds shard to pieces with a position: about `shard` of them each, ascending with the position.  Counted by steps
+    of 1024 positions, whose documents stay together; the running sum over steps is one task's work."""
+    step = F.shiftright("position", STEP)
+    counts = pieces.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("step", F.floor(before / shard).alias("shard"))
+    return pieces.withColumn("step", step).join(counts, "step").drop("step")
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS) -> DataFrame:
     """Adds sequence_id and offset to pieces (length from 1 to capacity, salt any long): the pieces of a sequence lie
     one after the other from 0 and take at most `capacity` tokens.  Rows that are equal are packed each.  Every shard
-    is a packing problem of its own, of about `shard` pieces at any size of the table."""
-    n = pieces.count()
-    items = pieces.withColumn("shard", F.pmod(F.col("salt"), F.lit(max(1, -(-n // shard)))))
+    is a packing problem of its own, of about `shard` pieces at any size of the table.  If pieces have a position,
+    shards are runs of it, and the sequences of a shard are numbered by the first position in each."""
+    ordered = "position" in pieces.columns
+    if ordered:
+        items = along(pieces, shard)
+    else:
+        items = pieces.withColumn("shard", F.pmod(F.col("salt"), F.lit(max(1, -(-pieces.count() // shard)))))
     # longest first: full pieces lead and need no packing
     sizes = items.groupBy("shard").agg(F.sort_array(F.collect_list(F.col("length").cast("int")), asc=False).alias("sizes"))
     state_type = "shard long, island int, sizes array<int>, packings array<binary>, n_bins int, fill double"
@@ -188,6 +215,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, island
         full = int((length == capacity).sum())
         packed = np.frombuffer(right.column("packing")[0].as_py(), np.int32)
         bins = np.concatenate([np.arange(full), full + packed]).astype(np.int64)
+        if ordered:
+            begin = np.full(int(bins.max()) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(begin, bins, left.column("position").to_numpy())
+            rank = np.empty(len(begin), np.int64)
+            rank[np.argsort(begin, kind="stable")] = np.arange(len(begin))
+            bins = rank[bins]
         order = np.argsort(bins, kind="stable")
         ends = np.cumsum(length[order])
         first = np.searchsorted(bins[order], np.arange(int(bins.max()) + 1))
@@ -198,13 +231,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, island
         out = left.drop_columns(["salt", "shard"])
         return out.append_column("sequence_id", pa.array((shard_no << 24) + bins)).append_column("offset", pa.array(offset))
 
-    return items.groupBy("shard").cogroup(best.groupBy("shard")).applyInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return items.groupBy("shard").cogroup(best.groupBy("shard")).applyInArrow(place, PIECES + ", position long" * ordered + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
-    """All documents as pieces in sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset.  An empty
-    table gives none; null and empty texts are a piece of the end id."""
-    return pack(tokenized_pieces(docs, capacity, tokenizer, end_id), capacity)
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = 2, position: str | None = None) -> DataFrame:
+    """All documents as pieces in sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and position
+    if a column of docs gives one.  An empty table gives none; null and empty texts are a piece of the end id."""
+    return pack(tokenized_pieces(docs, capacity, tokenizer, end_id, position), capacity)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
