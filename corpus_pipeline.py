@@ -34,11 +34,19 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 1024 tokens: a row for each piece of a document."""
-    return packing.pack_documents(docs)
-
-
-STAGES = [("language_id", language), ("near_duplicates", near_duplicates), ("suffix_dedup", repeated_passages), ("source_mix", mix), ("packing", pack)]
+    """Sequences of 1024 tokens, along the training order: a row for each piece of a document.  The order is that of the
+    table's files and of the rows in them; `position` tells a document's passes apart."""
+    part = F.coalesce(F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("long"), F.lit(0))
+    return packing.pack_documents(docs.withColumn("_position", part * (1 << 40) + F.col("_metadata.row_index")), position="_position")
+
+
+STAGES = [
+    ("language_id", language),
+    ("near_duplicates", near_duplicates),
+    ("suffix_dedup", repeated_passages),
+    ("source_mix", mix),
+    ("packing", pack),
+]
 
 #: SQL can express neither the language filters nor the packing.
 ORACLE_SQL = None
