@@ -513,10 +513,45 @@ def test_jaccard_at_the_threshold(spark, seed):
 
 def test_one_of_each_group_stays(corpus, docs):
     kept = [r.doc_id for r in jaccard.one_of_each(docs).collect()]
-    want = [i for i, _, c in brute_components([(i, t) for i, t, *_ in corpus]) if i == c]
+    want = {i for i, _, c in brute_components([(i, t) for i, t, *_ in corpus]) if i == c}  # a repeated row stays once
     assert sorted(kept) == sorted(want)
 
 
+def test_rows_that_share_or_lack_a_doc_id(spark):
+    rng = random.Random(12)
+    a, b, c, d = (prose(rng, 40) for _ in range(4))
+    rows = [(1, a), (1, a + " more"), (1, b), (None, b + " x"), (None, c), (None, c), (None, c + " y"), (2**62, d), (None, None), (None, " "), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar(df).collect())
+    assert got == Counter([(1, 36, 1), (1, 37, 1), (1, 36, 1), (None, 37, 1), (None, 36, None), (None, 36, None), (None, 37, None), (2**62, 36, 2**62), (None, 0, None), (None, 0, None), (7, 0, 7)])
+    kept = Counter((r.doc_id, r.text) for r in jaccard.one_of_each(df).collect())
+    one_of = [[(1, a), (1, a + " more")], [(1, b)], [(None, c), (None, c + " y")], [(2**62, d)], [(None, None)], [(None, " ")], [(7, None)]]
+    assert sum(kept.values()) == len(one_of) and all(sum(kept[x] for x in group) == 1 for group in one_of)
+
+
+def test_overlaps_are_counted_by_ranges_of_the_order(spark):
+    """Ranges follow frequency, then hash; every n-gram is in one, all of about equal size; a missing range shows."""
+    rng = np.random.default_rng(2)
+    sets = []
+    for i in range(60):
+        h = np.unique(rng.integers(-(2**63), 2**63 - 1, 40))
+        n = np.sort(rng.choice([2, 2, 2, 3, 5, 9], len(h))).astype(int)
+        sets.append((i, len(h), h.tolist(), n.tolist()))
+    sets += [(100 + i, n, h, k) for i, n, h, k in sets[:20]]
+    df = spark.createDataFrame(sets, "id long, n long, hashes array<long>, counts array<int>")
+    cuts = jaccard.order_ranges(df, 4)
+    cut = jaccard.cut_sets(df, cuts)
+    order = {h: (n, h % 2**64) for _, _, hs, ns in sets for h, n in zip(hs, ns, strict=True)}
+    parts = defaultdict(list)
+    for r in cut.collect():
+        parts[r.f] += [order[h] for h in r.part]
+    assert sorted(parts) == [0, 1, 2, 3] and sum(map(len, parts.values())) == sum(s[1] for s in sets)
+    assert all(max(parts[f]) < min(parts[f + 1]) for f in range(3)) and min(map(len, parts.values())) > 0.03 * sum(map(len, parts.values()))
+    pairs = spark.createDataFrame([(i, 100 + i) for i in range(20)] + [(0, 1)], "a long, b long")
+    assert {(r.a, r.overlap) for r in jaccard.overlaps(pairs, cut).collect()} >= {(i, sets[i][1]) for i in range(20)}
+    assert all(r.overlap < sets[r.a][1] for r in jaccard.overlaps(pairs, cut.where("f != 2")).collect())
+
+
 def test_jaccard_of_nothing(nothing):
     assert jaccard.similar(nothing).count() == 0
 

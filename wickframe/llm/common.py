@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once by the vectorised loops; arrays of eight bytes a text byte stay small.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Splitting characters of words: space and \t \n \v \f \r.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
@@ -41,6 +41,16 @@ def written(df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that written() made, once nothing will read them again: their successors are written."""
+    from pyarrow import fs
+
+    for df in tables:
+        if files := df.inputFiles():
+            store, path = fs.FileSystem.from_uri(files[0].rsplit("/", 1)[0])
+            store.delete_dir(path)
+
+
 def put_file(folder: str, name: str, data: bytes) -> None:
     """Writes whole files only: under another name first, then renamed."""
     from pyarrow import fs
@@ -151,7 +161,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """R**i and its inverse, modulo 2**64, for i below n."""
     if len(_POWERS.get("p", ())) < n:
-        size = 1 << max(20, int(n).bit_length())
+        size = 1 << max(18, int(n).bit_length())
         inverse = np.uint64(pow(int(_R), -1, 1 << 64))
         for key, base in (("p", _R), ("q", inverse)):
             out = np.ones(1, np.uint64)

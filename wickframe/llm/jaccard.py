@@ -7,7 +7,8 @@ The global order of all n-grams (64-bit hashes of five words) is cut into fragme
    80 % is shared has no partner and goes no further.
 2. Sets that are left are ordered by frequency, rarest first.  Two sets of similarity 0.8 share an n-gram among the
    rarest 20 % of either, so only sets that meet in such a prefix are candidates, if their sizes allow it.
-3. For candidate pairs each fragment counts its overlap separately, and the counts are summed per pair.
+3. The order by frequency (equal ones by hash) is cut into ranges.  Each set is cut along them; for candidate pairs
+   every range counts its overlap separately, and the counts are summed per pair.
 4. Candidates are drawn as stars (each set with a few leaders of its groups), so a group of thousands of near copies
    costs thousands of pairs; links join sets into components; after some rounds with other leaders, all pairs that
    still meet in a prefix from different components are counted.  So no link between components is missed, and links inside one, which
@@ -23,15 +24,15 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wickframe.llm.common import forget, mix, odd, only, pack, runs, shared_base, trim, utf8, word_hashes, written
+from wickframe.llm.common import discard, forget, mix, odd, only, pack, runs, shared_base, trim, utf8, word_hashes, written
 
 WORDS, SIMILARITY = 5, 80
 #: Bytes of text whose n-grams make up about one fragment; bytes and texts of a batch.
 FRAGMENT, BATCH, BATCH_ROWS = 6 << 20, 10 << 20, 60_000
-#: Fragments in which the overlaps of candidate pairs are counted.
+#: Ranges of the frequency order in which the overlaps of candidate pairs are counted.
 PARTS = 4
 #: Rounds of stars before all pairs that are left are counted; leaders of a set in the first round.
 STARS, LEADERS = 5, 8
@@ -73,7 +74,7 @@ def signature(s: np.ndarray) -> bytes:
 
 _CUT = pa.schema([("key", pa.int64()), ("kind", pa.int8()), ("batch", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 _CUT_SQL = "key long, kind byte, batch long, a binary, b binary, c binary"
-_ROW = np.dtype([("doc_id", "<i8"), ("n", "<i8"), ("s0", "<u8"), ("s1", "<u8")])
+_ROW = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("n", "<i8"), ("s0", "<u8"), ("s1", "<u8"), ("t", "<i8")])
 
 
 def planes(h: np.ndarray) -> bytes:
@@ -88,7 +89,7 @@ def unplanes(raw: bytes) -> np.ndarray:
 def _cut(docs: DataFrame, n_fragments: int, words: int) -> DataFrame:
     """Batches of texts, cut along the fragments.  Kind 0, by fragment: hashes, and the text of the batch each is of.
     A hash of several texts of a batch goes only once (text 65535); kind 1, by batch: those texts.  Kind 2, by
-    batch: doc_id, size and signature of every text."""
+    batch: doc_id, size and signature of every text, and a hash of its characters.  docs: doc_id, text, that hash."""
     salt = uuid.uuid4().int & ((1 << 20) - 1)
 
     def cut(parts):
@@ -106,9 +107,9 @@ def _cut(docs: DataFrame, n_fragments: int, words: int) -> DataFrame:
             rows = np.zeros(len(held), _ROW)
             seen: dict[bytes, int] = {}
             sets, of = [], []
-            for k, (doc_id, s) in enumerate(held):
+            for k, (doc_id, t, s) in enumerate(held):
                 sig = signature(s)
-                rows[k] = (doc_id, len(s), *np.frombuffer(sig, np.uint64))
+                rows[k] = (doc_id or 0, doc_id is None, len(s), *np.frombuffer(sig, np.uint64), t)
                 if len(s) and sig not in seen:
                     seen[sig] = k
                     sets.append(s)
@@ -141,10 +142,10 @@ def _cut(docs: DataFrame, n_fragments: int, words: int) -> DataFrame:
 
         for b in parts:
             data, offsets = utf8(b.column(1))
-            ids = b.column(0).to_pylist()
+            ids, ts = b.column(0).to_pylist(), b.column(2).to_pylist()
             for i, j in runs(offsets):
                 at = offsets[i : j + 1]
-                held += zip(ids[i:j], shingles(data[at[0] : at[-1]], at - at[0], words), strict=True)
+                held += zip(ids[i:j], ts[i:j], shingles(data[at[0] : at[-1]], at - at[0], words), strict=True)
                 size += int(at[-1] - at[0])
                 if size >= BATCH or len(held) >= BATCH_ROWS:
                     # a batch's texts are numbered with 16 bits
@@ -206,12 +207,12 @@ def _shared(cuts: DataFrame, n_fragments: int) -> DataFrame:
     return cuts.repartition(n_fragments, "key").mapInArrow(count, _CUT_SQL)
 
 
-_SETS_SQL = "kind byte, doc_id long, n long, sig binary, hashes array<long>, prefix int"
+_SETS_SQL = "kind byte, doc_id long, n long, sig binary, t long, hashes array<long>, counts array<int>, prefix int"
 
 
 def _sets(shared: DataFrame, percent: int) -> DataFrame:
-    """Kind 2: doc_id, size, signature of every text.  Kind 0: one text of each class of its batch that may have
-    links: its shared hashes, rarest first, and how many of them are in its prefix."""
+    """Kind 2: doc_id, size, signature and hash of every text.  Kind 0: one text of each class of its batch that may
+    have links: its shared hashes, rarest first, in how many sets each is, and how many of them are in its prefix."""
 
     def gather(table: pa.Table) -> pa.Table:
         forget()
@@ -226,7 +227,9 @@ def _sets(shared: DataFrame, percent: int) -> DataFrame:
                 single.append((unplanes(r["a"]), np.frombuffer(r["b"], np.uint16), np.frombuffer(r["c"], np.uint32)))
         sig = np.ascontiguousarray(np.stack([rows["s0"], rows["s1"]], 1)).tobytes()
         sigs = [sig[16 * k : 16 * k + 16] if n else None for k, n in enumerate(rows["n"].tolist())]
-        out = [pa.array(np.full(len(rows), 2, np.int8)), pa.array(rows["doc_id"]), pa.array(rows["n"]), pa.array(sigs, pa.binary()), pa.nulls(len(rows), pa.list_(pa.int64())), pa.nulls(len(rows), pa.int32())]
+        doc_ids = pa.array(rows["doc_id"], mask=rows["null"].astype(bool))
+        nothing = [pa.nulls(len(rows), t) for t in (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32())]
+        out = [pa.array(np.full(len(rows), 2, np.int8)), doc_ids, pa.array(rows["n"]), pa.array(sigs, pa.binary()), pa.array(rows["t"]), *nothing]
         h, d, n = (np.concatenate([x[k] for x in single]) if single else np.zeros(0, t) for k, t in enumerate((np.uint64, np.uint16, np.uint32)))
         if many is not None:  # their numbers came once for the batch
             lists = d == 65535
@@ -239,22 +242,45 @@ def _sets(shared: DataFrame, percent: int) -> DataFrame:
         some = alive[d]
         h, d, n = h[some], d[some], n[some]
         order = np.lexsort((h, n, d))
-        h, d = h[order].astype(np.int64), d[order]
+        h, d, n = h[order].astype(np.int64), d[order], np.minimum(n[order], 2**31 - 1).astype(np.int32)
         which = np.flatnonzero(alive)
         edges = np.append(np.searchsorted(d, which), len(d))
         prefix = (rows["n"] - least + 1 - (rows["n"] - have))[which]
-        lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(h))
-        sets = [pa.array(np.zeros(len(which), np.int8)), pa.array(rows["doc_id"][which]), pa.array(rows["n"][which]), pa.array([sigs[k] for k in which], pa.binary()), lists, pa.array(prefix.astype(np.int32))]
-        return pa.Table.from_arrays([pa.chunked_array([a, b]) for a, b in zip(out, sets, strict=True)], ["kind", "doc_id", "n", "sig", "hashes", "prefix"])
+        edges = pa.array(edges.astype(np.int32))
+        lists, counts = pa.ListArray.from_arrays(edges, pa.array(h)), pa.ListArray.from_arrays(edges, pa.array(n))
+        least = pa.array(prefix.astype(np.int32))
+        some = pa.array(which)
+        sets = [pa.array(np.zeros(len(which), np.int8)), *[x.take(some) for x in out[1:5]], lists, counts, least]
+        names = ["kind", "doc_id", "n", "sig", "t", "hashes", "counts", "prefix"]
+        return pa.Table.from_arrays([pa.chunked_array([a, b]) for a, b in zip(out, sets, strict=True)], names)
 
     return shared.groupBy("batch").applyInArrow(gather, _SETS_SQL)
 
 
-def cut_sets(sets: DataFrame, parts: int = PARTS) -> DataFrame:
-    """id, n, f, part: each set's n-grams by fragment."""
-    fragment = lambda h: F.pmod(F.shiftrightunsigned(h, 40), F.lit(parts))
-    cut = sets.select("id", "n", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("f"), "hashes")
-    return cut.select("id", "n", "f", F.filter("hashes", lambda h: fragment(h) == F.col("f")).alias("part")).where(F.size("part") > 0)
+def order_ranges(sets: DataFrame, parts: int = PARTS) -> list[int]:
+    """The frequencies that cut the order of all n-grams into ranges of about equal size: parts - 1 numbers, ascending.
+    Where a frequency has more n-grams than a range holds it is there several times."""
+    if parts < 2 or not sets.limit(1).count():
+        return [0] * (parts - 1)
+    found = sets.select(F.explode("counts").alias("k")).stat.approxQuantile("k", [i / parts for i in range(1, parts)], 0.01)
+    return sorted(int(x) for x in found)
+
+
+def range_of(count: Column, h: Column, cuts: list[int]) -> Column:
+    """The range of an n-gram of that frequency and hash.  One whose frequency is cut several times is in the range
+    that its hash, read as unsigned, falls in: ranges follow the order by frequency and hash."""
+    below = sum((F.when(count > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    at = sum((F.when(count == c, 1).otherwise(0) for c in cuts), F.lit(0))
+    return (below + F.shiftright(F.shiftrightunsigned(h, 33) * (at + 1), 31)).cast("int")
+
+
+def cut_sets(sets: DataFrame, cuts: list[int]) -> DataFrame:
+    """id, n, f, part: each set's n-grams by range of the global order.  sets: id, n, hashes, counts."""
+    of = F.transform("hashes", lambda h, i: range_of(F.get("counts", i), h, cuts))
+    cut = sets.select("id", "n", "hashes", of.alias("of"))
+    cut = cut.select("id", "n", "hashes", "of", F.explode(F.sequence(F.lit(0), F.lit(len(cuts)))).alias("f"))
+    part = F.filter("hashes", lambda h, i: F.get("of", i) == F.col("f"))
+    return cut.select("id", "n", "f", part.alias("part")).where(F.size("part") > 0)
 
 
 def overlaps(pairs: DataFrame, cut: DataFrame) -> DataFrame:
@@ -276,98 +302,139 @@ def components(links: DataFrame, parts: int | None = None) -> DataFrame:
         # the old root learns of the smaller one, and passes it on to all that have it
         told = step.groupBy("old").agg(F.min("root").alias("better"))
         new = written(step.join(told, "old").select("id", "old", F.least("root", "better").alias("root")), "labels", parts)
+        discard(labels)
         if not new.where("root != old").limit(1).count():
+            discard(both)
             return new.select("id", "root")
         labels = new.select("id", "root")
 
 
 def joined(labels: DataFrame | None, found: DataFrame, parts: int | None = None) -> DataFrame:
-    """labels (id, root) after more links (a, b): only the roots that these connect are labelled anew."""
+    """labels (id, root) after more links (a, b): only the roots that these connect are labelled anew.  The table that
+    labels come from goes."""
     if labels is None:
         return components(found, parts)
     root = lambda c: labels.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}"))
     ends = found.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-    moved = components(written(ends.where("a != b").distinct(), "root-links", parts), parts)
+    between = written(ends.where("a != b").distinct(), "root-links", parts)
+    moved = components(between, parts)
     fresh = moved.select("id", F.col("id").alias("root")).join(labels.select("id"), "id", "left_anti")
     every = labels.unionByName(fresh).join(moved.select(F.col("id").alias("root"), F.col("root").alias("better")), "root", "left")
-    return written(every.select("id", F.coalesce("better", "root").alias("root")), "labels", parts)
+    out = written(every.select("id", F.coalesce("better", "root").alias("root")), "labels", parts)
+    discard(between, moved, labels)
+    return out
 
 
-def similar(docs: DataFrame, words: int = WORDS, percent: int = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs (doc_id long, text).
-
-    Words are runs of other bytes than space and \\\\t to \\\\r, A-Z taken as a-z; a text with fewer than `words` is one
-    n-gram; null, empty and blank texts have none and link with nothing.  Two texts link if 100 * intersection >=
-    percent * union; component_id is the smallest doc_id reachable (null doc_ids stand after all others, as the
-    largest long).  Rows with equal doc_id are texts of their own, of one component only if they link.  An empty table
-    gives an empty one."""
-    spark = docs.sparkSession
-    rows = only(docs, "doc_id", "text").withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)))
+def members(docs: DataFrame, words: int = WORDS, percent: int = SIMILARITY) -> DataFrame:
+    """doc_id, t (a hash of the text), n, sig (of the set), root (of the set's component, if it has links) and
+    component_id of every row of docs (doc_id, text)."""
+    rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_fragments = max(1, -(-size // FRAGMENT))
-    shared_base(spark)
+    shared_base(docs.sparkSession)
     # batch numbers and contents must stay as they are whatever is lost, so the last pass over them is written
     gathered = written(_sets(_shared(_cut(rows, n_fragments, words), n_fragments), percent), "sets")
-    members = gathered.where("kind = 2").select("doc_id", "n", "sig")
-    sets = gathered.where("kind = 0").groupBy("sig").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("hashes").alias("hashes"), F.first("prefix").alias("prefix"))
-    # equal doc_ids may belong to different sets: classes get numbers of their own
-    sets = written(sets.select(F.xxhash64("sig").alias("id"), "sig", "n", "hashes", "prefix"), "classes")
+    every = written(gathered.where("kind = 2").select("doc_id", "t", "n", "sig"), "members")
+    # one set of each class, by all 128 bits of its signature; classes get numbers of their own, settled once
+    sets = gathered.where("kind = 0").groupBy("sig").agg(*[F.first(c).alias(c) for c in ("n", "hashes", "counts", "prefix")])
+    sets = written(sets.select(F.monotonically_increasing_id().alias("id"), "sig", "n", "hashes", "counts", "prefix"), "classes")
+    discard(gathered)
+    labels, names = _linked(sets, percent)
+    classes = every.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"))
+    if labels is None:
+        classes = classes.select("sig", F.lit(None).cast("long").alias("root"), F.col("least").alias("component"))
+    else:
+        classes = classes.join(names.join(labels, "id").select("sig", "root"), "sig", "left")
+        whole = classes.where("root is not null").groupBy("root").agg(F.min("least").alias("component"))
+        classes = classes.join(whole, "root", "left").select("sig", "root", F.coalesce("component", "least").alias("component"))
+    # a text without words is alone; one with words has its component's least doc_id
+    own = F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component"))
+    return every.join(classes, "sig", "left").select("doc_id", "t", "n", "sig", "root", own.alias("component_id"))
+
+
+def _linked(sets: DataFrame, percent: int) -> tuple[DataFrame | None, DataFrame]:
+    """id, root of all classes with links (None if there are none); and id, sig of all classes.  The table of sets
+    goes."""
     few = 1 + sets.count() // 50_000  # files of tables with some numbers for each set, or pair
-    cut = written(cut_sets(sets), "cut-sets", 4 * few)
+    names = written(sets.select("id", "sig"), "class-names", few)
+    cut = written(cut_sets(sets, order_ranges(sets)), "cut-sets", 4 * few)
     # place of a prefix n-gram in its whole set: those of this set alone are the rarest and come first
-    met = sets.select("id", "n", F.posexplode(F.expr("slice(hashes, 1, prefix)")).alias("at", "hash"), F.size("hashes").alias("have"))
-    met = written(met.select("hash", "id", "n", (F.col("at") + 1 + F.col("n") - F.col("have")).alias("at")), "prefixes", 4 * few)
-    shared = met.groupBy("hash").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("hash")
-    met = written(met.join(shared, "hash", "left_semi"), "prefixes", 4 * few)
-
-    labels = None
+    at = sets.select("id", "n", F.posexplode(F.expr("slice(hashes, 1, prefix)")).alias("at", "hash"), F.size("hashes").alias("have"))
+    first = written(at.select("hash", "id", "n", (F.col("at") + 1 + F.col("n") - F.col("have")).alias("at")), "prefixes", 4 * few)
+    discard(sets)
+    shared = first.groupBy("hash").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("hash")
+    met = written(first.join(shared, "hash", "left_semi"), "prefixes", 4 * few)
+    discard(first)
+
+    labels, tested = None, []
     # Sizes that can link; and what can still be shared from the n-gram that two sets meet in, if it is their first.
     # Of two linked sets the first common n-gram passes, so no link is lost.
     fits = F.expr(f"100 * least(n, nx) >= {percent} * greatest(n, nx) and (100 + {percent}) * (1 + least(n - at, nx - ax)) >= {percent} * (n + nx)")
-    tested = None
     for step in range(STARS + 1):
         now = met.withColumn("root", F.col("id")) if labels is None else met.join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
         mixed = now.groupBy("hash").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("hash")
         now = now.join(mixed, "hash", "left_semi")
         if step < STARS:
             # leaders of a group: some sets of the component that has most of it, others and more of them each round
-            most = now.groupBy("hash", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("hash").agg(F.max(F.struct("k", F.xxhash64("root", F.lit(step)).alias("j"), "root"))["root"].alias("lead"))
+            most = F.max(F.struct("k", F.xxhash64("root", F.lit(step)).alias("j"), "root"))["root"].alias("lead")
+            most = now.groupBy("hash", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("hash").agg(most)
             nth = F.row_number().over(Window.partitionBy("hash").orderBy(F.xxhash64("id", "hash", F.lit(step))))
-            lead = now.join(most, "hash").where("root = lead").withColumn("_r", nth).where(F.col("_r") <= 4**step).select("hash", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.col("at").alias("ax"))
+            lead = now.join(most, "hash").where("root = lead").withColumn("_r", nth).where(F.col("_r") <= 4**step)
+            lead = lead.select("hash", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.col("at").alias("ax"))
             # each set with those leaders that it meets most often
             pairs = now.join(lead, "hash").where("root != rx").where(fits).groupBy("id", "x").agg(F.count(F.lit(1)).alias("k"))
             nth = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("k"), F.xxhash64("x", F.lit(step))))
             pairs = pairs.withColumn("_r", nth).where(F.col("_r") <= LEADERS * 2**step).select("id", "x")
         else:
-            left = now
-            right = left.select("hash", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.col("at").alias("ax"))
-            pairs = left.join(right, "hash").where("root < rx").where(fits).select("id", "x")
+            right = now.select("hash", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.col("at").alias("ax"))
+            pairs = now.join(right, "hash").where("root < rx").where(fits).select("id", "x")
         pairs = pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        for old in tested:
+            pairs = pairs.join(old, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs", few)
         if not pairs.limit(1).count():
             continue
-        found = written(overlaps(pairs, cut).where(F.expr(f"100 * overlap >= {percent} * (n_a + n_b - overlap)")).select("a", "b"), "found", few)
-        tested = pairs if tested is None else tested.union(pairs)
-        labels = joined(labels, found, few)
-
-    # the smallest doc_id of each class, then of each component; only classes with links have a root of their own
-    classes = members.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"))
-    if labels is not None:
-        classes = classes.join(sets.select("id", "sig").join(labels, "id").select("sig", "root"), "sig", "left")
-        classes = classes.withColumn("root", F.coalesce("root", F.xxhash64("sig")))
-        classes = classes.join(classes.groupBy("root").agg(F.min("least").alias("component")), "root").select("sig", "component")
-    else:
-        classes = classes.select("sig", F.col("least").alias("component"))
-    out = members.join(classes, "sig", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+        linked = F.expr(f"100 * overlap >= {percent} * (n_a + n_b - overlap)")
+        found = written(overlaps(pairs, cut).where(linked).select("a", "b"), "found", few)
+        tested.append(pairs)
+        if found.limit(1).count():
+            labels = joined(labels, found, few)
+        discard(found)
+    discard(cut, met, *tested)
+    return labels, names
+
+
+def similar(docs: DataFrame, words: int = WORDS, percent: int = SIMILARITY) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs (doc_id long, text).
+
+    Words are runs of other bytes than space and \\t to \\r, A-Z taken as a-z; a text with fewer than `words` is one
+    n-gram; null, empty and blank texts have none and link with nothing.  Two texts link if 100 * intersection >=
+    percent * union; component_id is the smallest doc_id reachable (null doc_ids stay null and stand after all others,
+    so a component of such rows alone has none).  Rows with equal doc_id are texts of their own, of one component only
+    if they link.  An empty table gives an empty one."""
+    return members(docs, words, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = SIMILARITY) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component; of rows with equal doc_id in one component, all."""
-    kept = similar(docs, words, percent).where("doc_id = component_id").select(F.col("doc_id").alias("kept_")).distinct()
-    return docs.join(kept, F.coalesce(docs["doc_id"].cast("long"), F.lit((1 << 63) - 1)) == kept["kept_"], "left_semi")
+    """One row of docs for each component: that of the smallest doc_id (null last; of equal ones, the smallest hash of
+    the text; of equal rows, any).  Texts without words are alone and stay."""
+    found = members(docs, words, percent).where("sig is not null")
+    who = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t")
+    group = ("root", F.when(F.col("root").isNull(), F.col("sig")).alias("alone"))
+    least = found.select(*group, who.alias("who")).groupBy("root", "alone", "who").agg(F.count(F.lit(1)).alias("times"))
+    least = least.groupBy("root", "alone").agg(F.min(F.struct("who", "times")).alias("m"))
+    stay = written(least.select(F.col("m.who.doc_id").alias("id_"), F.col("m.who.t").alias("t_"), F.col("m.times").alias("times_")), "stay")
+    have = [c.lower() for c in docs.columns]
+    fresh = docs.toDF(*[f"x{i}" for i in range(len(have))])
+    doc_id, text = F.col(f"x{have.index('doc_id')}").cast("long"), F.col(f"x{have.index('text')}")
+    both = doc_id.eqNullSafe(F.col("id_")) & (F.xxhash64(text) == F.col("t_"))
+    blank = ~F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = fresh.join(stay, both, "left")
+    out = kept.where(blank | (F.col("times_") == 1)).select(*fresh.columns)
+    if stay.where("times_ > 1").limit(1).count():
+        again = kept.where(~blank & (F.col("times_") > 1)).dropDuplicates(["id_", "t_"])
+        out = out.unionByName(again.select(*fresh.columns))
+    return out.toDF(*docs.columns)
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ LENGTH, KMER = 100, 32
 #: Bytes of text in a block file, and whose anchors make up about one fragment; a fixed share of the input each.
 BLOCK, FRAGMENT = 4 << 20, 4 << 20
 #: Longest run of text whose anchors are found at once (places take 24 bits).
-PIECE = 1 << 20
+PIECE = 1 << 18
 _PLACE = np.uint64((1 << 24) - 1)
 _TABLE, _STEPS = odd(21, 256), odd(22, 8)
 
@@ -430,6 +430,8 @@ def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         sha = []
         for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
             sha.append(hashlib.sha256(raw[a:b] if not removed[i] else data[a:b][~gone[a:b]].tobytes()).hexdigest())
+        del raw, data, gone
+        trim()
         return pa.Table.from_arrays([docs.column("c0"), pa.array(np.diff(offsets)), pa.array(removed.astype(np.int64)), pa.array(spans.astype(np.int64)), pa.array(sha)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return plan.groupBy("key").applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
@@ -462,6 +464,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         if n_chars is not None:
             kind = out.schema.field(n_chars).type
             out = out.set_column(n_chars, f"x{n_chars}", pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(kind))
+        del table, docs, ranges, data, raw, touched, gone, texts
+        trim()
         return out
 
     schema = T.StructType([T.StructField(f"x{i}", f.dataType) for i, f in enumerate(docs.schema.fields)])
