@@ -295,9 +295,7 @@ def test_mix_of_nothing(nothing):
 
 # ---------------------------------------------------------------- fingerprints
 def omh(text):
-    k, bins, short = 3, 32, 64
-    toks = list(text) if len(text) < short else WORD.findall(text)
-    return toks, k, bins
+    return re.findall(r"[^\x20\x09-\x0D]{1,8}", text), 3, 32
 
 
 def prints(spark, texts):
@@ -321,7 +319,8 @@ def test_fingerprint_equals_a_sequential_one(spark):
     for text, p in zip(texts, got, strict=True):
         toks, k, bins = omh(text)
         h = hashes([(t,) for t in toks], "xxhash64(a)", "a string")
-        grams = [tuple((h + [None] * k)[i : i + k]) for i in range(max(1, len(h) - k + 1))] if h else []
+        padded = [0] * (k - 1) + h + [0] * (k - 1)
+        grams = [tuple(padded[i : i + k]) for i in range(len(h) + k - 1)] if h else []
         km = [x >> 24 for x in hashes(grams, "xxhash64(a, b, c)", "a long, b long, c long")]
         seen, numbered = Counter(), []
         for x in km:
@@ -350,13 +349,51 @@ def test_fingerprint_feels_order_and_edits(spark):
     assert like[0] == 1 and like[1] > like[2] > like[3] and like[3] < 0.1
 
 
-def test_next_document_wraps_around(spark):
+@pytest.mark.parametrize("n_parts", [1, 7, 40])
+def test_next_document_wraps_around(spark, n_parts):
+    """With ids beyond 2**53 that differ by one, repeated and missing ones."""
     rng = random.Random(3)
-    ids = rng.sample(range(1000), 50) + [5000, 5000]
-    df = spark.createDataFrame([(i, f"t{i}-{k}") for k, i in enumerate(ids)], "doc_id long, text string")
-    got = {(r.doc_id, r.text): r.next.text for r in fingerprint.following(fingerprint.with_next(df, "doc_id", 7), "text").collect()}
-    order = sorted((i, f"t{i}-{k}") for k, i in enumerate(ids))
-    assert got == {a: b[1] for a, b in zip(order, order[1:] + order[:1], strict=True)}
+    ids = rng.sample(range(1000), 30) + [5000] * 9 + [2**62 + k for k in range(25)] + [None] * 20 + [-(2**63), 2**63 - 1]
+    df = spark.createDataFrame([(i, f"t{i}-{k}") for k, i in enumerate(ids)], "doc_id long, text string").repartition(3)
+    t = {r.text: r.t for r in df.select("text", F.xxhash64("text").alias("t")).collect()}
+    got = {(r.doc_id, r.text): r.next.text for r in fingerprint.following(fingerprint.with_next(df, "doc_id", "text", n_parts), "text").collect()}
+    order = sorted(((i is None, i or 0, t[f"t{i}-{k}"], f"t{i}-{k}") for k, i in enumerate(ids)))
+    assert got == {(None if a[0] else a[1], a[3]): b[3] for a, b in zip(order, order[1:] + order[:1], strict=True)}
+
+
+@pytest.mark.parametrize("which", ["all", "one", "none", "nulls"])
+def test_fingerprint_query_equals_brute_force(spark, tmp_path, which):
+    rng = random.Random(11)
+    rows = [(k * 3, prose(rng, rng.randint(1, 40))) for k in range(25)]
+    rows += [(2**60 + k, "x" * (60 + k) + " end") for k in range(8)] + [(7, " ".join("abcdefgh"[:n])) for n in range(8)]
+    rows += [(None, "no id"), (None, None), (900, None), (901, ""), (902, "   "), (903, "ok"), (904, rows[0][1]), (905, "日本語のテキスト" * 12), (904, rows[0][1]), (906, "a😀b" * 30), (907, "w " * 3000)]
+    rows = {"all": rows, "one": [(5, "a b c d e f g h")], "none": [], "nulls": [(None, f"t {k}") for k in range(20)] + rows[:20]}[which]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("Lang", F.lit(1)).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = fingerprint.op10_fingerprint(spark, str(tmp_path)).collect()
+    texts = [(i, t or "") for i, t in rows]
+    t = {r.x: r.t for r in spark.createDataFrame([(x,) for x in {x for _, x in texts}] or [("",)], "x string").select("x", F.xxhash64("x").alias("t")).collect()}
+    order = sorted((i is None, i or 0, t[x], x) for i, x in texts)
+    want = []
+    for a, b in zip(order, order[1:] + order[:1], strict=True):
+        q = len(a[3]) // 4
+        want.append((None if a[0] else a[1], a[3], a[3][: len(a[3]) - q] + b[3][:q], b[3]))
+    p = prints(spark, [x for w in want for x in w[1:]]) if want else []
+    text = lambda p: "".join(f"{x:010x}" for x in p)
+
+    def like(a, b):
+        bins = {x >> 32 for x in a} | {x >> 32 for x in b}
+        return len(set(a) & set(b)) / len(bins) if bins else 1.0
+
+    want = [(i, len(x), hashlib.sha256(e.encode()).hexdigest(), text(p[3 * k]), text(p[3 * k + 1]), like(p[3 * k], p[3 * k + 1]), like(p[3 * k], p[3 * k + 2])) for k, (i, x, e, _) in enumerate(want)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_short_and_unspaced_texts_stay_like_their_edits(spark):
+    """A text of 68 characters that an edit brings under 64, texts of few words, and one without spaces."""
+    for t in ("the quick brown fox jumps over the lazy dog and runs far away home..", "日本語のテキストは空白がありません。" * 8):
+        p = prints(spark, [t, t[: len(t) - len(t) // 4] + "ok"])
+        df = spark.createDataFrame([(p[0], p[1])], "a array<long>, b array<long>")
+        assert df.select(fingerprint.likeness(F.col("a"), F.col("b"))).first()[0] > 0.2
 
 
 # ---------------------------------------------------------------- language

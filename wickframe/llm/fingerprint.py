@@ -1,9 +1,10 @@
 """Order MinHash fingerprints, by DataFrame functions only.
 
-A text's k-mers of words (k = 3; of code points in texts shorter than 64) are numbered by occurrence, and each pair of
-k-mer and number is hashed.  The hashes are dealt to 32 bins; of each bin the two smallest are selected, brought back
-into text order, and hashed together.  Two texts agree in a bin only if they have the same minimal k-mers there in
-the same order, so likeness falls with edits that move text as well as with those that change it.
+A text's units are its words, longer ones cut into runs of eight characters.  Its k-mers of units (k = 3, with two blanks
+before the first unit and after the last) are numbered by occurrence, and each pair of k-mer and number is hashed.  The
+hashes are dealt to 32 bins; of each bin the two smallest are selected, brought back into text order, and hashed
+together.  Two texts agree in a bin only if they have the same minimal k-mers there in the same order, so likeness falls
+with edits that move text as well as with those that change it.
 """
 
 from __future__ import annotations
@@ -11,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wickframe.llm.common import only
+from wickframe.llm.common import only, written
 
-K, BINS, TUPLE, SHORT = 3, 32, 2, 64
-_SPACES = " \t\n\x0b\x0c\r"
+K, BINS, TUPLE = 3, 32, 2
+UNIT = r"[^\x20\x09-\x0D]{1,8}"
 _POS = (1 << 24) - 1  # a k-mer's place, in the low 24 bits
 _HASH = (1 << 33) - 1
 
@@ -25,15 +26,19 @@ def _low(x: Column, mask: int) -> Column:
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds out: array<long>, ascending: for each bin that isn't empty, the bin's number times 2**32 and 32 bits of
-    its hash.  Text must not be null.  Each step is a projection of its own: the ones it reads are read twice, so
-    Catalyst doesn't fold them into it, and each is computed once a row."""
-    t, keep = F.col(text), df.columns
-    bare = F.btrim(t, F.lit(_SPACES))
-    words = F.when(F.length(t) < SHORT, F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0))).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
-    df = df.select(*keep, F.transform(words, lambda w: F.xxhash64(w)).alias("_h"))
-    h = F.col("_h")
-    places = F.when(F.size(h) > 0, F.sequence(F.lit(0), F.greatest(F.size(h) - K, F.lit(0)))).otherwise(F.expr("cast(array() as array<int>)"))
-    kmers = F.transform(places, lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)).bitwiseAND(F.lit(~_POS)).bitwiseOR(_low(i.cast("long"), _POS)))
+    its hash.  Text must not be null; one without words has an empty fingerprint.  Each step is a projection of its
+    own: the ones it reads are read twice, so Catalyst doesn't fold them into it, and each is computed once a row."""
+    keep = df.columns
+    units = F.transform(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)), lambda w: F.xxhash64(w))
+    df = df.select(*keep, units.alias("_u"))
+    blanks = F.array(*[F.lit(0).cast("long")] * (K - 1))
+    df = df.select(*keep, F.concat(blanks, "_u", blanks).alias("_h"), F.size("_u").alias("_n"))
+    h, n = F.col("_h"), F.col("_n")
+    # places take 24 bits: in texts of over 16 million k-mers some neighbours share one
+    coarse = F.greatest(F.ceil(F.log2(n + K)).cast("int") - 24, F.lit(0))
+    places = F.when(n > 0, F.sequence(F.lit(0), n + K - 2)).otherwise(F.expr("cast(array() as array<int>)"))
+    kmer = lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(K)])
+    kmers = F.transform(places, lambda i: kmer(i).bitwiseAND(F.lit(~_POS)).bitwiseOR(F.call_function("shiftright", i, coarse).cast("long")))
     df = df.select(*keep, F.sort_array(kmers).alias("_p"))
     p = F.col("_p")
     same = lambda x, y: F.shiftright(x, 24) == F.shiftright(y, 24)
@@ -84,41 +89,60 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(bins == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(bins, F.lit(1)).cast("double"))
 
 
-def with_next(df: DataFrame, key: str, n_parts: int | None = None) -> DataFrame:
-    """Adds `next`: a struct of the columns of the following row in ascending key (equal keys by text; null last),
-    after the last the first.  Rows are dealt to ranges of the key; the first rows of a range also go, as guests,
-    to the range before, so no task sees more than its range."""
-    spark = df.sparkSession
-    n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df = df.withColumn("_key", F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)))
-    cuts = df.select("_key").stat.approxQuantile("_key", [i / n for i in range(1, n)], 1 / (4 * n)) if n > 1 else []
-    low = df.agg(F.min("_key")).first()[0]
-    heads = sorted({int(c) for c in cuts} | {low}) if low is not None else [0]
-    cols = [c for c in df.columns if c != "_key"]
-    found = F.size(F.filter(F.array(*[F.lit(h) for h in heads]), lambda h: h <= F.col("_key"))) - 1
-    df = df.withColumn("_part", found)
-    head = F.element_at(F.array(*[F.lit(h) for h in heads]), F.col("_part") + 1) == F.col("_key")
-    guest = F.when(F.col("_part") == 0, F.lit(len(heads))).otherwise(F.col("_part")) - 1
+def _order(key: str, text: str) -> Column:
+    """Rows stand in ascending key, null last; rows of equal key by a hash of their text."""
+    return F.struct(F.col(key).isNull().alias("last"), F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("key"), F.xxhash64(text).alias("t"))
+
+
+def with_next(df: DataFrame, key: str, text: str, n_parts: int | None = None) -> DataFrame:
+    """The rows of df, dealt to ranges of their order (see _order); a range's first row also goes, as a guest, to the
+    range before (that of the first range to the last), so no task sees more than its range.  Adds _order, _part, _guest
+    and _turn, for following().  The ranges begin at rows that are there: ranges of the order's columns alone tell
+    where.  Each row finds its range in two steps, by every s-th range and by those in between."""
+    n = n_parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slim = df.select(_order(key, text).alias("o")).select("o.*")
+    ranged = slim.repartitionByRange(n, "last", "key", "t").select(F.spark_partition_id().alias("p"), F.struct("last", "key", "t").alias("o"))
+    heads = written(ranged.groupBy("p").agg(F.min("o").alias("o")), "range-heads")
+    heads = heads.agg(F.array_sort(F.collect_list("o")).alias("heads"))
+    step = max(1, round(n**0.5))
+    every = F.filter("heads", lambda h, i: i % step == 0)
+    table = heads.select(F.struct("heads", every.alias("every"), F.size("heads").alias("n")).alias("ranges"))
+    cols = df.columns
+    df = df.select(*cols, _order(key, text).alias("_order"), table.scalar().alias("_ranges"))
+    upto = lambda a: F.size(F.filter(a, lambda h: h <= F.col("_order"))) - 1
+    df = df.select(*cols, "_order", "_ranges", upto(F.col("_ranges.every")).alias("_coarse"))
+    block = F.slice("_ranges.heads", F.col("_coarse") * step + 1, step)
+    df = df.select(*cols, "_order", "_ranges", (F.col("_coarse") * step + upto(block)).alias("_part"))
+    head = F.get("_ranges.heads", F.col("_part")) == F.col("_order")
+    before = F.when(F.col("_part") == 0, F.col("_ranges.n")).otherwise(F.col("_part")) - 1
     own = lambda p, g, turn: F.struct(p.alias("part"), g.alias("guest"), turn.alias("turn"))
+    here = own(F.col("_part"), F.lit(False), F.lit(0))
     # a guest of the last range comes after all its rows
-    wraps = F.when(F.col("_part") == 0, 1).otherwise(0)
-    df = df.withColumn("_to", F.explode(F.when(head, F.array(own(F.col("_part"), F.lit(False), F.lit(0)), own(guest, F.lit(True), wraps))).otherwise(F.array(own(F.col("_part"), F.lit(False), F.lit(0))))))
-    return df.select(*cols, "_key", F.col("_to.part").alias("_part"), F.col("_to.guest").alias("_guest"), F.col("_to.turn").alias("_turn"))
+    there = own(before, F.lit(True), F.when(F.col("_part") == 0, 1).otherwise(0))
+    df = df.select(*cols, "_order", F.explode(F.when(head, F.array(here, there)).otherwise(F.array(here))).alias("_to"))
+    df = df.select(*cols, "_order", F.col("_to.part").alias("_part"), F.col("_to.guest").alias("_guest"), F.col("_to.turn").alias("_turn"))
+    return df.repartitionById(n, F.col("_part"))
 
 
 def following(df: DataFrame, text: str) -> DataFrame:
-    """The rows of with_next with `next`, without the guests."""
-    cols = [c for c in df.columns if c not in ("_key", "_part", "_guest", "_turn")]
-    order = Window.partitionBy("_part").orderBy("_turn", "_key", text, "_guest")
+    """The rows of with_next with `next`, a struct of the columns of the following row (after the last row, the first),
+    without the guests."""
+    cols = [c for c in df.columns if c not in ("_order", "_part", "_guest", "_turn")]
+    order = Window.partitionBy("_part").orderBy("_turn", "_order", "_guest", text)
     return df.withColumn("next", F.lead(F.struct(*cols)).over(order)).where(~F.col("_guest")).select(*cols, "next")
 
 
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: fingerprints of all documents, of their edited texts, and how alike these and the next documents are.
-    A table of one row is followed by itself; an empty table gives an empty one."""
+    A table of one row is followed by itself; an empty table gives an empty one; rows of equal doc_id follow each other
+    by a hash of their text, those without one come last."""
     docs = only(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    rows = following(with_fingerprint(with_next(docs, "doc_id"), "text", "print"), "text")
+    rows = following(with_next(with_fingerprint(docs, "text", "print"), "doc_id", "text"), "text")
     n, quarter = F.length("text"), F.floor(F.length("text") / 4).cast("int")
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "print", F.col("next.print").alias("next_print"), F.concat(F.expr("left(text, length(text) - int(floor(length(text) / 4)))"), F.substring(F.col("next.text"), F.lit(1), quarter)).alias("edited"))
+    edited = F.concat(F.expr("left(text, length(text) - int(floor(length(text) / 4)))"), F.substring(F.col("next.text"), F.lit(1), quarter))
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "print", F.col("next.print").alias("next_print"), edited.alias("edited"))
     rows = with_fingerprint(rows, "edited", "edited_print")
-    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("print")).alias("fingerprint"), as_text(F.col("edited_print")).alias("edited_fingerprint"), likeness(F.col("print"), F.col("edited_print")).alias("near_edited"), likeness(F.col("print"), F.col("next_print")).alias("near_next"))
+    return rows.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("print")).alias("fingerprint"),
+        as_text(F.col("edited_print")).alias("edited_fingerprint"), likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
+        likeness(F.col("print"), F.col("next_print")).alias("near_next"))
