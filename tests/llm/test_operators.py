@@ -211,6 +211,23 @@ def test_examples_hold_all_turns_before_the_reply(spark):
     assert not re.search(r"</s>|\[INST\]", "".join(r.text for r in got))
 
 
+def test_loss_is_what_lies_under_the_mask(spark):
+    """A mask that is off by a character, and a transcript that lacks one, show in what is read back."""
+    rows = [(1, t, role, f"{role} {t} <s> \\\\ x") for t, role in enumerate(["user", "assistant", "user", "assistant"])]
+    turns = chat.formatted_turns(spark.createDataFrame(rows, CONV))
+    spans, lines = chat.examples(turns), chat.transcripts(turns)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    texts = [text for *_, role, text in rows if role == "assistant"]
+    one = chat.read_output(lines, spans).first()
+    assert (one.loss_chars, one.loss_sha256) == (sum(map(len, texts)), sha("".join(texts)))
+    assert one.formatted_chars == sum(len(r.text) for r in chat.written_out(turns).collect())
+    late = spans.withColumn("loss_start", F.col("loss_start") + 1)
+    assert chat.read_output(lines, late).first().loss_sha256 == sha("".join(t[1:] for t in texts))
+    short = spans.withColumn("loss_end", F.col("loss_end") - 1)
+    assert chat.read_output(lines, short).first().loss_sha256 == sha("".join(t[:-1] for t in texts))
+    assert chat.read_output(lines.withColumn("formatted", F.expr("substring(formatted, 2)")), spans).first().turns_sha256 != one.turns_sha256
+
+
 def test_chat_of_nothing(spark):
     assert chat.read_back(chat.formatted_turns(spark.createDataFrame([], CONV))).count() == 0
 

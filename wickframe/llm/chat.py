@@ -69,20 +69,36 @@ def written_out(turns: DataFrame) -> DataFrame:
     return joined.select("conv_id", "target_turn", F.expr("substring(formatted, 1, int(end))").alias("text"), "loss_start", "loss_end")
 
 
-def read_back(conversation_turns: DataFrame) -> DataFrame:
+def read_back(turns: DataFrame) -> DataFrame:
     """What the formatted output says of each conversation: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256,
     formatted_chars (of all examples' texts), n_examples."""
-    spans = examples(conversation_turns).groupBy("conv_id").agg(
-        F.array_sort(F.collect_list("target_turn")).alias("targets"), F.sum("end").alias("formatted_chars"), F.count("target_turn").alias("n_examples"))
-    both = transcripts(conversation_turns).withColumn("key", F.struct("conv_id")).join(spans.select(F.struct("conv_id").alias("key"), "targets", "formatted_chars", "n_examples"), "key")
+    return read_output(transcripts(turns), examples(turns))
+
+
+def read_output(formatted: DataFrame, spans: DataFrame) -> DataFrame:
+    """read_back() of transcripts and examples.  Segments are found by their marks, and their places by the lengths of
+    those before; what is trainable is what lies between an example's loss_start and loss_end, wherever these point in
+    the segment of its turn.  An example's text ends where the transcript does, if not before."""
     pieces = F.split("formatted", r"<\|im_end\|>\n", -1)
-    both = both.withColumn("pieces", F.slice(pieces, F.lit(1), F.greatest(F.lit(0), F.size(pieces) - 1)))
-    parts = F.transform("pieces", lambda p: let(F.split(p, r"<\|im_sep\|>", 2), lambda s: F.struct(unescaped(F.substring(s[0], len(START) + 1, 1 << 30)).alias("role"), unescaped(s[1]).alias("text"))))
-    both = both.withColumn("turns", parts)
-    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform("targets", lambda i: F.element_at("turns", i)["text"]), "")
-    both = both.select("conv_id", F.size("turns").cast("long").alias("n_turns"), said.alias("said"), loss.alias("loss"), "formatted_chars", "n_examples")
-    return both.select("conv_id", "n_turns", F.sha2("said", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.col("formatted_chars").cast("long").alias("formatted_chars"), "n_examples")
+    pieces = F.slice(pieces, F.lit(1), F.greatest(F.lit(0), F.size(pieces) - 1))
+    rows = formatted.select(F.struct("conv_id").alias("key"), F.posexplode(pieces).alias("pos", "piece"))
+    size = F.length("piece") + len(END)
+    ahead = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("begin", F.coalesce(F.sum(size).over(ahead), F.lit(0)))
+    rows = rows.withColumn("whole", F.sum(size).over(Window.partitionBy("key")))
+    masks = spans.select(
+        F.struct("conv_id").alias("key"), (F.coalesce("target_turn", "context_turns") - 1).alias("pos"), "target_turn", "loss_start", "loss_end", "end")
+    rows = rows.join(masks, ["key", "pos"], "left")
+    said = let(F.split("piece", r"<\|im_sep\|>", 2), lambda s: F.concat(unescaped(F.substring(s[0], len(START) + 1, 1 << 30)), F.lit("\n"), unescaped(s[1]), F.lit("\n")))
+    loss = F.when(F.col("target_turn").isNotNull(), F.expr("substring(piece, int(loss_start - begin) + 1, int(loss_end - loss_start))"))
+    rows = rows.select("key", "pos", said.alias("said"), unescaped(loss).alias("loss"), "target_turn", F.when(F.col("end").isNotNull(), F.least("end", "whole")).alias("chars"))
+    every = F.array_sort(F.collect_list(F.struct("pos", "said", "loss"))).alias("turns")
+    both = rows.groupBy("key").agg(every, F.sum("chars").alias("formatted_chars"), F.count("target_turn").alias("n_examples"))
+    text = lambda c: F.array_join(F.transform("turns", lambda t: t[c]), "").alias(c)
+    both = both.select("key.conv_id", F.size("turns").cast("long").alias("n_turns"), text("said"), text("loss"), "formatted_chars", "n_examples")
+    return both.select(
+        "conv_id", "n_turns", F.sha2("said", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.col("formatted_chars").cast("long").alias("formatted_chars"), "n_examples")
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
