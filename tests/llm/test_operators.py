@@ -432,6 +432,29 @@ def test_language_filters(spark):
     assert kept.where("doc_id < 900").count() == 30
 
 
+def test_predictions_equal_those_of_plain_sets(spark):
+    """The query against counts of n-grams in sets, without any filter: only false positives may differ, and none here."""
+    rng = random.Random(14)
+    letters = {"en": "etaoinshr", "fr": "éàucqvejl", "de": "ßüöäwkzgn"}
+    rows = [(i, prose(rng, 30, letters[k]), k) for i, k in enumerate(list(letters) * 30)] + [(500, None, "en"), (501, "", None), (502, "étaoins", "fr"), (None, "etao inshr", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    train = [(t, k) for i, t, k in rows if t is not None and k is not None and zlib.crc32(str(i).encode()) % 4 != 2 and i is not None]
+    counts = {k: Counter() for k in letters}
+    fours = lambda t: [x[i : i + 4] for x in [b" " + bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in t.lower().encode()) + b" "] for i in range(len(x) - 3)]
+    for t, k in train:
+        counts[k].update(fours(t))
+    rate = {k: {g: n / sum(c.values()) for g, n in c.items()} for k, c in counts.items()}
+    best = {g: max(r.get(g, 0) for r in rate.values()) for c in counts.values() for g in c}
+    sets = {k: {g for g, x in r.items() if x >= 0.3 * best[g]} for k, r in rate.items()}
+    got = langid.identify(df, langid.learn(df.where("doc_id is not null and crc32(cast(cast(doc_id as string) as binary)) % 4 != 2"))).collect()
+    for r, (_, t, _) in zip(sorted(got, key=lambda r: (r.doc_id is None, r.doc_id)), sorted(rows, key=lambda r: (r[0] is None, r[0])), strict=True):
+        n = {k: sum(g in s for g in fours(t or "")) for k, s in sets.items()}
+        if not re.search(r"[^\W\d_]", t or ""):
+            assert (r.lang_pred, r.score) == ("und", 0)
+        else:
+            assert r.lang_pred == max(sorted(n), key=n.get) and abs(r.score - max(n.values()) / max(1, sum(n.values()))) < 0.02
+
+
 def test_bloom_slices_have_no_false_negatives():
     rng = np.random.default_rng(0)
     sets = {f"l{k:02}": rng.integers(0, 1 << 32, 500).astype(np.uint32) for k in range(70)}  # more than 64 languages
@@ -472,6 +495,30 @@ def test_toxicity_without_labels(docs, spark, nothing):
     assert {r.score for r in toxicity.scored(docs, m).collect()} == {0.5} and toxicity.scored(nothing, m).count() == 0
 
 
+def test_ftrl_equals_the_update_rule():
+    """Against a sequential version over dictionaries."""
+    rng = np.random.default_rng(7)
+    rows = [np.unique(rng.integers(0, 30, 6)) for _ in range(120)]
+    y = np.array([float((0 in r) or k % 9 == 0) for k, r in enumerate(rows)])
+    z, n = defaultdict(float), defaultdict(float)
+    heavy = (y == 0).sum() / y.sum()
+
+    def weight(i, l1):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - np.sign(z[i]) * l1) / ((1 + n[i] ** 0.5) / 0.5 + 0.1)
+
+    for _ in range(3):
+        for r, t in zip(rows, y, strict=True):
+            places = [(i, 0.7) for i in r.tolist()] + [(30, 0.0)]
+            ws = [weight(i, p) for i, p in places]
+            g = (1 / (1 + np.exp(-sum(ws))) - t) * (heavy if t else 1)
+            for (i, _), w in zip(places, ws, strict=True):
+                s = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / 0.5
+                z[i] += g - s * w
+                n[i] += g * g
+    w, b = toxicity.ftrl(rows, y, 30, passes=3, alpha=0.5, l1=0.7, l2=0.1, balance=1.0)
+    assert np.allclose(w, [weight(i, 0.7) for i in range(30)]) and np.isclose(b, weight(30, 0.0))
+
+
 def test_ftrl_is_sparse():
     rng = np.random.default_rng(2)
     rows = [np.unique(rng.integers(1, 200, 20)) for _ in range(300)]
@@ -504,6 +551,21 @@ def test_topk_equals_brute_force(spark, n):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == brute_top(rows, 5, 10)
 
 
+def test_repeated_ids_are_rows_of_their_own(spark):
+    """Two queries of one id, and candidates that share an id with others or with a query."""
+    rng = np.random.default_rng(5)
+    ids = [50, 50, 100, *range(1, 40), *range(1, 40), 7, 7]
+    vectors = [[int(x) for x in rng.integers(-50, 50, 6)] for _ in ids]
+    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in zip(ids, vectors, strict=True)], "id long, v array<double>")
+    got = topk.top_k(df.where("id % 50 = 0"), df, 5, block=16, per_query_block=2).collect()
+    want = []
+    for i, q in zip(ids, vectors, strict=True):
+        if i % 50 == 0:
+            scores = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in zip(ids, vectors, strict=True) if j != i)
+            want += [(i, k + 1, j, -x) for k, (x, j) in enumerate(scores[:5])]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+
+
 def test_topk_prunes():
     rng = np.random.default_rng(1)
     c = np.floor(rng.normal(size=(500, 32)) * np.linspace(80, 1, 32) * np.linspace(3, 0.1, 500)[:, None])

@@ -109,12 +109,12 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, block: int = BL
     """query_id, rank, vec_id, score: for each query the k candidates of highest inner product, its own id left out,
     ties to the smaller id; all, if fewer.  Both sides: id long, v array<double> of whole numbers (whole()).  Vectors
     of different lengths are compared as if the shorter ended in zeros; scores beyond a long stop at its ends; equal
-    ids are rows of their own.
+    ids are rows of their own, as queries too.
 
     Candidates are range-partitioned by length, longest first, and written as block files to the shared folder, the
     queries likewise.  The longest block gives each query a first k-th score; then every other block of candidates is
-    read once, by one task, against those query blocks that could still find something in it.  The driver holds a few
-    numbers for each block of queries and no vector."""
+    read once, by one task, against those query blocks that could still find something in it.  The driver holds no list
+    of blocks and no vector, but the rotation (dims by dims)."""
     spark = candidates.sparkSession
     dims = candidates.agg(F.max(F.size("v"))).first()[0]
     if dims is None:
@@ -148,8 +148,13 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, block: int = BL
     blocks, q_blocks = blocks_of(candidates, block), blocks_of(queries, per_query_block)
     seeds = [r["file"] for r in blocks.orderBy(F.desc("longest"), "file").limit(SEED).collect()]
 
-    def rows(found, q_ids):
-        return [pa.array([int(q_ids[i]) for i, _, _ in found], pa.int64()), pa.array([x for _, x, _ in found], pa.int64()), pa.array([x for _, _, x in found], pa.int64())]
+    seed_type = "q_file string, q_at int, query_id long, vec_id long, score long"
+
+    def rows(name, found, q_ids):
+        of = [i for i, _, _ in found]
+        cols = [pa.array([name] * len(of), pa.string()), pa.array(of, pa.int32()), pa.array([int(q_ids[i]) for i in of], pa.int64())]
+        cols += [pa.array([x for _, x, _ in found], pa.int64()), pa.array([x for _, _, x in found], pa.int64())]
+        return pa.RecordBatch.from_arrays(cols, ["q_file", "q_at", "query_id", "vec_id", "score"])
 
     def seed(parts):
         for b in parts:
@@ -157,42 +162,55 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, block: int = BL
                 q_ids, q = load(name)
                 for c_name in seeds:
                     found = search_block(q_ids, q, np.full(len(q), -np.inf), *load(c_name), basis, k, lead)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), *rows(found, q_ids)], ["q_file", "query_id", "vec_id", "score"])
+                    yield rows(name, found, q_ids)
 
-    seeded = written(q_blocks.repartition(n_tasks, "file").mapInArrow(seed, "q_file string, query_id long, vec_id long, score long"), "seed-scores")
-    kth = seeded.groupBy("q_file", "query_id").agg(F.element_at(F.sort_array(F.collect_list("score"), asc=False), k).alias("floor"))
-    per_block = kth.groupBy("q_file").agg(F.collect_list("query_id").alias("ids"), F.collect_list(F.coalesce(F.col("floor").cast("double"), F.lit(float("-inf")))).alias("floors"))
+    seeded = written(q_blocks.repartition(n_tasks, "file").mapInArrow(seed, seed_type), "seed-scores")
+    kth = seeded.groupBy("q_file", "q_at").agg(F.element_at(F.sort_array(F.collect_list("score"), asc=False), k).alias("floor"))
+    floor = F.coalesce(F.col("floor").cast("double"), F.lit(float("-inf")))
+    per_block = kth.groupBy("q_file").agg(F.collect_list("q_at").alias("at"), F.collect_list(floor).alias("floors"))
 
     def floors(parts):
         for b in parts:
             for r in b.to_pylist():
                 name = uuid.uuid4().hex
-                put_file(folder, name, np.array(r["ids"], "<i8").tobytes() + np.array(r["floors"], "<f8").tobytes())
+                put_file(folder, name, np.array(r["at"], "<i8").tobytes() + np.array(r["floors"], "<f8").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([r["q_file"]]), pa.array([name]), pa.array([min(r["floors"])])], ["q_file", "floor_file", "least"])
 
-    known = {r["q_file"]: (r["floor_file"], r["least"]) for r in written(per_block.mapInArrow(floors, "q_file string, floor_file string, least double"), "floor-list").collect()}
-    todo = [(r["file"], r["longest"], *known.get(r["file"], (None, float("-inf")))) for r in q_blocks.collect()]
+    known = written(per_block.mapInArrow(floors, "q_file string, floor_file string, least double"), "floor-list")
+
+    def listed(parts):
+        sink, name = pa.BufferOutputStream(), uuid.uuid4().hex
+        with pa.ipc.new_stream(sink, list_schema) as out:
+            for b in parts:
+                out.write_batch(pa.RecordBatch.from_arrays(b.columns, schema=list_schema))
+        put_file(folder, name, sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
+
+    # the list of query blocks is a file as well: one row for each block, read by every task
+    list_schema = pa.schema([("file", pa.string()), ("longest", pa.float64()), ("floor_file", pa.string()), ("least", pa.float64())])
+    todo = q_blocks.join(known.withColumnRenamed("q_file", "file"), "file", "left").select("file", "longest", "floor_file", "least")
+    todo = written(todo.repartition(1).mapInArrow(listed, "name string"), "query-list").first()["name"]
 
     def search(parts):
+        queries = pa.ipc.open_stream(get_file(folder, todo)).read_all().to_pylist()
         for b in parts:
             for c_name, longest in zip(b.column("file").to_pylist(), b.column("longest").to_pylist(), strict=True):
                 ids, c = load(c_name)
-                for q_name, q_longest, floor_name, least in todo:
-                    if longest * q_longest * (1 + SLACK) < least:
+                for r in queries:
+                    least = -np.inf if r["least"] is None else r["least"]
+                    if longest * r["longest"] * (1 + SLACK) < least:
                         continue
-                    q_ids, q = load(q_name)
+                    q_ids, q = load(r["file"])
                     floor = np.full(len(q), -np.inf)
-                    if floor_name:
-                        raw = get_file(folder, floor_name)
-                        of = dict(zip(np.frombuffer(raw[: len(raw) // 2], "<i8").tolist(), np.frombuffer(raw[len(raw) // 2 :], "<f8").tolist(), strict=True))
-                        floor = np.array([of.get(i, -np.inf) for i in q_ids.tolist()])
-                    found = search_block(q_ids, q, floor, ids, c, basis, k, lead)
-                    yield pa.RecordBatch.from_arrays(rows(found, q_ids), ["query_id", "vec_id", "score"])
+                    if r["floor_file"]:
+                        raw = get_file(folder, r["floor_file"])
+                        floor[np.frombuffer(raw[: len(raw) // 2], "<i8")] = np.frombuffer(raw[len(raw) // 2 :], "<f8")
+                    yield rows(r["file"], search_block(q_ids, q, floor, ids, c, basis, k, lead), q_ids)
 
     rest = blocks.where(~F.col("file").isin(seeds))
-    later = rest.repartition(n_tasks, "file").mapInArrow(search, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    every = seeded.select("query_id", "vec_id", "score").unionByName(later)
+    later = rest.repartition(n_tasks, "file").mapInArrow(search, seed_type)
+    best = Window.partitionBy("q_file", "q_at").orderBy(F.desc("score"), "vec_id")
+    every = seeded.unionByName(later)
     return every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -1,7 +1,7 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features of a text: its words, pairs of neighbours, pairs with one word between, and the first four bytes of longer
-words (inflected forms share them); each is there or not, hashed to 2**20 places.  Per-coordinate learning rates and
+Features of a text: its words, pairs of neighbours, pairs with one word between, and the first four, six and eight bytes
+of longer words (inflected forms and compounds share them); each is there or not, hashed to 2**20 places.  Per-coordinate learning rates and
 an L1 term leave few weights that are not zero; these, a bounded number, go to every task.
 """
 
@@ -16,7 +16,9 @@ from wickframe.llm.common import IS_SPACE, LOWER, crc_mod, forget, mix, only, ru
 
 #: Labelled texts to learn from at most (a sample by hash of the doc_id); places; passes; FTRL's parameters.
 TRAIN_ROWS, BITS, PASSES = 12_000, 20, 10
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.0
+ALPHA, BETA, L1, L2, BALANCE = 1.0, 1.0, 24.0, 0.0, 1.0
+#: Bytes of the heads of longer words.
+HEADS = (4, 6, 8)
 #: Training ignores features of fewer texts than this.
 RARE = 3
 THRESHOLD = 0.7
@@ -35,19 +37,26 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[n
                 same = doc[:-gap] == doc[gap:]
                 parts.append(pair[same] >> shift)
                 docs.append(doc[:-gap][same])
-        ok = starts + 4 < np.append(offsets[1:], len(data))[doc] if len(doc) else np.zeros(0, bool)
-        at = starts[ok]
-        if len(at):
-            four = [LOWER[data[at + k]] for k in range(5)]
-            long = ~np.logical_or.reduce([IS_SPACE[x] for x in four])
-            head = sum(four[k][long].astype(np.uint64) << np.uint64(8 * k) for k in range(4))
-            parts.append(mix(head + np.uint64(0x517CC1B727220A95)) >> shift)
-            docs.append(doc[ok][long])
+        ends = np.append(offsets[1:], len(data))[doc] if len(doc) else np.zeros(0, np.int64)
+        at, of, head, have = starts, doc, np.zeros(len(starts), np.uint64), 0
+        for size in HEADS:
+            inside = at + size < ends[: len(at)]
+            at, of, head, ends = at[inside], of[inside], head[inside], ends[inside]
+            more = [LOWER[data[at + k]] for k in range(have, size + 1)]
+            long = ~np.logical_or.reduce([IS_SPACE[x] for x in more]) if len(at) else np.zeros(0, bool)
+            at, of, ends = at[long], of[long], ends[long]
+            head = head[long] + sum(x[long].astype(np.uint64) << np.uint64(8 * (have + k)) for k, x in enumerate(more[:-1]))
+            parts.append(mix(head + np.uint64(0x517CC1B727220A95) * np.uint64(size)) >> shift)
+            docs.append(of)
+            have = size
     return np.concatenate(parts).astype(np.int64), np.concatenate(docs)
 
 
-def ftrl(rows: list[np.ndarray], labels: np.ndarray, n: int, passes: int = PASSES, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> tuple[np.ndarray, float]:
-    """Weights and bias.  rows: each example's feature places, without repeats.  The bias has no L1 term."""
+def ftrl(rows: list[np.ndarray], labels: np.ndarray, n: int, passes: int = PASSES, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2, balance: float = BALANCE) -> tuple[np.ndarray, float]:
+    """Weights and bias.  rows: each example's feature places, without repeats.  The bias has no L1 term.  Examples of
+    label 1 count as much more as there are fewer of them, to the power `balance`."""
+    ones = max(1, int(labels.sum()))
+    weigh = max(1.0, (len(labels) - ones) / ones) ** balance
     z, s = np.zeros(n + 1), np.zeros(n + 1)
     penalty = np.full(n + 1, l1)
     penalty[n] = 0.0
@@ -60,7 +69,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, n: int, passes: int = PASSE
         for row, y in zip(rows, labels, strict=True):
             i = np.append(row, n)
             w = weight(i)
-            g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
+            g = (1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y) * (weigh if y else 1.0)
             sigma = (np.sqrt(s[i] + g * g) - np.sqrt(s[i])) / alpha
             z[i] += g - sigma * w
             s[i] += g * g
