@@ -289,7 +289,7 @@ def sweep(side: str) -> str:
 
 
 def gaps() -> str:
-    c = Chain().recent(260).atr().with_last_atr()
+    c = Chain().atr().with_last_atr()
     bars = c.top
     c.add(h2=f"lag(high, 2) over {O}", l2=f"lag(low, 2) over {O}").where("h2 < low or l2 > high")
     c.add(side="case when h2 < low then 'bullish' else 'bearish' end", gap_low="case when h2 < low then h2 else high end", gap_high="case when h2 < low then low else l2 end")
@@ -301,7 +301,7 @@ def gaps() -> str:
 
 
 def blocks() -> str:
-    c = Chain().recent(260).volume().pivots()
+    c = Chain().volume().pivots()
     bars = c.top
     c.events()
     c.raw(f"select e.symbol, e.tf, e.side, e.i as ev, e.rnk, e.type, max(b.i) as k from {{t}} e join {bars} b on b.symbol = e.symbol and b.i < e.i and b.i >= e.i - 12 and (case when e.side = 'bullish' then b.close < b.open else b.close > b.open end) group by all")
@@ -396,7 +396,7 @@ def correlated() -> str:
     return c.out("a", "b", f"{R('xy / nullif(sqrt(xx * yy), 0)')} as r", keys="")
 
 
-VECTORS = f"""with v as (select vec_id, [cast(x as double) for x in embedding] as e from embeddings where vec_id < 40),
+VECTORS = f"""with v as (select vec_id, [cast(x as double) for x in embedding] as e from embeddings),
 m as (select vec_id, e, list_avg(e) as mu from v), z as (select vec_id, [x - mu for x in e] as e from m),
 p as (select a.vec_id as a, b.vec_id as b, list_sum([a.e[i] * b.e[i] for i in range(1, len(a.e) + 1)]) / nullif(sqrt(list_sum([x * x for x in a.e]) * list_sum([x * x for x in b.e])), 0) as r from z a join z b on a.vec_id < b.vec_id)
 select a as symbol, b as peer, {R('r')} as r from p where r >= 0.2::double union all select b, a, {R('r')} from p where r >= 0.2::double"""
@@ -487,7 +487,7 @@ def _stoch() -> str:
 
 
 def _candidates() -> str:
-    c = stage3("long or short").where("i % 50 = 0").where("true order by abs(change_6) desc, symbol, i limit 50")
+    c = stage3("long or short").where("true order by abs(change_6) desc, symbol, i limit 50")
     return c.out("case when long and not short then 'long' when short and not long then 'short' else 'both' end as hint", rounded=("change_6",))
 
 
