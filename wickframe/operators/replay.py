@@ -131,20 +131,48 @@ def cooled(trades: DataFrame, by: tuple = SERIES, exit_col: str = "exit_k") -> D
     return trades.join(kept, [*by, "bar_idx"], "left_semi")
 
 
-def trade_stats(trades: DataFrame, *by: str) -> DataFrame:
-    """n, win rate (%), mean and total R, profit factor (null without losses), and exits by reason.  Needs r, why."""
+def _stats() -> list[Column]:
     gain, loss = F.sum(F.when(F.col("r") > 0, F.col("r")).otherwise(0.0)), -F.sum(F.when(F.col("r") <= 0, F.col("r")).otherwise(0.0))
     count = lambda x: F.count_if(F.col("why") == x).alias(f"n_{x}")
-    return trades.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), (F.count_if(F.col("r") > 0) * 100.0 / F.count(F.lit(1))).alias("win_pct"), F.avg("r").alias("avg_r"), F.sum("r").alias("total_r"), F.when(loss > 0, div(gain, loss)).alias("profit_factor"),
-        *[count(x) for x in ("target", "even", "stop", "time")])
+    n = F.count(F.lit(1))
+    win = (F.count_if(F.col("r") > 0) * 100.0 / n).alias("win_pct")
+    factor = F.when(loss > 0, div(gain, loss)).alias("profit_factor")
+    return [n.alias("n"), win, F.avg("r").alias("avg_r"), F.sum("r").alias("total_r"), factor, *[count(x) for x in ("target", "even", "stop", "time")]]
+
+
+def trade_stats(trades: DataFrame, *by: str) -> DataFrame:
+    """n, win rate (%), mean and total R, profit factor (null without losses), and exits by reason.  Needs r, why."""
+    return trades.groupBy(*by).agg(*_stats())
+
+
+def trade_report(trades: DataFrame, *by: str, order: tuple = ("bar_idx",)) -> DataFrame:
+    """trade_stats() and drawdown() of the same groups in one pass over the trades."""
+    return _run_down(trades, by, order).groupBy(*by).agg(*_stats(), _deepest())
+
+
+def report_groups(trades: DataFrame, edges: tuple = (25, 40, 55, 70, 101), stages: tuple = (1, 2, 3)) -> DataFrame:
+    """A row of each trade for `all`, for its band of score, and for its stage: group, and ord, the order in which the
+    trades of a group are summed (the whole list by symbol, the others by score first)."""
+    band = F.lit(None).cast("string")
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        band = F.when((F.col("score") >= a) & (F.col("score") < b), f"score {a}-{b}").otherwise(band)
+    stage = F.when(F.col("stage").isin(*stages), F.concat(F.lit("stage "), F.col("stage").cast("string")))
+    rows = trades.withColumn("group", F.explode(F.array_compact(F.array(F.lit("all"), band, stage))))
+    return rows.withColumn("ord", F.when(F.col("group") == "all", 0).otherwise(F.col("score")))
+
+
+def _run_down(trades: DataFrame, by: tuple, order: tuple) -> DataFrame:
+    run = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return trades.withColumn("_c", F.sum("r").over(run)).withColumn("_p", F.greatest(F.lit(0.0), F.max("_c").over(run)))
+
+
+def _deepest() -> Column:
+    return F.least(F.lit(0.0), F.min(F.col("_c") - F.col("_p"))).alias("max_drawdown")
 
 
 def drawdown(trades: DataFrame, *by: str, order: tuple = ("bar_idx",)) -> DataFrame:
     """The deepest fall of summed R from its peak so far (at least 0), in the given order within each group."""
-    run = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    d = trades.withColumn("_c", F.sum("r").over(run)).withColumn("_p", F.greatest(F.lit(0.0), F.max("_c").over(run)))
-    return d.groupBy(*by).agg(F.least(F.lit(0.0), F.min(F.col("_c") - F.col("_p"))).alias("max_drawdown"))
+    return _run_down(trades, by, order).groupBy(*by).agg(_deepest())
 
 
 def as_of(left: DataFrame, rates: DataFrame, value: str = "rate") -> DataFrame:
@@ -171,6 +199,17 @@ def paper_resolved(log: DataFrame, bars: DataFrame, as_of_ms: int, cost: float =
     return g.select(*log.columns, state.alias("state"), F.when(is_lost, F.col("lost")).otherwise(F.col("won")).alias("exit_ms"), div(price - F.col("entry"), F.col("entry") - F.col("stop")).alias("r"))
 
 
+def paper_summary(resolved: DataFrame, *by: str) -> DataFrame:
+    """n, closed, wins, win_pct of the closed ones, total_r and total_money of resolved paper trades.  Money is R times
+    the money at risk by the trade's own seed and leverage (seed, leverage, entry, stop)."""
+    closed, won = F.col("state") != "open", F.col("state") == "win"
+    money = F.col("seed") * F.col("leverage") * div(F.col("entry") - F.col("stop"), F.col("entry")) * F.col("r")
+    return resolved.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(closed).alias("closed"), F.count_if(won).alias("wins"),
+        div(F.count_if(won) * 100.0, F.count_if(closed)).alias("win_pct"), F.coalesce(F.sum(F.when(closed, F.col("r"))), F.lit(0.0)).alias("total_r"),
+        F.coalesce(F.sum(F.when(closed, money)), F.lit(0.0)).alias("total_money"))
+
+
 def paper_added(log: DataFrame, new: DataFrame) -> DataFrame:
     """log with new records, except for symbols that have an open one."""
     return log.unionByName(new.join(log.where("state = 'open'").select("symbol").distinct(), "symbol", "left_anti"))

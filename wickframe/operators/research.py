@@ -23,6 +23,36 @@ def lift_table(rows: DataFrame, predicates: dict[str, Column], least: int = 30)
     return out.select("predicate", "n", (rate * 100).alias("rate"), div(rate, base).alias("lift"))
 
 
+def lifts_by(rows: DataFrame, predicates: dict[str, Column], by: str, least: int = 8) -> DataFrame:
+    """by, predicate, n, rate (%), lift against the rows of the same period (or other group), where a predicate holds
+    for at least `least` of them: one pass."""
+    ok = {k: F.coalesce(p, F.lit(False)) for k, p in predicates.items()}
+    aggs = [x for k, p in ok.items() for x in (F.count_if(p).alias(f"n_{k}"), F.count_if(p & F.col("hit")).alias(f"h_{k}"))]
+    one = rows.groupBy(by).agg(F.count(F.lit(1)).alias("all_n"), F.count_if("hit").alias("all_h"), *aggs)
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("predicate"), F.col(f"n_{k}").alias("n"), F.col(f"h_{k}").alias("h")) for k in ok]))
+    out = one.select(by, "all_n", "all_h", each.alias("x")).select(by, "all_n", "all_h", "x.*").where(F.col("n") >= least)
+    rate, base = div(F.col("h"), F.col("n")), div(F.col("all_h"), F.col("all_n"))
+    return out.select(by, "predicate", "n", (rate * 100).alias("rate"), div(rate, base).alias("lift"))
+
+
+def compared(rows: DataFrame, scores: dict[str, Column], least: int = 40, top: int = 3) -> DataFrame:
+    """Models side by side: model, n (rows that score `least` or more), rate, lift, and top_rate, the rate of the best
+    `top` rows of each day (ties by symbol)."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("model"), c.alias("points")) for k, c in scores.items()]))
+    d = rows.select("day", "symbol", "hit", each.alias("m")).select("day", "symbol", "hit", "m.*")
+    nth = F.row_number().over(Window.partitionBy("model", "day").orderBy(F.desc("points"), "symbol"))
+    good, best, hit = F.col("points") >= least, F.col("nth") <= top, F.col("hit").cast("int")
+    g = d.withColumn("nth", nth).groupBy("model").agg(
+        F.count_if(good).alias("n"), F.avg(F.when(good, hit)).alias("rate"), F.avg(hit).alias("base"), F.avg(F.when(best, hit)).alias("top_rate"))
+    return g.select("model", "n", "rate", div(F.col("rate"), F.col("base")).alias("lift"), "top_rate")
+
+
+def newcomers(members: DataFrame, period: str, key: str = "symbol") -> DataFrame:
+    """Rows of members whose key isn't among those of the period before (periods are whole numbers)."""
+    before = members.select(key, (F.col(period) + 1).alias(period)).distinct()
+    return members.join(before, [key, period], "left_anti")
+
+
 def banded(rows: DataFrame, by: str, edges: list[float]) -> DataFrame:
     """Rate and lift by half-open bands [edge, next edge)."""
     band = F.lit(None).cast("string")

@@ -17,7 +17,13 @@ from wickframe.sources import bars as src
 #: The tapes turn over less than an exchange.
 TAPE = dataclasses.replace(Config(), early=Early(min_quote_volume=1_000_000.0))
 KEYS = ("symbol", "tf", "open_time_ms")
-RULES = {"momentum_up": "momentum > 15", "momentum_down": "momentum < -15", "momentum_dead": "abs(momentum) < 15", "change_up": "change_24h > 5", "change_down": "change_24h < -5", "volume_up": "vol_expand >= 1.2", "volume_dry": "vol_expand < 0.8", "box_low": "range_pos < 0.2", "box_high": "range_pos > 0.8", "combo": "abs(momentum) >= 15 and abs(change_24h) >= 5"}
+RULES = {
+    "momentum_up": "momentum > 15", "momentum_25": "momentum > 25", "momentum_40": "momentum > 40", "momentum_down": "momentum < -15", "momentum_down_40": "momentum < -40",
+    "momentum_dead": "abs(momentum) < 15", "change_up": "change_24h > 5", "change_down": "change_24h < -5", "change_up_20": "change_24h > 20", "change_down_20": "change_24h < -20",
+    "volume_up": "vol_expand >= 1.2", "volume_2": "vol_expand > 2", "volume_3": "vol_expand > 3", "volume_dry": "vol_expand < 0.8", "volume_dry_06": "vol_expand < 0.6",
+    "box_low": "range_pos < 0.2", "box_high": "range_pos > 0.8", "box_narrow": "box_width < 100", "box_wide": "box_width > 180", "young": "age_days < 300", "old": "age_days > 800",
+    "funding_strong": "abs(funding) > 0.00012", "funding_flat": "abs(funding) < 0.00006", "breakout": "breakout", "atr_rising": "atr_rising", "above_ema200": "above_ema200", "ema200_rising": "ema200_rising",
+    "combo": "abs(momentum) >= 15 and abs(change_24h) >= 5", "combo_funding": "abs(funding) > 0.00012 and abs(momentum) > 25", "combo_volume": "vol_expand > 1.2 and abs(momentum) > 25", "coil": "vol_expand < 0.7 and box_width < 150"}
 
 
 def shown(df: DataFrame, *cols: str, keys: tuple = KEYS) -> DataFrame:
@@ -305,7 +311,7 @@ def excursions(s, d):
 def exit_grid(s, d):
     """ATR stops, targets and holding times, each combination on every signal, on one pass over the paths."""
     base = replay.with_paths(signals(s, d), src.daily(s, d), 120).where("atr > 0")
-    combos = F.array(*[F.struct(F.lit(float(a)).alias("stop_atr"), F.lit(float(t)).alias("target_r"), F.lit(h).alias("hold")) for a in (2, 4) for t in (2, 4, 6) for h in (30, 90)])
+    combos = F.array(*[F.struct(F.lit(float(a)).alias("stop_atr"), F.lit(float(t)).alias("target_r"), F.lit(h).alias("hold")) for a in (1.5, 2, 3, 4) for t in (1, 1.5, 2, 3) for h in (30, 60)])
     g = base.withColumn("c", F.explode(combos)).select("*", "c.*").withColumn("risk", F.col("atr") * F.col("stop_atr")).where("risk > 0 and risk < fill")
     g = g.withColumn("path", F.filter("path", lambda b: b["k"] <= F.col("bar_idx") + F.col("hold"))).withColumn("last", F.element_at("path", -1)).withColumn("last_k", F.col("last.k"))
     g = replay.with_fixed_exit(g, F.col("target_r"), COST)
@@ -324,9 +330,7 @@ def backtest(s, d):
 
 
 def backtest_stats(s, d):
-    t = trades(s, d)
-    by = replay.trade_stats(t, "symbol").join(replay.drawdown(t, "symbol"), "symbol")
-    return shown(by, "n", "win_pct", "avg_r", "total_r", "profit_factor", "n_target", "n_even", "n_stop", "n_time", "max_drawdown", keys=("symbol",))
+    return shown(replay.trade_report(trades(s, d), "symbol"), "n", "win_pct", "avg_r", "total_r", "profit_factor", "n_target", "n_even", "n_stop", "n_time", "max_drawdown", keys=("symbol",))
 
 
 def control(s, d):

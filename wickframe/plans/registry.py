@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from wickframe.plans.queries import QUERIES, flagship
-from wickframe.plans.sql import ORACLE_SQL
+from wickframe.plans import more, queries, sql
+from wickframe.plans.queries import flagship
+
+QUERIES = queries.QUERIES | more.QUERIES
+ORACLE_SQL = sql.ORACLE_SQL | more.ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

@@ -269,7 +269,7 @@ def control() -> str:
 def exit_grid() -> str:
     c = paths(120, "atr", Chain().results().grid().where(SIGNAL + " and atr > 0"))
     p = c.top
-    combos = "(select unnest([2.0::double, 4.0::double]) as stop_atr) a, (select unnest([2.0::double, 4.0::double, 6.0::double]) as target_r) b, (select unnest([30, 90]) as hold) h"
+    combos = "(select unnest([1.5::double, 2.0::double, 3.0::double, 4.0::double]) as stop_atr) a, (select unnest([1.0::double, 1.5::double, 2.0::double, 3.0::double]) as target_r) b, (select unnest([30, 60]) as hold) h"
     c.raw(f"select g.symbol, g.tf, g.i, g.fill, g.atr * stop_atr as risk, stop_atr, target_r, hold, min(k) filter (l <= p.fill - g.atr * stop_atr) as s, min(k) filter (h >= p.fill + g.atr * stop_atr * target_r) as t, max(k) as last_k, arg_max(c, k) as last_close from {c.sig} g, {combos}, {p} p where p.symbol = g.symbol and p.i = g.i and p.k <= g.i + hold and g.atr * stop_atr < g.fill group by all")
     c.add(r=f"case when s is not null and (t is null or s <= t) then {rm('fill - risk')} when t is not null then {rm('fill + risk * target_r')} else {rm('last_close')} end", why="case when s is not null and (t is null or s <= t) then 'stop' when t is not null then 'target' else 'time' end", exit_k="case when s is not null and (t is null or s <= t) then s else coalesce(t, last_k) end")
     cooled(c, "symbol, stop_atr, target_r, hold", "exit_k")

@@ -4,13 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the folder of spark.checkpoint.dir; where that is unset (tests, one machine), in a
-    temporary one."""
-    context = df.sparkSession.sparkContext
+def base(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir.  Where that is unset a temporary one is made, on one machine only: on a
+    cluster every executor would have its own."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="wickframe-")
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="wickframe-"))
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder."""
+    base(df.sparkSession)
     return df.checkpoint()
