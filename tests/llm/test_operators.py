@@ -81,7 +81,7 @@ def test_token_files_round_trip(spark, corpus, clashing, tmp_path):
     assert [r.start for r in got] == [0, *ends[:-1]]
 
 
-def test_reader_decompresses_only_what_is_asked_for():
+def test_reader_decompresses_only_what_is_asked_for(monkeypatch):
     import io
 
     class Sized(io.BytesIO):
@@ -96,6 +96,13 @@ def test_reader_decompresses_only_what_is_asked_for():
     r = token_files.Reader(Sized(out.getvalue()))
     assert r.find(33)[0].tolist() == list(range(33, 33 + 33 % 9)) and r.frames_read == 1 and len(r.seek) > 5
     assert r.find(7) == [] and r.ids(7).tolist() == list(range(7, 14))
+    monkeypatch.setattr(token_files, "DOC_ROWS", 8)  # the list of documents in several frames
+    again = io.BytesIO()
+    w = token_files.Writer(again, frame=64)
+    for i in range(50):
+        w.add(i, np.arange(i % 9, dtype=np.uint32) + i)
+    w.close()
+    assert [x.tolist() for x in map(token_files.Reader(Sized(again.getvalue())).ids, range(50))] == [list(range(i, i + i % 9)) for i in range(50)]
     broken = bytearray(out.getvalue())
     broken[20] ^= 255
     with pytest.raises(token_files.CorruptFile):
@@ -695,6 +702,26 @@ def test_suffix_dedup_equals_brute_force(corpus, clashing, docs):
     assert suffixes.removals(clashing).count() == len(corpus)  # two rows are equal
 
 
+def test_suffix_dedup_without_doc_ids(spark):
+    rng = random.Random(4)
+    t = prose(rng, 80)
+    rows = [(None, t), (2**63 - 1, t + " end"), (3, t), (None, None)]
+    got = {(r.doc_id, r.n_bytes): r.n_removed for r in suffixes.removals(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
+    n = len(t)
+    assert got == {(None, n): n, (2**63 - 1, n + 4): n, (3, n): 0, (None, 0): 0}
+
+
+def test_segments_of_equal_sums_are_told_apart_by_bytes(spark, monkeypatch):
+    """With sums that say nothing, the result is the same."""
+    rng = random.Random(6)
+    piece = prose(rng, 70)
+    rows = [(k, piece[rng.randint(0, 150) : rng.randint(200, 400)] + "xy" * rng.randint(0, 90)) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(suffixes, "odd", lambda seed, n: np.zeros(n, np.uint64))
+    got = suffixes.removals(df).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_removals(rows)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_suffix_dedup_on_periodic_and_overlapping_texts(spark, seed):
     rng = random.Random(seed)

@@ -3,8 +3,8 @@
 Texts go to block files in the shared folder.  A local-minimum rule picks anchors from each text: whatever `length`
 bytes one looks at, their anchor depends on these bytes alone, so equal strings have equal anchors at equal places.
 Only anchors that occur twice matter; around each, the segment that can hold a string with this anchor (168 bytes
-for strings of 100) is looked at, and equal segments are collapsed: in each block, then, by 128-bit hashes, everywhere.
-Only what is left, different contents around the same anchor, is cut out and moved.
+for strings of 100) is looked at, and equal segments are collapsed: in each block, then between all of them.  Only what is left, different contents around the same anchor, is cut out and moved.  In a block equal means equal bytes; between blocks, equal 128-bit BLAKE2b
+digests.
 
 The segments of a range of anchors are a collection of documents whose suffix order is built column by column: each
 round puts one symbol in front of every document's suffix, and from the symbols in the old order (this column of the
@@ -226,7 +226,7 @@ def _read_block(folder: str, block: int) -> pa.Table:
 
 
 def _segments(shared: DataFrame, folder: str, n_fragments: int, length: int) -> DataFrame:
-    """Kind 0, by fragment: anchors, doc_ids, places, texts, first and last column, 16 bytes that stand for the content,
+    """Kind 0, by fragment: anchors, doc_ids, places, texts, first and last column, 16 bytes of digest of the content,
     of the distinct segments of a block.  Kind 1, by block: ranges that equal an earlier segment of the same block."""
     left, width = length - KMER, 2 * length - KMER
 
@@ -236,41 +236,55 @@ def _segments(shared: DataFrame, folder: str, n_fragments: int, length: int) ->
         want = np.sort(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("a")]))
         docs = _read_block(folder, block)
         data, offsets = utf8(docs.column("c1"))
-        ids = docs.column("c0").to_numpy()
+        ids = _ids(docs)
         p, h = anchors(data, offsets, length)
         at = np.searchsorted(want, h)
         some = want[np.minimum(at, len(want) - 1)] == h
         p, h = p[some], h[some]
         doc = np.searchsorted(offsets, p, "right") - 1
         lo, hi = offsets[doc], offsets[doc + 1]
-        h1, h2 = np.empty(len(p), np.uint64), np.empty(len(p), np.uint64)
-        k1, k2 = odd(31, width), odd(32, width)
-        step = 4096
+        seg = lambda k: segments(data, p[k], lo[k], hi[k], left, width)
+        sums, keys, step = np.empty(len(p), np.uint64), odd(31, -(-width // 8)), 4096
         with np.errstate(over="ignore"):
             for i in range(0, len(p), step):
-                s = segments(data, p[i : i + step], lo[i : i + step], hi[i : i + step], left, width)
-                wide = np.zeros((len(s), -(-width // 8) * 8), np.uint8)
+                s = seg(slice(i, i + step))
+                wide = np.zeros((len(s), 8 * len(keys)), np.uint8)
                 wide[:, :width] = s
-                words = mix(wide.view(np.uint64))
-                h1[i : i + step] = (words * k1[: words.shape[1]]).sum(1, dtype=np.uint64)
-                h2[i : i + step] = (mix(words + k2[: words.shape[1]]) * k2[: words.shape[1]]).sum(1, dtype=np.uint64)
+                sums[i : i + step] = (mix(wide.view(np.uint64)) * keys).sum(1, dtype=np.uint64)
+        # a copy has the bytes of the first segment with its sum; others of that sum are kept as well
+        order = np.lexsort((p, sums))
+        lead = np.append(True, sums[order][1:] != sums[order][:-1]) if len(p) else np.zeros(0, bool)
+        first = order[np.maximum.accumulate(np.where(lead, np.arange(len(p)), 0))] if len(p) else order
+        again, of = order[~lead], first[~lead]
+        same = np.ones(len(again), bool)
+        for i in range(0, len(again), step):
+            same[i : i + step] = (seg(again[i : i + step]) == seg(of[i : i + step])).all(1)
+        copies, keep = np.sort(again[same]), np.sort(np.concatenate([order[lead], again[~same]]))
+        digests = np.empty((len(keep), 2), np.uint64)
+        for i in range(0, len(keep), step):
+            raw = seg(keep[i : i + step]).tobytes()
+            found = [hashlib.blake2b(raw[k : k + width], digest_size=16).digest() for k in range(0, len(raw), width)]
+            digests[i : i + step] = np.frombuffer(b"".join(found), np.uint64).reshape(-1, 2)
         trim()
-        order = np.lexsort((p, h2, h1))
-        new = np.append(True, (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])) if len(p) else np.zeros(0, bool)
-        copies, keep = np.sort(order[~new]), np.sort(order[new])
         begin, end = np.maximum(p - left, lo), np.minimum(p - left + width, hi)
         out = [(block, 1, block, pack(doc[copies].astype(np.int64)), pack((begin - lo)[copies]), pack((end - lo)[copies]))] if len(copies) else []
         frag = _fragments(h[keep], n_fragments)
-        keep = keep[np.argsort(frag, kind="stable")]
-        edges = np.searchsorted(np.sort(frag), np.arange(n_fragments + 1))
-        for f in np.flatnonzero(np.diff(edges)).tolist():
-            k = keep[edges[f] : edges[f + 1]]
-            out.append((f, 0, block, pack(h[k]), pack(ids[doc[k]].astype(np.int64)), pack(p[k] - lo[k]), pack(doc[k].astype(np.int64)), pack((begin - p + left)[k].astype(np.uint8)), pack((end - p + left)[k].astype(np.uint8)), pack(np.stack([h1[k], h2[k]], 1))))
+        by = np.argsort(frag, kind="stable")
+        keep, digests, frag = keep[by], digests[by], frag[by]
+        for f in np.unique(frag).tolist():
+            i, j = np.searchsorted(frag, [f, f + 1])
+            k = keep[i:j]
+            out.append((f, 0, block, pack(h[k]), pack(ids[doc[k]].astype(np.int64)), pack(p[k] - lo[k]), pack(doc[k].astype(np.int64)), pack((begin - p + left)[k].astype(np.uint8)), pack((end - p + left)[k].astype(np.uint8)), pack(digests[i:j])))
         return pa.Table.from_batches([_record(*out)] if out else [], schema=_PART)
 
     return shared.repartition(n_fragments, "key").groupBy("key").applyInArrow(cut, _PART_SQL)
 
 
+def _ids(docs: pa.Table) -> np.ndarray:
+    """The doc_ids; those that are null stand last, as the largest long."""
+    return pc.fill_null(docs.column("c0"), (1 << 63) - 1).to_numpy()
+
+
 def _columns(rows: list[dict], **kinds) -> list[np.ndarray]:
     return [np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in kinds.items()]
 
@@ -328,7 +342,7 @@ def _bytes(wanted: DataFrame, folder: str, n_fragments: int, length: int) -> Dat
         doc, place, h = _columns(rows, a=np.int64, b=np.int64, c=np.uint64)
         docs = _read_block(folder, block)
         data, offsets = utf8(docs.column("c1"))
-        ids = docs.column("c0").to_numpy()
+        ids = _ids(docs)
         lo, hi = offsets[doc], offsets[doc + 1]
         p = lo + place
         begin, end = np.maximum(p - left, lo) - p + left, np.minimum(p - left + width, hi) - p + left
@@ -403,11 +417,11 @@ def _plan(docs: DataFrame, length: int) -> tuple[DataFrame, str]:
 
 
 def _placed(docs: DataFrame) -> DataFrame:
-    """c0: doc_id (null: the largest long), c1: text (null: empty), then all columns of docs, by place."""
+    """c0: doc_id, c1: text (null: empty), then all columns of docs, by place."""
     have = [c.lower() for c in docs.columns]
     fresh = docs.toDF(*[f"x{i}" for i in range(len(have))])
     doc_id, text = F.col(f"x{have.index('doc_id')}"), F.col(f"x{have.index('text')}")
-    return fresh.select(F.coalesce(doc_id.cast("long"), F.lit((1 << 63) - 1)).alias("c0"), F.coalesce(text, F.lit("")).alias("c1"), *fresh.columns)
+    return fresh.select(doc_id.cast("long").alias("c0"), F.coalesce(text, F.lit("")).alias("c1"), *fresh.columns)
 
 
 def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -415,7 +429,7 @@ def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     Bytes are those of the UTF-8 text; null is empty; strings never cross texts.  A string is repeated if it also
     starts in a text of smaller doc_id or earlier in the same text.  Rows with equal doc_id are texts of their own, in
-    an order that is settled once.  Null doc_ids stand last, as the largest long."""
+    an order that is settled once.  Null doc_ids stay null and stand last."""
     plan, folder = _plan(_placed(only(docs, "doc_id", "text")).select("c0", "c1"), length)
 
     def finish(table: pa.Table) -> pa.Table:

@@ -1,8 +1,8 @@
 """Token-id files: independent zstandard frames with a trailing seek table and per-frame checksums.
 
 Layout of a file: frames, each holding the little-endian unsigned 32-bit ids of whole documents; a skippable frame
-(magic 0x184D2A5D) with a row for each document (doc_id int64, frame uint32, first id in its frame uint64, number of
-ids uint64); a skippable frame (magic 0x184D2A5E) with the seek table of the public zstandard seekable format:
+(magic 0x184D2A5D) with a row for each document (doc_id int64, uint8 that is 1 if there is none, frame uint32, first id
+in its frame uint64, number of ids uint64), and further ones if a file has more documents than one can list; a skippable frame (magic 0x184D2A5E) with the seek table of the public zstandard seekable format:
 for each frame its compressed size, decompressed size and the low 32 bits of the XXH64 of its contents, then the
 number of frames, a descriptor byte with the checksum flag, and the magic 0x8F92EAB1.  A reader seeks to the end,
 reads the table, and decompresses only the frames of the documents asked for.
@@ -25,6 +25,8 @@ from wickframe.llm.tokens import Encoder, batches, default_path
 FRAME = 1 << 18
 DOCS_MAGIC, TABLE_MAGIC, END_MAGIC = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 _DOC = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("frame", "<u4"), ("at", "<u8"), ("n", "<u8")])
+#: Documents in a skippable frame, whose size has 32 bits.
+DOC_ROWS = 1 << 24
 _SEEK = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("check", "<u4")])
 
 
@@ -62,8 +64,9 @@ class Writer:
     def close(self) -> None:
         if self._held:
             self._close_frame()
-        docs = np.array(self._docs, _DOC).tobytes()
-        self._out.write(struct.pack("<II", DOCS_MAGIC, len(docs)) + docs)
+        for i in range(0, max(1, len(self._docs)), DOC_ROWS):
+            docs = np.array(self._docs[i : i + DOC_ROWS], _DOC).tobytes()
+            self._out.write(struct.pack("<II", DOCS_MAGIC, len(docs)) + docs)
         table = np.array(self._seek, _SEEK).tobytes() + struct.pack("<IBI", len(self._seek), 0x80, END_MAGIC)
         self._out.write(struct.pack("<II", TABLE_MAGIC, len(table)) + table)
 
@@ -81,10 +84,15 @@ class Reader:
         self.seek = np.frombuffer(file.read(frames * _SEEK.itemsize), _SEEK)
         self.at = np.concatenate([[0], np.cumsum(self.seek["packed"], dtype=np.int64)])
         file.seek(int(self.at[-1]))
-        magic, size = struct.unpack("<II", file.read(8))
-        if magic != DOCS_MAGIC:
+        rows = []
+        while True:
+            magic, size = struct.unpack("<II", file.read(8))
+            if magic != DOCS_MAGIC:
+                break
+            rows.append(np.frombuffer(file.read(size), _DOC))
+        if not rows or magic != TABLE_MAGIC:
             raise CorruptFile("no document table")
-        self.docs = np.frombuffer(file.read(size), _DOC)
+        self.docs = np.concatenate(rows)
         self.frames_read, self._last = 0, (-1, None)
 
     def _frame(self, k: int) -> np.ndarray:
