@@ -6,6 +6,8 @@ but the last return the columns of documents.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,26 +15,47 @@ from wickframe.llm import jaccard, langid, mixing, packing, suffixes
 from wickframe.llm.common import crc_mod, written
 
 
+#: Texts are long: so many rows go to a Python worker at once, a tenth of Spark's default, whose batches of some ten
+#: megabytes stay with the executors' buffers.  It changes no result.
+BATCH_ROWS = "1000"
+
+
+def over_texts(stage):
+    """The stage, with short batches to and from Python workers in its session."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@over_texts
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is none of the known ones (or that have no letter) go."""
     return langid.accepted(docs, langid.learn(docs.where(crc_mod(F.col("doc_id"), 4) != 2)))
 
 
+@over_texts
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id stays."""
     return jaccard.one_of_each(docs)
 
 
+@over_texts
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 100 bytes that occurred before are taken out of the texts."""
     return suffixes.without_repeats(docs)
 
 
+@over_texts
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources to their target shares, in training order; a document that is taken twice comes twice."""
     return mixing.mixed_documents(docs)
 
 
+@over_texts
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 1024 tokens, along the training order: a row for each piece of a document.  The order is that of the
     table's files and of the rows in them; `position` tells a document's passes apart."""
