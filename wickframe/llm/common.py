@@ -20,9 +20,13 @@ SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 # ---------------------------------------------------------------- shared folder
 def shared_base(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests, one machine), a temporary one is set."""
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one is made, on one machine only:
+    on a cluster every executor would have its own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="wickframe-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -95,6 +99,12 @@ def forget() -> None:
 
 
 # ---------------------------------------------------------------- columns
+def dealt(df: DataFrame, n: int) -> DataFrame:
+    """Fragment f of n (the column key) as partition f, one to each task: by a hash of the key, some tasks would hold
+    several at once.  Larger keys, of rows that only pass through, are dealt over all."""
+    return df.repartitionById(n, F.pmod("key", F.lit(n)).cast("int"))
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns, whatever else the table has (first of those with equal names, without regard to case)."""
     have = [c.lower() for c in df.columns]

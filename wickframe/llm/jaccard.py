@@ -27,11 +27,11 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wickframe.llm.common import discard, forget, mix, odd, only, pack, runs, shared_base, trim, utf8, word_hashes, written
+from wickframe.llm.common import dealt, discard, forget, mix, odd, only, pack, runs, shared_base, trim, utf8, word_hashes, written
 
 WORDS, SIMILARITY = 5, 80
 #: Bytes of text whose n-grams make up about one fragment; bytes and texts of a batch.
-FRAGMENT, BATCH, BATCH_ROWS = 6 << 20, 10 << 20, 60_000
+FRAGMENT, BATCH, BATCH_ROWS = 6 << 20, 8 << 20, 60_000
 #: Ranges of the frequency order in which the overlaps of candidate pairs are counted.
 PARTS = 4
 #: Rounds of stars before all pairs that are left are counted; leaders of a set in the first round.
@@ -114,13 +114,15 @@ def _cut(docs: DataFrame, n_fragments: int, words: int) -> DataFrame:
                     seen[sig] = k
                     sets.append(s)
                     of.append(k)
-            held, size = [], 0
+            held, size, s = [], 0, None
             out = [(batch, 2, batch, rows.tobytes(), b"", b"")]
             if sets:
-                h = np.concatenate(sets)
                 d = np.repeat(np.array(of, np.uint16), [len(s) for s in sets])
+                h = np.concatenate(sets)
+                sets.clear()
                 order = np.argsort(h, kind="stable")
                 h, d = h[order], d[order]
+                del order
                 lead = np.empty(len(h), bool)
                 lead[0] = True
                 lead[1:] = h[1:] != h[:-1]
@@ -136,7 +138,7 @@ def _cut(docs: DataFrame, n_fragments: int, words: int) -> DataFrame:
                     i, j = edges[f], edges[f + 1]
                     some = d[i:j] == 65535
                     out.append((f, 0, batch, planes(h[i:j]), pack(d[i:j]), pack(n[i:j][some])))
-                del h, d, n, sets, order, frag
+                del h, d, n, many, frag
             trim()
             return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out, strict=True), _CUT, strict=True)], schema=_CUT)
 
@@ -183,8 +185,10 @@ def _shared(cuts: DataFrame, n_fragments: int) -> DataFrame:
                 batches.append(r["batch"])
         if not hs:
             return
-        h, d, n = np.concatenate(hs), np.concatenate(ds), np.concatenate(ns)
-        del hs, ds, ns
+        h = np.concatenate(hs)
+        hs.clear()
+        d, n = np.concatenate(ds), np.concatenate(ns)
+        ds.clear(), ns.clear()
         of = np.repeat(np.arange(len(batches), dtype=np.int32), bs)
         order = np.argsort(h, kind="stable")
         h = h[order]
@@ -196,6 +200,7 @@ def _shared(cuts: DataFrame, n_fragments: int) -> DataFrame:
         run = np.cumsum(lead) - 1
         some = total[run] > 1
         h, d, of, total = h[some], d[order][some], of[order][some], np.minimum(total[run[some]], 2**32 - 1).astype(np.uint32)
+        del n, run, some, lead, order
         order = np.argsort(of, kind="stable")
         h, d, of, total = h[order], d[order], of[order], total[order]
         trim()
@@ -204,7 +209,7 @@ def _shared(cuts: DataFrame, n_fragments: int) -> DataFrame:
             i, j = edges[k], edges[k + 1]
             yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip((batches[k], 0, batches[k], planes(h[i:j]), pack(d[i:j]), pack(total[i:j])), _CUT, strict=True)], schema=_CUT)
 
-    return cuts.repartition(n_fragments, "key").mapInArrow(count, _CUT_SQL)
+    return dealt(cuts, n_fragments).mapInArrow(count, _CUT_SQL)
 
 
 _SETS_SQL = "kind byte, doc_id long, n long, sig binary, t long, hashes array<long>, counts array<int>, prefix int"

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wickframe.llm.common import forget, get_file, mix, odd, only, pack, put_file, runs, shared_path, trim, utf8, written
+from wickframe.llm.common import dealt, forget, get_file, mix, odd, only, pack, put_file, runs, shared_path, trim, utf8, written
 
 LENGTH, KMER = 100, 32
 #: Bytes of text in a block file, and whose anchors make up about one fragment; a fixed share of the input each.
@@ -218,7 +218,7 @@ def _repeated_anchors(found: DataFrame, n_fragments: int) -> DataFrame:
         for k in np.flatnonzero(np.diff(edges)).tolist():
             yield _record((rows[k]["block"], 0, rows[k]["block"], pack(h[edges[k] : edges[k + 1]])))
 
-    return found.where("kind = 0").repartition(n_fragments, "key").mapInArrow(count, _PART_SQL)
+    return dealt(found.where("kind = 0"), n_fragments).mapInArrow(count, _PART_SQL)
 
 
 def _read_block(folder: str, block: int) -> pa.Table:
@@ -325,7 +325,7 @@ def _distinct(found: DataFrame, n_fragments: int, length: int) -> DataFrame:
                 yield _record((name, kind, name, pack(doc[k]), pack(from_), pack(to)))
         trim()
 
-    return found.repartition(n_fragments, "key").mapInArrow(pick, _PART_SQL)
+    return dealt(found, n_fragments).mapInArrow(pick, _PART_SQL)
 
 
 def _bytes(wanted: DataFrame, folder: str, n_fragments: int, length: int) -> DataFrame:
@@ -392,7 +392,7 @@ def _marked(found: DataFrame, n_fragments: int, length: int) -> DataFrame:
             k = hit[i:j]
             yield _record((name, 1, name, pack(doc[k]), pack(p[k] - left + first[k]), pack(p[k] - left + last[k] + length)))
 
-    return found.repartition(n_fragments, "key").mapInArrow(mark, _PART_SQL)
+    return dealt(found, n_fragments).mapInArrow(mark, _PART_SQL)
 
 
 def _cover(docs: pa.Table, ranges: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
