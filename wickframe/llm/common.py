@@ -87,7 +87,7 @@ def trim() -> None:
 
 
 def forget() -> None:
-    """Drops what a worker has kept of another operator (an encoder's cache), which would count beside this one."""
+    """Drops what a worker has kept of another operator (an encoder's cache) or task, which would count beside this one."""
     import gc
     import sys
 
@@ -95,7 +95,7 @@ def forget() -> None:
         kept.__dict__.clear()
         gc.unfreeze()
         gc.collect()
-        trim()
+    trim()
 
 
 # ---------------------------------------------------------------- columns

@@ -31,7 +31,7 @@ from wickframe.llm.common import dealt, forget, get_file, mix, odd, only, pack,
 
 LENGTH, KMER = 100, 32
 #: Bytes of text in a block file, and whose anchors make up about one fragment; a fixed share of the input each.
-BLOCK, FRAGMENT = 4 << 20, 4 << 20
+BLOCK, FRAGMENT = 2 << 20, 2 << 20
 #: Longest run of text whose anchors are found at once (places take 24 bits).
 PIECE = 1 << 18
 _PLACE = np.uint64((1 << 24) - 1)
@@ -217,6 +217,8 @@ def _repeated_anchors(found: DataFrame, n_fragments: int) -> DataFrame:
         edges = np.searchsorted(of, np.arange(len(rows) + 1))
         for k in np.flatnonzero(np.diff(edges)).tolist():
             yield _record((rows[k]["block"], 0, rows[k]["block"], pack(h[edges[k] : edges[k + 1]])))
+        del rows, h, of, order, hs, lead, some, twice
+        trim()
 
     return dealt(found.where("kind = 0"), n_fragments).mapInArrow(count, _PART_SQL)
 
@@ -383,6 +385,7 @@ def _marked(found: DataFrame, n_fragments: int, length: int) -> DataFrame:
         trim()
         first, last = repeated(s, rank, begin, end, length)
         del s
+        trim()
         hit = np.flatnonzero(first >= 0)
         if not len(hit):
             return
