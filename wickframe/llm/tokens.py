@@ -6,7 +6,6 @@ So a text is the concatenation of such chunks, and each distinct chunk needs to
 from __future__ import annotations
 
 import gc
-import itertools
 import re
 import sys
 import types
@@ -18,11 +17,8 @@ import pyarrow as pa
 from wickframe.llm.common import runs, utf8
 
 DEFAULT_FILE = "byte_bpe_50k.json"
-#: Chunks kept in memory by a worker: of led and of bare ones, the first of those that came twice, which are mostly
-#: frequent.  Others are encoded anew.
-CACHE, BARE = 250_000, 60_000
-#: Bits that note which chunks came before.
-SEEN = 1 << 23
+#: Chunks kept in memory by a worker.  The cache fills with the first, mostly frequent, ones; others are encoded anew.
+CACHE = 600_000
 #: White space other than space and line end, by Python's or Unicode's definition.
 _OTHER = "\t\r\v\f\x1c\x1d\x1e\x1f\x85\xa0                　"
 
@@ -43,34 +39,24 @@ def _packed(ids: list[int]) -> bytes:
 class _Cache(dict):
     """Ids by word.  A word that isn't there is noted, and found to be None."""
 
-    def __init__(self, most: int):
+    def __init__(self):
         self.missed: set[str] = set()
-        self.most, self.seen = most, np.zeros(SEEN, bool)
 
     def __missing__(self, word: str) -> None:
         self.missed.add(word)
 
-    def learn(self, new: dict[str, bytes]) -> None:
-        """Keeps those of new that came in an earlier call too, while there is room."""
-        if len(self) >= self.most:
-            self.seen = None
-        if self.seen is not None:
-            at = np.fromiter(map(hash, new), np.int64, len(new)) & (SEEN - 1)
-            again = self.seen[at]
-            self.seen[at] = True
-            self.update(itertools.compress(new.items(), again.tolist()))
-
 
 class Encoder:
     """encode(texts) -> one uint32 array for each text, equal to Tokenizer.encode(text, add_special_tokens=False).ids.
     Special-token strings in a text are read as the library reads them by default."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.led = _Cache(CACHE)  # the ids of " x", by x
-        self.bare = _Cache(BARE)  # the ids of x
+        self.most = cache
+        self.led = _Cache()  # the ids of " x", by x
+        self.bare = _Cache()  # the ids of x
         self.cut = re.compile(r"(?<=\S)(?= \S)")
         self.line = self._ids(["\n"])[0]
         self.line_id = int(np.frombuffer(self.line, np.uint32)[0])
@@ -80,15 +66,15 @@ class Encoder:
         self.marks = dict(zip(_MARKS, self._ids(list(_MARKS)), strict=True))
 
     @classmethod
-    def of_worker(cls, path: str) -> Encoder:
-        """One encoder for all tasks that a Python worker runs."""
+    def of_worker(cls, path: str, cache: int = CACHE) -> Encoder:
+        """One encoder for all tasks that a Python worker runs, with at most so many chunks of each kind kept."""
         store = sys.modules.setdefault("_wickframe_worker", types.ModuleType("_wickframe_worker"))
         encoders = store.__dict__.setdefault("encoders", {})
-        if path not in encoders:
-            encoders[path] = cls(path)
+        if (path, cache) not in encoders:
+            encoders[path, cache] = cls(path, cache)
             gc.freeze()  # the cache is much to walk through
             gc.set_threshold(50_000, 20, 50)
-        return encoders[path]
+        return encoders[path, cache]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -135,7 +121,8 @@ class Encoder:
         for x in marked:
             base = x[:-1]
             new[x] = (new.get(base) or cache[base]) + self.marks[x[-1]]
-        cache.learn(new)
+        if len(cache) < self.most:
+            cache.update(new)
         return new
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -166,7 +153,7 @@ class Encoder:
         return out
 
 
-def batches(batch: pa.RecordBatch, most: int = 1 << 20):
+def batches(batch: pa.RecordBatch, most: int = 2 << 20):
     """(ids, texts) of runs of a batch's rows (doc_id, text) with about that many bytes; null is empty."""
     _, offsets = utf8(batch.column(1))
     for i, j in runs(offsets, most):
