@@ -18,6 +18,8 @@ from wickframe.llm.common import crc_mod, written
 #: Texts are long: so many rows go to a Python worker at once, a tenth of Spark's default, whose batches of some ten
 #: megabytes stay with the executors' buffers.  It changes no result.
 BATCH_ROWS = "1000"
+#: Chunks that an encoder keeps: fewer than by default, as executors have run other stages before.
+ENCODER_CACHE = 150_000
 
 
 def over_texts(stage):
@@ -60,7 +62,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 1024 tokens, along the training order: a row for each piece of a document.  The order is that of the
     table's files and of the rows in them; `position` tells a document's passes apart."""
     part = F.coalesce(F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("long"), F.lit(0))
-    return packing.pack_documents(docs.withColumn("_position", part * (1 << 40) + F.col("_metadata.row_index")), position="_position")
+    return packing.pack_documents(docs.withColumn("_position", part * (1 << 40) + F.col("_metadata.row_index")), position="_position", cache=ENCODER_CACHE)
 
 
 STAGES = [
