@@ -161,6 +161,7 @@ def odd(seed: int, n: int) -> np.ndarray:
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+SAME = np.arange(256, dtype=np.uint8)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SPACES)] = True
 _BYTE = odd(7, 256)
@@ -183,14 +184,15 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["p"], _POWERS["q"]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words of each text (runs of other bytes than SPACES, A-Z as a-z): a 64-bit hash each, where each starts
-    (index in data), and for each text the index of its first word (and the end)."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray = LOWER, outside: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each text (runs of bytes that aren't outside: by default other than SPACES; A-Z as a-z, if fold says
+    so): a 64-bit hash each, where each starts (index in data), and for each text the index of its first word (and the
+    end)."""
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     with np.errstate(over="ignore"):
-        inside = ~IS_SPACE[data]
+        inside = ~outside[data]
         before = np.empty(n, bool)
         before[0] = False
         before[1:] = inside[:-1]
@@ -200,7 +202,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         if not len(starts):
             return np.zeros(0, np.uint64), starts, first
         p, q = powers(n)
-        terms = _BYTE[LOWER[data]] * p[:n]
+        terms = _BYTE[fold[data]] * p[:n]
         terms[~inside] = 0
         sums = np.add.reduceat(terms, starts)
         return mix(sums * q[starts]), starts, first

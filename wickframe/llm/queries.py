@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wickframe.llm import chat, fingerprint, jaccard, langid, mixing, packing, suffixes, token_files, topk, toxicity
+from wickframe.llm import chat, covers, fingerprint, jaccard, langid, mixing, packing, suffixes, token_files, topk, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_jaccard": jaccard.op9_jaccard,
     "op10_fingerprint": fingerprint.op10_fingerprint,
+    "op11_covers": covers.op11_covers,
 }
-ORACLE_SQL = {"op1_mixing": mixing.OP1_SQL, "op3_chat": chat.OP3_SQL, "op7_topk": topk.OP7_SQL, "op9_jaccard": jaccard.OP9_SQL}
+ORACLE_SQL = {"op1_mixing": mixing.OP1_SQL, "op3_chat": chat.OP3_SQL, "op7_topk": topk.OP7_SQL, "op9_jaccard": jaccard.OP9_SQL, "op11_covers": covers.OP11_SQL}
