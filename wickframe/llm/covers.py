@@ -171,7 +171,7 @@ def repeated_windows(blocks: DataFrame, folder: str, window: int) -> DataFrame:
         # blocks are in ascending doc_id, so the first place is the earliest
         order = np.lexsort((at, keys[:, 1], keys[:, 0]))
         new = np.append(True, (keys[order][1:] != keys[order][:-1]).any(1)) if len(order) else np.zeros(0, bool)
-        again, kept = np.sort(at[order[~new]]), order[new]
+        again, kept = np.sort(at[order[~new]]), np.sort(order[new])  # by place, which the shuffle's codec makes less of
         of = np.searchsorted(first, at[kept], "right") - 1
         n = len(kept)
         out = [keys[kept, 0].view(np.int64), keys[kept, 1].view(np.int64), ids.take(pa.array(of)), np.full(n, block), at[kept]]
