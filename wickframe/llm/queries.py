@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wickframe.llm import chat, covers, fingerprint, jaccard, langid, mixing, packing, suffixes, token_files, topk, toxicity
+from wickframe.llm import chat, covers, fingerprint, jaccard, langid, mixing, packing, suffixes, token_files, topk, toxicity, tries, wand
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,5 +16,7 @@ QUERIES = {
     "op9_jaccard": jaccard.op9_jaccard,
     "op10_fingerprint": fingerprint.op10_fingerprint,
     "op11_covers": covers.op11_covers,
+    "op12_trie": tries.op12_trie,
+    "op13_wand": wand.op13_wand,
 }
-ORACLE_SQL = {"op1_mixing": mixing.OP1_SQL, "op3_chat": chat.OP3_SQL, "op7_topk": topk.OP7_SQL, "op9_jaccard": jaccard.OP9_SQL, "op11_covers": covers.OP11_SQL}
+ORACLE_SQL = {"op1_mixing": mixing.OP1_SQL, "op3_chat": chat.OP3_SQL, "op7_topk": topk.OP7_SQL, "op9_jaccard": jaccard.OP9_SQL, "op11_covers": covers.OP11_SQL, "op12_trie": tries.OP12_SQL, "op13_wand": wand.OP13_SQL}
