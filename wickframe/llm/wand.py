@@ -31,7 +31,7 @@ TOP = 50
 #: Postings in a block; bytes of text in a segment; items in a block of queries; segments that one task searches.
 BLOCK, SEGMENT, ITEMS, GROUP = 128, 4 << 20, 256, 16
 #: Stretches that seed a threshold, and that are scored at once afterwards.
-SEED, BATCH = 16, 256
+SEED, BATCH = 64, 256
 #: A block whose documents are on average further apart is opened at once.
 SPARSE = 4
 #: Bytes that are no part of a term: of ASCII all but digits and letters.
@@ -170,6 +170,8 @@ class Segment:
         """Documents and occurrences of these blocks, and each block's number of postings."""
         n = self.sizes[blocks]
         self.read += len(blocks)
+        if not len(blocks):
+            return n, n, n
         step = self._values(self._start[blocks], self._wd[blocks], n)
         tf = self._values(self._start[blocks] + n * self._wd[blocks], self._wt[blocks], n)
         upto = np.cumsum(step)
