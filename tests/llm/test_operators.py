@@ -755,3 +755,12 @@ def test_texts_without_repeats_keep_their_columns(corpus, docs, nothing):
     assert rows[400].text is None and rows[401].text == "" and rows[101].text == "" and rows[0].text == next(t for i, t, *_ in corpus if i == 0)
     assert all(r.n_chars == len(r.text) for r in rows.values() if r.text is not None)
     assert suffixes.without_repeats(nothing).count() == 0 and suffixes.removals(nothing).count() == 0
+
+
+def test_fragments_of_anchors_are_even():
+    """Anchors are local minima of hashes; fragments are ranges of what anchors() returns."""
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 123, 3_000_000).astype(np.uint8)
+    _, h = suffixes.anchors(data, np.array([0, len(data)]))
+    n = np.bincount(suffixes._fragments(h, 100), minlength=100)
+    assert n.max() < 4 * n.mean() and n.min() > 0

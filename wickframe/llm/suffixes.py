@@ -31,7 +31,7 @@ from wickframe.llm.common import dealt, forget, get_file, mix, odd, only, pack,
 
 LENGTH, KMER = 100, 32
 #: Bytes of text in a block file, and whose anchors make up about one fragment; a fixed share of the input each.
-BLOCK, FRAGMENT = 2 << 20, 2 << 20
+BLOCK, FRAGMENT = 4 << 20, 16 << 20
 #: Longest run of text whose anchors are found at once (places take 24 bits).
 PIECE = 1 << 18
 _PLACE = np.uint64((1 << 24) - 1)
@@ -79,7 +79,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int
                 p = (low[inside] & _PLACE).astype(np.int64)
                 p = np.unique(p) if len(p) and (np.diff(p) < 0).any() else p[np.append(True, p[1:] != p[:-1])] if len(p) else p
                 places.append(p + at)
-                hashes.append(h[p])
+                hashes.append(mix(h[p]))  # anchors are small hashes; mixed, they are dealt evenly
             if end == stop:
                 break
             at = end - length + 1
