@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wickframe.llm import jaccard, langid, mixing, packing, suffixes
@@ -57,12 +57,27 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
+def in_file_order(docs: DataFrame, name: str, most: int = 1_000_000) -> DataFrame:
+    """docs, read from files, with a column of places in their order: by the number in a file's name (part-N), those
+    without one last; files of one number, and those without, by path; then by row.  There is room for 2**28 rows a
+    file and 4096 files a number.  The table of files, a row each, is broadcast up to so many."""
+    path = F.col("_metadata.file_path")
+    files = docs.select(path.alias("_file")).distinct()
+    part = F.regexp_extract(F.element_at(F.split("_file", "/"), -1), r"^part-(\d+)", 1).try_cast("long")
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy("_file")) - 1
+    first = F.when(F.col("_part").isNull(), (nth + (1 << 22)) * (1 << 40)).otherwise(F.col("_part") * (1 << 40) + nth * (1 << 28))
+    files = files.withColumn("_part", part).select("_file", first.alias("_first"))
+    files = F.broadcast(files) if files.count() <= most else files
+    placed = docs.withColumns({"_file": path, "_row": F.col("_metadata.row_index")}).join(files, "_file")
+    return placed.withColumn(name, F.col("_first") + F.col("_row")).drop("_file", "_row", "_first")
+
+
 @over_texts
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 1024 tokens, along the training order: a row for each piece of a document.  The order is that of the
-    table's files and of the rows in them; `position` tells a document's passes apart."""
-    part = F.coalesce(F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("long"), F.lit(0))
-    return packing.pack_documents(docs.withColumn("_position", part * (1 << 40) + F.col("_metadata.row_index")), position="_position", cache=ENCODER_CACHE)
+    table's files and of the rows in them; `position` tells a document's passes apart.  Null texts are a piece of the
+    end id; an empty table gives no pieces."""
+    return packing.pack_documents(in_file_order(docs, "_position"), position="_position", cache=ENCODER_CACHE)
 
 
 STAGES = [

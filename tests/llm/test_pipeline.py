@@ -52,6 +52,22 @@ def test_stages(spark, sf_dir):
     assert sorted(packed) == sorted(map(tuple, mixed))
 
 
+@pytest.mark.parametrize("kind", ["several files a task", "other names"])
+def test_positions_whatever_the_files_are_called(spark, tmp_path, kind):
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(i, prose(rng, 8), "en", "s", 0) for i in range(60)], DOC).repartition(2)
+    docs.write.option("maxRecordsPerFile", 7).parquet(f"{tmp_path}/d")
+    if kind == "other names":
+        for k, f in enumerate(sorted((tmp_path / "d").glob("*.parquet"))):
+            f.rename(f.parent / f"docs_{k}.parquet")
+        for f in (tmp_path / "d").glob(".*crc"):
+            f.unlink()
+    rows = corpus_pipeline.in_file_order(spark.read.parquet(f"{tmp_path}/d"), "p").collect()
+    assert len({r.p for r in rows}) == len(rows) == 60
+    packed = [r.position for r in corpus_pipeline.pack(spark, spark.read.parquet(f"{tmp_path}/d"), "").collect()]
+    assert sorted(packed) == sorted(r.p for r in rows)
+
+
 def test_run_gives_the_same_pieces(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir).select("doc_id", "piece", "length", "ids_crc32").collect()
     again = corpus_pipeline.run(spark, sf_dir).select("doc_id", "piece", "length", "ids_crc32").collect()
