@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickframe.operators import indicators as ind
+from wickframe.sources.shared import cut
 
 
 def returns(bars: DataFrame, n: int = 42) -> DataFrame:
@@ -38,49 +41,47 @@ def peers(correlated: DataFrame, least: float = 0.7) -> DataFrame:
     return strong.select(F.col("a").alias("symbol"), F.col("b").alias("peer"), "r").unionByName(strong.select(F.col("b").alias("symbol"), F.col("a").alias("peer"), "r"))
 
 
-def vector_peers(vectors: DataFrame, least: float = 0.7, block: int = 4096) -> DataFrame:
-    """symbol, peer, r both ways, for r of at least `least`, of all pairs of (symbol long, v array<double>).  r is over
-    the positions that both have (a null component counts as missing); there is none without variance, with fewer than
-    two common positions or with non-finite components, nor between rows of one symbol.
+def _packed(t: pa.Table) -> pa.Table:
+    """A block of vectors as one row: ids and a matrix with NaN where a component is missing."""
+    col = t.column("v").combine_chunks()
+    lengths, flat = col.value_lengths().to_numpy(zero_copy_only=False), col.flatten()
+    there = np.arange(lengths.max()) < lengths[:, None]
+    m = np.full(there.shape, np.nan)
+    m[there] = flat.fill_null(0.0).to_numpy(zero_copy_only=False)
+    ok = np.isfinite(m).all(1, where=there)
+    there[there] = flat.is_valid().to_numpy(zero_copy_only=False)
+    m[~there] = np.nan
+    ids = t.column("symbol").to_numpy()[ok].astype("<i8")
+    return pa.table({"block": pa.array([t.column("block")[0].as_py()], pa.int64()), "n": pa.array([len(ids)], pa.int32()), "ids": [ids.tobytes()], "m": [m[ok].astype("<f8").tobytes()]})
 
-    Symbols are dealt to blocks by hash, and each pair of blocks is one matrix product, so what is sent grows with rows
-    times blocks.  Compared are all pairs, and the output grows with the square of the rows as they do."""
-    rows = vectors.select(F.col("symbol").cast("long").alias("symbol"), F.col("v").cast("array<double>").alias("v")).where("symbol is not null and size(v) > 0")
-    n = max(1, -(-rows.count() // block))
 
-    def pack(t: pa.Table) -> pa.Table:
-        col = t.column("v").combine_chunks()
-        lengths, flat = col.value_lengths().to_numpy(zero_copy_only=False), col.flatten()
-        there = np.arange(lengths.max()) < lengths[:, None]
-        m = np.full(there.shape, np.nan)
-        m[there] = flat.fill_null(0.0).to_numpy(zero_copy_only=False)
-        ok = np.isfinite(m).all(1, where=there)
-        there[there] = flat.is_valid().to_numpy(zero_copy_only=False)
-        m[~there] = np.nan
-        ids = t.column("symbol").to_numpy()[ok].astype("<i8")
-        return pa.table({"block": pa.array([t.column("block")[0].as_py()], pa.int32()), "n": pa.array([len(ids)], pa.int32()), "ids": [ids.tobytes()], "m": [m[ok].astype("<f8").tobytes()]})
+PACKED = "block long, n int, ids binary, m binary"
 
-    def compared(batches):
-        def load(count, ids, m):
-            x = np.frombuffer(m, "<f8").reshape(count, -1)
-            there = ~np.isnan(x)
-            mean = np.where(there, x, 0).sum(1, keepdims=True) / np.maximum(there.sum(1, keepdims=True), 1)
-            return np.frombuffer(ids, "<i8"), np.where(there, x - mean, 0), there
-
-        def moments(x, tx, y, ty):
-            """r where both rows lack components, from sums over the common positions."""
-            d = min(x.shape[1], y.shape[1])
-            x, y, tx, ty = x[:, :d] * tx[:, :d], y[:, :d], tx[:, :d].astype(float), ty[:, :d].astype(float)
-            k = np.maximum(tx @ ty.T, 1)
-            sx, sy = x @ ty.T, tx @ y.T
-            xx, yy = (x * x) @ ty.T, tx @ (y * y).T
-            vx, vy = xx - sx * sx / k, yy - sy * sy / k
-            vx, vy = np.where(vx > 1e-13 * xx, vx, 0), np.where(vy > 1e-13 * yy, vy, 0)
-            return np.where(tx @ ty.T >= 2, x @ y.T - sx * sy / k, np.nan) / np.sqrt(vx * vy)
-
-        def unit(x):
-            return x / np.sqrt((x * x).sum(1, keepdims=True))
 
+def _compared(least: float):
+    """Pairs of blocks (block, n, ids, m, and the same of block2) to the pairs of vectors with r of at least `least`."""
+
+    def load(count, ids, m):
+        x = np.frombuffer(m, "<f8").reshape(count, -1)
+        there = ~np.isnan(x)
+        mean = np.where(there, x, 0).sum(1, keepdims=True) / np.maximum(there.sum(1, keepdims=True), 1)
+        return np.frombuffer(ids, "<i8"), np.where(there, x - mean, 0), there
+
+    def moments(x, tx, y, ty):
+        """r where both rows lack components, from sums over the common positions."""
+        d = min(x.shape[1], y.shape[1])
+        x, y, tx, ty = x[:, :d] * tx[:, :d], y[:, :d], tx[:, :d].astype(float), ty[:, :d].astype(float)
+        k = np.maximum(tx @ ty.T, 1)
+        sx, sy = x @ ty.T, tx @ y.T
+        xx, yy = (x * x) @ ty.T, tx @ (y * y).T
+        vx, vy = xx - sx * sx / k, yy - sy * sy / k
+        vx, vy = np.where(vx > 1e-13 * xx, vx, 0), np.where(vy > 1e-13 * yy, vy, 0)
+        return np.where(tx @ ty.T >= 2, x @ y.T - sx * sy / k, np.nan) / np.sqrt(vx * vy)
+
+    def unit(x):
+        return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+    def compared(batches):
         for b in batches:
             for p in b.to_pylist():
                 if not p["n"] or not p["n2"]:
@@ -97,7 +98,119 @@ def vector_peers(vectors: DataFrame, least: float = 0.7, block: int = 4096) -> D
                         left, right, r = left[keep], right[keep], r[keep]
                         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([left, right])), pa.array(np.concatenate([right, left])), pa.array(np.concatenate([r, r]))], ["symbol", "peer", "r"])
 
-    packed = rows.withColumn("block", F.pmod(F.xxhash64("symbol"), F.lit(n)).cast("int")).groupBy("block").applyInArrow(pack, "block int, n int, ids binary, m binary")
-    one = packed.withColumn("block2", F.explode(F.sequence("block", F.lit(n - 1))))
-    other = packed.select(F.col("block").alias("block2"), F.col("n").alias("n2"), F.col("ids").alias("ids2"), F.col("m").alias("m2"))
-    return one.join(other, "block2").repartition(n * (n + 1) // 2, "block", "block2").mapInArrow(compared, "symbol long, peer long, r double")
+    return compared
+
+
+def _whole(vectors: DataFrame) -> DataFrame:
+    return vectors.select(F.col("symbol").cast("long").alias("symbol"), F.col("v").cast("array<double>").alias("v")).where("symbol is not null and size(v) > 0")
+
+
+def _second(packed: DataFrame) -> DataFrame:
+    return packed.select(F.col("block").alias("block2"), F.col("n").alias("n2"), F.col("ids").alias("ids2"), F.col("m").alias("m2"))
+
+
+def vector_peers(vectors: DataFrame, least: float = 0.7, block: int = 4096) -> DataFrame:
+    """symbol, peer, r both ways, for r of at least `least`, of all pairs of (symbol long, v array<double>).  r is over
+    the positions that both have (a null component counts as missing); there is none without variance, with fewer than
+    two common positions or with non-finite components, nor between rows of one symbol.
+
+    Symbols are dealt to blocks by hash, and each pair of blocks is one matrix product, so what is sent grows with rows
+    times blocks.  Compared are all pairs, and the output grows with the square of the rows as they do; strong_peers()
+    compares fewer where `least` is high."""
+    rows = _whole(vectors)
+    n = max(1, -(-rows.count() // block))
+    packed = rows.withColumn("block", F.pmod(F.xxhash64("symbol"), F.lit(n))).groupBy("block").applyInArrow(_packed, PACKED)
+    one = packed.withColumn("block2", F.explode(F.sequence("block", F.lit(n - 1).cast("long"))))
+    return one.join(_second(packed), "block2").repartition(n * (n + 1) // 2, "block", "block2").mapInArrow(_compared(least), "symbol long, peer long, r double")
+
+
+# ---------------------------------------------------------------- only neighbours
+#: Leading directions whose coordinates make the grid.
+LEAD = 4
+
+
+def directions(vectors: DataFrame, dims: int, lead: int) -> np.ndarray:
+    """The directions in which centred unit vectors (v) vary most: dims by lead.  Each task sends one matrix of dims by
+    dims."""
+
+    def gram(batches):
+        g = np.zeros((dims, dims))
+        for b in batches:
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+            g += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(dims), dims)), pa.array(np.tile(np.arange(dims), dims)), pa.array(g.ravel())], ["i", "j", "g"])
+
+    got = vectors.select("v").mapInArrow(gram, "i long, j long, g double").groupBy("i", "j").agg(F.sum("g").alias("g")).toArrow()
+    g = np.zeros((dims, dims))
+    g[got.column("i").to_numpy(), got.column("j").to_numpy()] = got.column("g").to_numpy()
+    values, basis = np.linalg.eigh(g)
+    return basis[:, np.argsort(-values)][:, :lead]
+
+
+def cells(vectors: DataFrame, dims: int, least: float, lead: int = LEAD) -> DataFrame:
+    """symbol, v, cell: the place of each vector (whole, of `dims` components) in a grid over its leading coordinates
+    once it is centred and of unit length.  Then r = 1 - d * d / 2 of their distance d, so vectors of r >= least lie
+    at most sqrt(2 - 2 * least) apart, in every coordinate too: with cells of that width they are in the same or in
+    adjacent ones.  Vectors without variance have no cell, nor any r."""
+    mean = F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / dims
+    centred = vectors.withColumn("_m", mean).withColumn("_c", F.transform("v", lambda x: x - F.col("_m")))
+    centred = centred.withColumn("_l", F.sqrt(F.aggregate("_c", F.lit(0.0), lambda a, x: a + x * x))).where("_l > 0")
+    unit = centred.select("symbol", F.col("v").alias("raw"), F.transform("_c", lambda x: x / F.col("_l")).alias("v"))
+    basis = directions(unit, dims, lead)
+    width = float(np.sqrt(max(2 - 2 * least, 0.0))) * (1 + 1e-9) + 1e-9  # some slack for rounding
+    at = [F.floor(F.aggregate(F.zip_with("v", F.array(*[F.lit(float(x)) for x in basis[:, k]]), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x) / width) for k in range(basis.shape[1])]
+    return unit.select("symbol", F.col("raw").alias("v"), F.array(*at).alias("cell"))
+
+
+def strong_peers(vectors: DataFrame, least: float = 0.9, block: int = 1024, lead: int = LEAD) -> DataFrame:
+    """vector_peers(), but vectors are only compared with those in the same or in adjacent cells of a grid: exact, and
+    far from all pairs where `least` is high.  A cell with more than `block` vectors is dealt to several blocks.
+    Vectors with missing components or another number of them than most have no place in the grid, and are compared
+    with all."""
+    blocks, pairs_of = _grid(vectors, least, block, lead)
+    if blocks is None:
+        return vectors.sparkSession.createDataFrame([], "symbol long, peer long, r double")
+    one = blocks.join(pairs_of, "block").join(_second(blocks), "block2")
+    n = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return one.repartition(n, "block", "block2").mapInArrow(_compared(least), "symbol long, peer long, r double")
+
+
+def _grid(vectors: DataFrame, least: float, block: int, lead: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Blocks of vectors (packed), and the pairs of blocks (block, block2) that must be compared."""
+    rows = cut(_whole(vectors))
+    sizes = rows.groupBy(F.size("v").alias("dims")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("k"), "dims").first()
+    if sizes is None:
+        return None, None
+    dims = sizes["dims"]
+    whole = (F.size("v") == dims) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    lead = min(lead, dims)
+    placed = cells(rows.where(whole), dims, least, lead)
+    loose = rows.where(~whole).select("symbol", "v", F.lit(None).cast("array<long>").alias("cell"))
+    placed = cut(placed.unionByName(loose))
+    # cells by their number of vectors, and with that of blocks
+    many = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("of"))
+    parts = many.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).select("cell", "of", "part")
+    parts = cut(parts.withColumn("block", F.monotonically_increasing_id()))
+    key = lambda d: d.withColumn("cell_", F.to_json(F.struct("cell")))
+    dealt = key(placed).join(key(many).select("cell_", "of"), "cell_").withColumn("part", F.pmod(F.xxhash64("symbol"), F.col("of")))
+    dealt = dealt.join(key(parts).select("cell_", "part", "block"), ["cell_", "part"])
+    blocks = cut(dealt.select("block", "symbol", "v").groupBy("block").applyInArrow(_packed, PACKED))
+    grid = parts.where("cell is not null").select("block", "cell")
+    offsets = F.array(*[F.array(*[F.lit(x) for x in o]) for o in itertools.product((-1, 0, 1), repeat=lead)])
+    near = grid.withColumn("o", F.explode(offsets)).select("block", F.zip_with("cell", "o", lambda a, b: a + b).alias("cell"))
+    pairs_of = near.join(grid.withColumnRenamed("block", "block2"), "cell").where("block <= block2").select("block", "block2")
+    # blocks without a place, with each block; among themselves once
+    alone = parts.where("cell is null").select("block", F.lit(0).alias("k"))
+    every = parts.select(F.col("block").alias("block2"), F.col("cell").isNull().alias("loose"), F.lit(0).alias("k"))
+    against = alone.join(every, "k").where("not loose or block <= block2").select("block", "block2")
+    return blocks, cut(pairs_of.unionByName(against))
+
+
+def compared_share(vectors: DataFrame, least: float, block: int = 1024, lead: int = LEAD) -> float:
+    """Of all pairs of vectors, the share that strong_peers() compares."""
+    blocks, pairs_of = _grid(vectors, least, block, lead)
+    n = blocks.select("block", F.col("n").cast("long").alias("n"))
+    both = pairs_of.join(n, "block").join(n.select(F.col("block").alias("block2"), F.col("n").alias("n2")), "block2")
+    done = both.agg(F.sum(F.when(F.col("block") == F.col("block2"), F.col("n") * (F.col("n") - 1) / 2).otherwise(F.col("n") * F.col("n2")))).first()[0]
+    total = n.agg(F.sum("n")).first()[0]
+    return done / (total * (total - 1) / 2)

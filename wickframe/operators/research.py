@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from wickframe.functions.scalar import div, r0, ramp
 from wickframe.operators import indicators as ind
 from wickframe.operators.indicators import SERIES
+from wickframe.sources.shared import cut
 
 
 def lift_table(rows: DataFrame, predicates: dict[str, Column], least: int = 30) -> DataFrame:
@@ -81,8 +84,8 @@ def split(rows: DataFrame, share: float = 0.7) -> DataFrame:
     times = rows.groupBy("ms").agg(F.count(F.lit(1)).alias("k"))
     total = F.sum("k").over(Window.partitionBy())
     upto = F.sum("k").over(Window.orderBy("ms"))
-    cut = times.withColumn("_t", total).withColumn("_u", upto).where(F.col("_u") > F.floor(F.col("_t") * share)).agg(F.min("ms").alias("cut"))
-    return rows.join(F.broadcast(cut)).withColumn("train", F.col("ms") < F.col("cut")).drop("cut")
+    limit = times.withColumn("_t", total).withColumn("_u", upto).where(F.col("_u") > F.floor(F.col("_t") * share)).agg(F.min("ms").alias("cut"))
+    return rows.join(F.broadcast(limit)).withColumn("train", F.col("ms") < F.col("cut")).drop("cut")
 
 
 #: Fixed values of five additive scores: weights, penalty for flat funding, penalty for thin trading.
@@ -131,25 +134,39 @@ def standardised(rows: DataFrame, cols: tuple = FEATURES) -> DataFrame:
     return d.drop(*[f"_{c}" for c in cols])
 
 
-def logistic_fit(rows: DataFrame, cols: tuple, rounds: int = 4000, rate: float = 0.3, l2: float = 1e-3) -> tuple[list[float], float]:
+def logistic_fit(rows: DataFrame, cols: tuple, rounds: int = 4000, rate: float = 0.3, l2: float = 1e-3, per_task: int = 100_000) -> tuple[list[float], float]:
     """Weights and bias by gradient descent from zero on the rows' (z columns, hit), as many rounds as the reference's:
-    with rare hits (or misses) they end well before the optimum, so a faster way to that gives other weights.  One task
-    holds the training rows (a double for each column) and runs all rounds."""
-    data = rows.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)], F.col("hit").cast("double").alias("y"))
+    with rare hits (or misses) they end well before the optimum, so a faster way to that gives other weights.
+
+    One barrier stage: each task keeps its share of the rows, all rounds long, and in every round the tasks tell each
+    other their sums (a double for each column), add them up in the same order, and so have the same weights.  There
+    are at least two tasks, and one for every `per_task` rows as far as the cluster's cores go, since all must run at
+    once."""
+    data = cut(rows.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)], F.col("hit").cast("double").alias("y")))
     m = len(cols)
+    tasks = max(1, min(data.sparkSession.sparkContext.defaultParallelism, max(2, -(-data.count() // per_task))))
 
     def fit(batches):
+        from pyspark import BarrierTaskContext
+
+        context = BarrierTaskContext.get()
         parts = [np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]) for b in batches]
         d = np.concatenate([np.zeros((0, m + 1)), *parts])
         z, y = np.ascontiguousarray(d[:, :m]), d[:, m]
-        w, b = np.zeros(m), 0.0
+
+        def total(x: np.ndarray) -> np.ndarray:
+            return np.sum([np.frombuffer(bytes.fromhex(t)) for t in context.allGather(x.astype("<f8").tobytes().hex())], axis=0)
+
+        n, w, b = total(np.array([float(len(y))]))[0], np.zeros(m), 0.0
         with np.errstate(over="ignore"):
-            for _ in range(rounds if len(y) else 0):
+            for _ in range(rounds if n else 0):
                 e = 1 / (1 + np.exp(-(z @ w + b))) - y
-                w, b = w - rate * (e @ z / len(y) + l2 * w), b - rate * e.mean()
-        yield pa.RecordBatch.from_arrays([pa.array([w.tolist()], pa.list_(pa.float64())), pa.array([float(b)])], ["w", "b"])
+                g = total(np.append(e @ z, e.sum())) / n
+                w, b = w - rate * (g[:m] + l2 * w), b - rate * g[m]
+        if context.partitionId() == 0:
+            yield pa.RecordBatch.from_arrays([pa.array([w.tolist()], pa.list_(pa.float64())), pa.array([float(b)])], ["w", "b"])
 
-    w, b = data.repartition(1).mapInArrow(fit, "w array<double>, b double").first()
+    w, b = data.repartition(tasks).mapInArrow(fit, "w array<double>, b double", barrier=True).collect()[0]
     return list(w), b
 
 
@@ -205,15 +222,46 @@ def window_change(moves: DataFrame, series: DataFrame, before_ms: int, least: in
     return moves.select("symbol", "move_ms").join(g, ["symbol", "move_ms"], "left").select("symbol", "move_ms", F.coalesce("n", F.lit(0)).alias("n"), F.when(ok & (F.col("a") > 0), (F.col("b") / F.col("a") - 1) * 100).alias("change"), F.when(ok, F.col("m")).alias("mean"))
 
 
+def order_statistics(rows: DataFrame, by: list[str], values: list[str], picks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """by, n_<value> and <value>_<pick> of each group: how many values there are (nulls aside), and the one whose rank
+    (from 0) is picks[pick](n); null if there is none.  Groups with a null in `by` are left out.
+
+    All groups and columns in one range sort; a value's rank is its place in its partition and how many of its group
+    come in those before, so no task holds a group.  Equal values are dealt over partitions by a hash of their rows."""
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("of"), F.col(v).cast("double").alias("x")) for v in values])).alias("v")
+    key = [*by, "of"]
+    long = rows.dropna(subset=by).select(*by, F.xxhash64(*rows.columns).alias("salt"), each) if by else rows.select(F.xxhash64(*rows.columns).alias("salt"), each)
+    long = long.select(*by, "salt", "v.*").where("x is not null").repartitionByRange(*key, "x", "salt").sortWithinPartitions(*key, "x")
+    row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    placed = cut(long.select(*key, "x", F.spark_partition_id().alias("part"), row.alias("row")))
+    # a row for each group, column and partition that has some of it
+    parts = placed.groupBy(*key, "part").agg(F.count(F.lit(1)).alias("k"), F.min("row").alias("first"))
+    before = F.coalesce(F.sum("k").over(Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumn("before", before).withColumn("n", F.sum("k").over(Window.partitionBy(*key)))
+    want = F.explode(F.array(*[F.struct(F.lit(p).alias("pick"), f(F.col("n")).cast("long").alias("rank")) for p, f in picks.items()]))
+    at = parts.withColumn("p", want).select(*key, "part", "n", "before", "k", "first", "p.*").where("rank >= before and rank < before + k")
+    got = at.withColumn("row", F.col("first") + F.col("rank") - F.col("before")).join(placed, [*key, "part", "row"])
+    counts = [F.coalesce(F.max(F.when(F.col("of") == v, F.col("n"))), F.lit(0)).alias(f"n_{v}") for v in values]
+    return got.groupBy(*by).agg(*counts, *[F.max(F.when((F.col("of") == v) & (F.col("pick") == p), F.col("x"))).alias(f"{v}_{p}") for v in values for p in picks])
+
+
 def tiers(rows: DataFrame, by: str, values: list[str]) -> DataFrame:
-    """Medians by tier of `by`: 40 and more, 15 and more, the rest; n_upper_<v> is the upper median (an element)."""
+    """Medians by tier of `by`: 40 and more, 15 and more, the rest; upper_<v> is the upper median (an element)."""
     tier = F.when(F.col(by) >= 40, "40+").when(F.col(by) >= 15, "15-40").otherwise("rest")
-    upper = lambda v: F.element_at(F.array_sort(F.collect_list(v)), (F.floor(F.count(v) / 2) + 1).cast("int"))
-    return rows.groupBy(tier.alias("tier")).agg(F.count(F.lit(1)).alias("n"), *[F.median(v).alias(f"median_{v}") for v in values], *[upper(v).alias(f"upper_{v}") for v in values])
+    rows = rows.withColumn("tier", tier).select("tier", *values)
+    got = order_statistics(rows, ["tier"], values, {"low": lambda n: F.floor((n - 1) / 2), "high": lambda n: F.floor(n / 2)})
+    middle = [((F.col(f"{v}_low") + F.col(f"{v}_high")) / 2).alias(f"median_{v}") for v in values]
+    return rows.groupBy("tier").agg(F.count(F.lit(1)).alias("n")).join(got, "tier", "left").select("tier", "n", *middle, *[F.col(f"{v}_high").alias(f"upper_{v}") for v in values])
+
+
+def at_share(p: float) -> Callable[[Column], Column]:
+    """The pick of the element at floor(p * n), at most the last."""
+    return lambda n: F.least(n - 1, F.floor(n * p))
 
 
 def nearest_rank(values: str, p: float) -> Column:
-    """Aggregate: the element at floor(p * n) of the sorted values."""
+    """Aggregate for small groups, whose values fit in an array: the element at floor(p * n) of the sorted values.
+    order_statistics() has no such bound."""
     n = F.count(values)
     return F.element_at(F.array_sort(F.collect_list(values)), (F.least(n - 1, F.floor(n * p)) + 1).cast("int"))
 

@@ -122,9 +122,9 @@ def _report() -> str:
     return w.finished(c, "n", "n_target", "n_even", "n_stop", "n_time", keys='"group"', rounded=("win_pct", "avg_r", "total_r", "profit_factor", "max_drawdown"))
 
 
-def _paper() -> w.Chain:
+def _paper(stop: str = "stop", target: str = "tp2") -> w.Chain:
     c = w.Chain().results().grid().where("valid")
-    c.raw(f"select symbol, symbol || '-' || open_time_ms as id, open_time_ms + {w.DAY} as at_ms, entry, stop, tp2 from {{t}}")
+    c.raw(f"select symbol, symbol || '-' || open_time_ms as id, open_time_ms + {w.DAY} as at_ms, entry, {stop} as stop, {target} as tp2 from {{t}}")
     log = c.top
     c.raw(f"select l.id, min(b.open_time_ms) filter (b.low <= l.stop) as lost, min(b.open_time_ms) filter (b.high >= l.tp2) as won, arg_max(b.close, b.open_time_ms) as mark from {log} l left join t1 b on b.symbol = l.symbol and b.open_time_ms >= l.at_ms group by 1")
     c.raw(f"select l.*, lost, won, mark, lost is not null and (won is null or lost <= won) as is_lost from {log} l join {{t}} using (id)")

@@ -166,6 +166,16 @@ def correlated_vectors(s, d):
     return correlation.vector_peers(e, 0.2).select("symbol", "peer", sc.r("r").alias("r"))
 
 
+#: A threshold that few pairs of these vectors reach (they are nearly orthogonal).
+STRONG = 0.4
+
+
+def strong_vectors(s, d):
+    """Pairs of vectors above the threshold, compared only with their neighbours."""
+    e = src.table(s, d, "embeddings").select(F.col("vec_id").alias("symbol"), F.col("embedding").alias("v"))
+    return correlation.strong_peers(e, STRONG).select("symbol", "peer", sc.r("r").alias("r"))
+
+
 # ---------------------------------------------------------------- structure
 def with_pivots(s, d):
     return structure.with_pivots(ind.with_volume(ind.with_atr(src.daily(s, d))))
@@ -273,11 +283,14 @@ def zscores(s, d):
     return shown(z, *[f"z_{c}" for c in research.FEATURES], keys=("symbol", "open_time_ms"))
 
 
-def refit(s, d):
-    z = research.standardised(research.features(research.split(rows(s, d))))
-    cols = tuple(f"z_{c}" for c in research.FEATURES)
-    w, b = research.logistic_fit(z.where("train"), cols)
-    return s.createDataFrame([(c, float(x)) for c, x in zip((*cols, "bias"), (*w, b), strict=True)], "feature string, weight double")
+def fitted(rounds, rounded=False):
+    def run(s, d):
+        z = research.standardised(research.features(research.split(rows(s, d))))
+        cols = tuple(f"z_{c}" for c in research.FEATURES)
+        w, b = research.logistic_fit(z.where("train"), cols, rounds)
+        return s.createDataFrame([(c, float(x)) for c, x in zip((*cols, "bias"), (*w, b), strict=True)], "feature string, weight double").withColumn("weight", sc.r("weight") if rounded else F.col("weight"))
+
+    return run
 
 
 def overlap(s, d):
@@ -374,8 +387,9 @@ def tiers(s, d):
 
 def quantiles(s, d):
     e = replay.with_excursions(exits(s, d), ["fixed", "partial", "trail", "early_out"])
-    q = e.agg(F.count(F.lit(1)).alias("n"), *[research.nearest_rank("mfe", p).alias(f"mfe_{int(p * 100)}") for p in (0.5, 0.9)], *[research.nearest_rank("mae", p).alias(f"mae_{int(p * 100)}") for p in (0.5, 0.9)])
-    return shown(q, "n", "mfe_50", "mfe_90", "mae_50", "mae_90", keys=())
+    e = e.select("symbol", "bar_idx", "mfe", "mae")
+    q = research.order_statistics(e, [], ["mfe", "mae"], {str(int(p * 100)): research.at_share(p) for p in (0.5, 0.9)})
+    return shown(q.withColumnRenamed("n_mfe", "n"), "n", "mfe_50", "mfe_90", "mae_50", "mae_90", keys=())
 
 
 def flagship(s: SparkSession, d: str) -> DataFrame:
@@ -406,10 +420,10 @@ QUERIES = {
     "early_prefilter": lambda s, d: shown(early.prefilter(src.daily(s, d), TAPE), "momentum", "box_width", "vol_expand"),
     "early_metrics": early_metrics, "early_stage": early_query("stage"), "early_score": early_query("got_momentum", "got_change", "got_fresh", "thin", "score", "grade"),
     "early_plan": early_query("entry", "stop", "tp1", "tp2", "tp3", "risk_reward", "valid"), "early_view": early_view, "position_money": money,
-    "correlated_pairs": correlated, "correlated_vectors": correlated_vectors,
+    "correlated_pairs": correlated, "correlated_vectors": correlated_vectors, "strong_vectors": strong_vectors,
     "swing_labels": pivots, "structure_events": events, "structure_summary": summary, "equal_levels": levels, "sweep_low": sweep("low"), "sweep_high": sweep("high"), "target_liquidity": targets,
     "gaps": gaps, "order_blocks": blocks, "golden_cross_retest": retest, "noise": noise,
-    "forward_labels": forward, "topn_per_day": top_n, "lift_table": lifts, "score_bands": bands, "score_variants": variants, "chrono_split": chrono, "feature_zscores": zscores, "logistic_refit": refit, "overlap_counts": overlap,
+    "forward_labels": forward, "topn_per_day": top_n, "lift_table": lifts, "score_bands": bands, "score_variants": variants, "chrono_split": chrono, "feature_zscores": zscores, "logistic_refit": fitted(4000), "logistic_rounds": fitted(25, rounded=True), "overlap_counts": overlap,
     "exit_fixed": exit_query("fixed"), "exit_partial": exit_query("partial"), "exit_trailing": exit_query("trail"), "exit_early": exit_query("early_out"), "mfe_mae": excursions, "mfe_quantiles": quantiles,
     "exit_grid": exit_grid, "backtest_trades": backtest, "backtest_stats": backtest_stats, "control_arm": control, "funding_asof": funding, "run_up": runup, "pre_move": premove(0), "pre_move_lag": premove(24), "pre_move_oi": premove_oi, "tier_medians": tiers,
 }

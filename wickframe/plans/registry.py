@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from wickframe.plans import more, queries, sql
+from wickframe.plans import more, queries, sql, streams
 from wickframe.plans.queries import flagship
 
-QUERIES = queries.QUERIES | more.QUERIES
-ORACLE_SQL = sql.ORACLE_SQL | more.ORACLE_SQL
+QUERIES = queries.QUERIES | more.QUERIES | streams.QUERIES
+ORACLE_SQL = sql.ORACLE_SQL | more.ORACLE_SQL | streams.ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

@@ -351,7 +351,7 @@ def variant(w: dict, flat: int, thin: int) -> str:
     return f"cast(greatest(0, least(100, floor({total} - (case when abs(funding) < 0.00006::double then {flat} else 0 end) - (case when coalesce(turnover_24h, 0) < 1e6 then {thin} else 0 end) + 0.5::double))) as int)"
 
 
-def zscores() -> str:
+def _zscores() -> tuple[Chain, list[str]]:
     c = Chain().rows()
     cut = f"(select min(open_time_ms) from (select open_time_ms, sum(count(*)) over (order by open_time_ms) as u, sum(count(*)) over () as t from {c.top} group by 1) where u > floor(t * 0.7::double))"
     pos = lambda x: f"ln(greatest({x}, 0) + 1)"
@@ -359,7 +359,25 @@ def zscores() -> str:
     c.add(train=f"open_time_ms < {cut}", **f)
     s = c.top
     c.add(**{f"z_{k}": f"({k} - (select avg({k}) from {s} where train)) / coalesce(nullif((select stddev_pop({k}) from {s} where train), 0), 1)" for k in f})
-    return c.out(keys="symbol, open_time_ms", rounded=[f"z_{k}" for k in f])
+    return c, [f"z_{k}" for k in f]
+
+
+def zscores() -> str:
+    c, cols = _zscores()
+    return c.out(keys="symbol, open_time_ms", rounded=cols)
+
+
+def logistic(rounds: int) -> str:
+    """So many steps of gradient descent over the training rows, each a row of the recursion."""
+    c, cols = _zscores()
+    state = ", ".join([*(f"w{k}" for k in range(len(cols))), "b"])
+    line = " + ".join([*(f"w{k} * {z}" for k, z in enumerate(cols)), "b"])
+    steps = ", ".join([*(f"w{k} - 0.3::double * (avg(e * {z}) + 1e-3::double * w{k})" for k, z in enumerate(cols)), "b - 0.3::double * avg(e)"])
+    start = ", ".join(f"0::double as {x}" for x in state.split(", "))
+    c.parts.append(f"fit as (select 0 as k, {start} union all select k + 1, {steps} from (select f.*, z.*, 1 / (1 + exp(-({line}))) - cast(hit as double) as e from fit f, {c.top} z where z.train and f.k < {rounds}) group by k, {state})")
+    c.top = "fit"
+    arms = [f"select '{z}' as feature, {R(f'w{k}')} as weight from fit where k = {rounds}" for k, z in enumerate(cols)]
+    return f"with recursive {', '.join(c.parts)} " + " union all ".join([*arms, f"select 'bias', {R('b')} from fit where k = {rounds}"])
 
 
 def chrono() -> str:
@@ -549,11 +567,11 @@ def _build() -> dict[str, str]:
         "universe": UNIVERSE + " select symbol, base_asset, onboard_date_ms, p_partkey from u", "liquidity_top": LIQUIDITY, "stage3_long": stage3("long").out(rounded=S3), "stage3_short": stage3("short").out(rounded=S3), "candidates": _candidates(),
         "early_prefilter": c().box().momentum().dry().where("box_high is not null and (momentum is null or abs(momentum) >= 15)").out(rounded=("momentum", "box_width", "vol_expand")),
         "early_metrics": c().early().where("box_high is not null").out("breakout", "atr_rising", "above_ema200", "ema200_rising", rounded=METRICS), "early_stage": early("stage"), "early_score": early("thin", "score", "grade", rounded=("got_momentum", "got_change", "got_fresh")),
-        "early_plan": early("valid", rounded=("entry", "stop", "tp1", "tp2", "tp3", "risk_reward")), "early_view": _view(), "position_money": _money(), "correlated_pairs": correlated(), "correlated_vectors": VECTORS,
+        "early_plan": early("valid", rounded=("entry", "stop", "tp1", "tp2", "tp3", "risk_reward")), "early_view": _view(), "position_money": _money(), "correlated_pairs": correlated(), "correlated_vectors": VECTORS, "strong_vectors": VECTORS.replace("0.2::double", "0.4::double"),
         "swing_labels": c().pivots().swings().out("kind", "label", rounded=("price",)), "structure_events": c().pivots().events().out("type", rounded=("price",)), "structure_summary": _summary(), "equal_levels": _levels(), "sweep_low": sweep("low"), "sweep_high": sweep("high"), "target_liquidity": _targets(),
         "gaps": gaps(), "order_blocks": blocks(), "golden_cross_retest": retest(), "noise": _noise(),
         "forward_labels": c().early().labels().grid().out("label_a", rounded=("best_change", "peak_7", "peak_14", "trough_7")), "topn_per_day": top_n(), "lift_table": lifts(), "score_bands": bands(),
-        "score_variants": c().rows().out(*[f"{variant(*v)} as score_{k.lower()}" for k, v in VARIANTS.items()], keys="symbol, open_time_ms"), "chrono_split": chrono(), "feature_zscores": zscores(),
+        "score_variants": c().rows().out(*[f"{variant(*v)} as score_{k.lower()}" for k, v in VARIANTS.items()], keys="symbol, open_time_ms"), "chrono_split": chrono(), "feature_zscores": zscores(), "logistic_rounds": logistic(25),
         "overlap_counts": c().rows().out("count(*) filter (abs(momentum) >= 15 and abs(change_24h) >= 5) as both", "count(*) filter (abs(momentum) >= 15 and not coalesce(abs(change_24h) >= 5, false)) as only_a", "count(*) filter (not coalesce(abs(momentum) >= 15, false) and abs(change_24h) >= 5) as only_b", keys=""),
         "exit_fixed": one_exit("fixed"), "exit_partial": one_exit("partial"), "exit_trailing": one_exit("trail"), "exit_early": one_exit("early_out"), "mfe_mae": excursions().out(rounded=("mfe", "mae")), "mfe_quantiles": _quantiles(),
         "exit_grid": exit_grid(), "backtest_trades": finished(bt(), f"{R('partial_r')} as r", "partial_why as why", "cast(partial_k as bigint) as exit_k", "score", "stage"), "backtest_stats": backtest_stats(), "control_arm": control(), "funding_asof": _asof(),
