@@ -71,7 +71,8 @@ def age_days(onboard_ms: Column, as_of_ms: Column) -> Column:
 
 
 def overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
-    return F.greatest(a0, b0) <= F.least(a1, b1)
+    """Whether two ranges meet; null if one isn't there."""
+    return (a0 <= b1) & (b0 <= a1)
 
 
 def r_multiple(fill: Column, price: Column, risk: Column, cost: float) -> Column:

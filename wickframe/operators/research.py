@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from wickframe.functions.scalar import div, r0, ramp
 from wickframe.operators import indicators as ind
 from wickframe.operators.indicators import SERIES
+from wickframe.operators.reduce import Sums
 from wickframe.sources.shared import cut
 
 
@@ -138,8 +139,8 @@ def logistic_fit(rows: DataFrame, cols: tuple, rounds: int = 4000, rate: float =
     """Weights and bias by gradient descent from zero on the rows' (z columns, hit), as many rounds as the reference's:
     with rare hits (or misses) they end well before the optimum, so a faster way to that gives other weights.
 
-    One barrier stage: each task keeps its share of the rows, all rounds long, and in every round the tasks tell each
-    other their sums (a double for each column), add them up in the same order, and so have the same weights.  There
+    One barrier stage: each task keeps its share of the rows, all rounds long, and in every round the tasks add up
+    their sums (a double for each column, see reduce.py), and so have the same weights.  There
     are at least two tasks, and one for every `per_task` rows as far as the cluster's cores go, since all must run at
     once."""
     data = cut(rows.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)], F.col("hit").cast("double").alias("y")))
@@ -150,19 +151,17 @@ def logistic_fit(rows: DataFrame, cols: tuple, rounds: int = 4000, rate: float =
         from pyspark import BarrierTaskContext
 
         context = BarrierTaskContext.get()
+        sums = Sums(context)
         parts = [np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]) for b in batches]
         d = np.concatenate([np.zeros((0, m + 1)), *parts])
         z, y = np.ascontiguousarray(d[:, :m]), d[:, m]
-
-        def total(x: np.ndarray) -> np.ndarray:
-            return np.sum([np.frombuffer(bytes.fromhex(t)) for t in context.allGather(x.astype("<f8").tobytes().hex())], axis=0)
-
-        n, w, b = total(np.array([float(len(y))]))[0], np.zeros(m), 0.0
+        n, w, b = sums.total(np.array([float(len(y))]))[0], np.zeros(m), 0.0
         with np.errstate(over="ignore"):
             for _ in range(rounds if n else 0):
                 e = 1 / (1 + np.exp(-(z @ w + b))) - y
-                g = total(np.append(e @ z, e.sum())) / n
+                g = sums.total(np.append(e @ z, e.sum())) / n
                 w, b = w - rate * (g[:m] + l2 * w), b - rate * g[m]
+        sums.close()
         if context.partitionId() == 0:
             yield pa.RecordBatch.from_arrays([pa.array([w.tolist()], pa.list_(pa.float64())), pa.array([float(b)])], ["w", "b"])
 

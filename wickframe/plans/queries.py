@@ -437,19 +437,37 @@ def tape_symbols(s, d):
     return g.withColumn("new_listing", F.crc32("symbol") % 4 == 0)
 
 
-def reversal_results(s, d):
+def reversal_results(s, d, core_min=0.0):
     from wickframe.operators import reversal
 
-    return reversal.results(src.stacked(s, d), tape_symbols(s, d), dataclasses.replace(TAPE, reversal=dataclasses.replace(TAPE.reversal, core_min=0.0)))
+    return reversal.results(src.stacked(s, d), tape_symbols(s, d), dataclasses.replace(TAPE, reversal=dataclasses.replace(TAPE.reversal, core_min=core_min)))
 
 
-def reversal_query(s, d):
-    p = reversal_results(s, d).select("*", "plan.*")
-    return shown(p.withColumn("top", F.array_join("top_signals", ",")).withColumn("lost", F.array_join(F.transform("penalties", lambda x: x["key"]), ",")), "direction", "score", "grade", "stage", "absorption", "core_pct", "golden_cross", "near_ema200", "noisy", "top", "lost", "entry", "stop", "tp1", "tp2", "tp3", "risk_reward", "valid", keys=("symbol",))
+def reversal_query(core_min):
+    def run(s, d):
+        p = reversal_results(s, d, core_min).select("*", "plan.*")
+        p = p.withColumn("top", F.array_join("top_signals", ",")).withColumn("lost", F.array_join(F.transform("penalties", lambda x: x["key"]), ","))
+        return shown(
+            p, "direction", "score", "grade", "stage", "absorption", "core_pct", "golden_cross", "near_ema200", "noisy", "top", "lost",
+            "entry", "stop", "tp1", "tp2", "tp3", "risk_reward", "valid", keys=("symbol",))
+
+    return run
 
 
 def reversal_view(s, d):
     return funnel.view(reversal_results(s, d), TAPE, min_score=0, hide_noisy=False, sort="volume").select("rank", "symbol", "direction", "score", "grade")
 
 
-QUERIES |= {"reversal_scan": reversal_query, "reversal_view": reversal_view}
+#: A user's lists, and the least r of peers (prices of the tape are independent draws).
+FAVOURITES, EXCLUDED, PEER_R = ["AF", "AO", "NF", "RO"], ["AO"], 0.0
+
+
+def reversal_chosen(s, d):
+    """The favourites that aren't excluded, smallest 6-bar change first, with those of the shown whose returns go along."""
+    shown_rows = funnel.view(reversal_results(s, d), TAPE, min_score=0, hide_new=False, hide_noisy=False, favourites=FAVOURITES, excluded=EXCLUDED, sort="change")
+    peers = correlation.peers(correlation.pairs(correlation.returns(src.daily(s, d), TAPE.correlation_bars)), PEER_R)
+    got = funnel.visible_peers(shown_rows.select("rank", "symbol", "direction", "score"), peers)
+    return got.select("rank", "symbol", "direction", "score", "n_peers", F.array_join("closest", ",").alias("closest"), sc.r("top_r").alias("top_r"))
+
+
+QUERIES |= {"reversal_scan": reversal_query(0.0), "reversal_gated": reversal_query(TAPE.reversal.core_min), "reversal_view": reversal_view, "reversal_chosen": reversal_chosen}

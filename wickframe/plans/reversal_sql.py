@@ -192,7 +192,28 @@ def scan(cfg: Config, core_min: float = 0.0) -> str:
     return c.out("direction", "score", "grade", "stage", "absorption", "golden_cross", "near_ema200", "noisy", "top", "lost", "valid", keys="symbol", rounded=("core_pct", "entry", "stop", "tp1", "tp2", "tp3", "risk_reward"))
 
 
-def view(cfg: Config, core_min: float, where: str, order: str) -> w.Chain:
-    c = results(chain(), cfg).where(f"core_pct >= {core_min}").where(f"stage <> 5 and not new_listing and {where}")
+def view(cfg: Config, where: str, order: str) -> w.Chain:
+    c = results(chain(), cfg).where(f"stage <> 5 and {where}")
     c.where(f"true qualify row_number() over (order by score desc, symbol) <= {cfg.reversal.keep_top}")
     return c.add(rank=f"cast(row_number() over (order by {order}, symbol) as int)")
+
+
+def chosen(cfg: Config, favourites: list[str], excluded: list[str], least: float) -> str:
+    named = lambda xs: ", ".join(f"'{x}'" for x in xs)
+    c = view(cfg, f"symbol in ({named(favourites)}) and symbol not in ({named(excluded)})", "change_6h")
+    top = c.top
+    # returns of the daily bars, which are the 5m series of the stack
+    bars = c.raw(f"select *, lag(close) over {O} as prev, i - max(i) over {A} + {cfg.correlation_bars} as pos from t1 where tf = '5m'").top
+    kept = c.raw(f"select symbol, pos, (close - prev) / nullif(prev, 0) as ret from {bars} where pos >= 1 and prev is not null qualify count(*) over (partition by symbol) = {cfg.correlation_bars} and bool_and(prev > 0) over (partition by symbol)").top
+    both = c.raw(f"select a.symbol as symbol, b.symbol as peer, corr(a.ret, b.ret) as r from {kept} a join {kept} b on a.pos = b.pos and a.symbol <> b.symbol group by 1, 2").top
+    near = c.raw(f"select symbol, count(*) as n_peers, array_to_string((list(peer order by r desc, peer))[1:2], ',') as closest, max(r) as top_r from {both} where r >= {least} and symbol in (select symbol from {top}) and peer in (select symbol from {top}) group by 1").top
+    c.raw(f"select v.rank, v.symbol, v.direction, v.score, coalesce(n.n_peers, 0) as n_peers, n.closest, n.top_r from {top} v left join {near} n using (symbol)")
+    return c.out("rank", "direction", "score", "n_peers", "closest", keys="symbol", rounded=("top_r",))
+
+
+def oracle() -> dict[str, str]:
+    from wickframe.plans.queries import EXCLUDED, FAVOURITES, PEER_R, TAPE
+
+    seen = view(TAPE, "not new_listing", "quote_volume desc").out("rank", "direction", "score", "grade", keys="symbol")
+    return {
+        "reversal_scan": scan(TAPE), "reversal_gated": scan(TAPE, TAPE.reversal.core_min), "reversal_view": seen, "reversal_chosen": chosen(TAPE, FAVOURITES, EXCLUDED, PEER_R)}
