@@ -28,11 +28,12 @@ class Scan:
 
     def abort(self) -> None:
         self._stop.set()
-        self._spark.interruptTag(self.tag)
+        # a session's own tags are known to the thread that set them only
+        self._spark.sparkContext.cancelJobsWithTag(self.tag)
 
     def run(self, first: DataFrame, phases: list[tuple[str, Callable[[DataFrame], DataFrame]]]) -> DataFrame:
         table = first
-        self._spark.addTag(self.tag)
+        self._spark.sparkContext.addJobTag(self.tag)
         try:
             for name, phase in phases:
                 if self._stop.is_set():
@@ -48,5 +49,5 @@ class Scan:
                 if self._told:
                     self._told(*self.progress[-1])
         finally:
-            self._spark.removeTag(self.tag)
+            self._spark.sparkContext.removeJobTag(self.tag)
         return table

@@ -58,7 +58,8 @@ class Ordered(StatefulProcessor):
     def handleInitialState(self, key, initialState: Row, timerValues) -> None:
         """History in a row: bars, an array of rows like the stream's, which are stepped and put out nothing."""
         held, at = self._held(), 0
-        for row in sorted((r.asDict() for r in initialState.bars), key=lambda r: (r["at"], r["rank"])):
+        plain = lambda r: r if isinstance(r, dict) else r.asDict()
+        for row in sorted(map(plain, initialState.bars), key=lambda r: (r["at"], r["rank"])):
             self.step(held, row)
             at = row["at"]
         self._keep(held)
