@@ -18,8 +18,9 @@ from wickframe.llm.common import crc_mod, written
 #: Texts are long: so many rows go to a Python worker at once, a tenth of Spark's default, whose batches of some ten
 #: megabytes stay with the executors' buffers.  It changes no result.
 BATCH_ROWS = "1000"
-#: Chunks that an encoder keeps: fewer than by default, as executors have run other stages before.
-ENCODER_CACHE = 150_000
+#: Chunks that an encoder keeps, and bytes of text that it works on at once: fewer than by default, as executors have run
+#: other stages before and hold what these left in memory.
+ENCODER_CACHE, ENCODER_RUN = 40_000, 1 << 19
 
 
 def over_texts(stage):
@@ -77,7 +78,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 1024 tokens, along the training order: a row for each piece of a document.  The order is that of the
     table's files and of the rows in them; `position` tells a document's passes apart.  Null texts are a piece of the
     end id; an empty table gives no pieces."""
-    return packing.pack_documents(in_file_order(docs, "_position"), position="_position", cache=ENCODER_CACHE)
+    return packing.pack_documents(in_file_order(docs, "_position"), position="_position", cache=ENCODER_CACHE, run=ENCODER_RUN)
 
 
 STAGES = [

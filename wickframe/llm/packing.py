@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wickframe.llm.common import crc_ids, only, trim, written
-from wickframe.llm.tokens import CACHE, Encoder, batches, default_path
+from wickframe.llm.tokens import CACHE, RUN, Encoder, batches, default_path
 
 CAPACITY, SHARD, ISLANDS, POPULATION, GENERATIONS, EPOCHS = 1024, 8192, 3, 6, 8, 2
 #: Bits of a position within which documents stay together.
@@ -119,7 +119,7 @@ def evolve(sizes: np.ndarray, population: list[np.ndarray], capacity: int, rng,
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = 2, position: str | None = None, cache: int = CACHE) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = 2, position: str | None = None, cache: int = CACHE, run: int = RUN) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, salt: each document's ids and end_id; one of more than `capacity` ids
     is cut so that all pieces but the first are full.  Null text is empty.  If position names a column of docs (long,
     not null), pieces have it as `position`.  A table in the shared folder, so the random-looking salt of a piece is settled once."""
@@ -130,7 +130,7 @@ def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str |
         encoder, end, row = Encoder.of_worker(path, cache), np.array([end_id], np.uint32), 0
         for batch in parts:
             first = 0  # of the run, in the batch
-            for doc_ids, texts in batches(batch):
+            for doc_ids, texts in batches(batch, run):
                 out = [[] for _ in range(6)]
                 of = []
                 for k, (doc_id, ids) in enumerate(zip(doc_ids, encoder.encode(texts), strict=True)):
@@ -234,10 +234,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, island
     return items.groupBy("shard").cogroup(best.groupBy("shard")).applyInArrow(place, PIECES + ", position long" * ordered + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = 2, position: str | None = None, cache: int = CACHE) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = 2, position: str | None = None, cache: int = CACHE, run: int = RUN) -> DataFrame:
     """All documents as pieces in sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and position
-    if a column of docs gives one; cache: chunks that a worker's encoder keeps (memory against time).  An empty table gives none; null and empty texts are a piece of the end id."""
-    return pack(tokenized_pieces(docs, capacity, tokenizer, end_id, position, cache), capacity)
+    if a column of docs gives one; cache: chunks that a worker's encoder keeps, run: bytes of text that it works on at once (memory against time).  An empty table gives none; null and empty texts are a piece of the end id."""
+    return pack(tokenized_pieces(docs, capacity, tokenizer, end_id, position, cache, run), capacity)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,8 @@ from wickframe.llm.common import runs, utf8
 DEFAULT_FILE = "byte_bpe_50k.json"
 #: Chunks kept in memory by a worker.  The cache fills with the first, mostly frequent, ones; others are encoded anew.
 CACHE = 600_000
+#: Bytes of text that are encoded at once.
+RUN = 2 << 20
 #: White space other than space and line end, by Python's or Unicode's definition.
 _OTHER = "\t\r\v\f\x1c\x1d\x1e\x1f\x85\xa0                　"
 
@@ -153,7 +155,7 @@ class Encoder:
         return out
 
 
-def batches(batch: pa.RecordBatch, most: int = 2 << 20):
+def batches(batch: pa.RecordBatch, most: int = RUN):
     """(ids, texts) of runs of a batch's rows (doc_id, text) with about that many bytes; null is empty."""
     _, offsets = utf8(batch.column(1))
     for i, j in runs(offsets, most):
