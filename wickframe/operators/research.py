@@ -180,33 +180,84 @@ def run_up(bars: DataFrame) -> DataFrame:
     return d.groupBy(*SERIES).agg(last("d1"), last("d7"), last("d30"), F.greatest(F.lit(0.0), F.max("_r")).alias("runup"), F.count(F.lit(1)).alias("bars"), F.max_by("close", "bar_idx").alias("price"))
 
 
-def pre_move(bars: DataFrame, day: int = 24, pre: int = 48, week: int = 168, lag: int = 0) -> DataFrame:
-    """The window before each series' best change over `day` bars (ties: the first; `pre` bars must come before, and
-    `day` bars after it and one more): ranges, volume ratio, position, trends, drawdown and rising bars; with lag, as
-    seen so many bars earlier."""
-    w, c = ind.w, F.col("close")
-    ahead = F.lead("close", day).over(ind.o())
+def pre_state(bars: DataFrame, day: int = 24, pre: int = 48, week: int = 168, lag: int = 0, tag: str = "") -> DataFrame:
+    """Each bar with the window of `pre` bars before it, as seen `lag` bars earlier: ranges (and those a week before),
+    volume ratio, position, trends, fall from the high, rising bars.  tag ends the columns' names."""
+    w, n = ind.w, lambda c: f"{c}{tag}"
     prev = ind.back("close", 1 + lag)
     rng = lambda a, b: (F.max("high").over(w(a, b)), F.min("low").over(w(a, b)))
     h, lo = rng(-pre - lag, -1 - lag)
     bh, bl = rng(-pre - week - lag, -1 - week - lag)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*SERIES))
     i = F.col("bar_idx")
     enough = lambda k, x: F.when(i >= k + lag, x)
-    d = bars.withColumn("_up", (c > ind.back("close", 1)).cast("int"))
-    d = d.withColumn("move", F.when((i >= pre + lag) & (i < n - day) & (c > 0), (ahead / c - 1) * 100))
-    d = d.withColumn("range_pct", F.when(lo > 0, (h / lo - 1) * 100)).withColumn("base_range", enough(pre + week, F.when(bl > 0, (bh / bl - 1) * 100)))
+    d = bars.withColumn("_up", (F.col("close") > ind.back("close", 1)).cast("int"))
+    d = d.withColumn(n("range_pct"), F.when(lo > 0, (h / lo - 1) * 100)).withColumn(n("base_range"), enough(pre + week, F.when(bl > 0, (bh / bl - 1) * 100)))
     base_volume = enough(pre + week, F.avg("quote_volume").over(w(-pre - week - lag, -1 - pre - lag)))
-    d = d.withColumn("volume_ratio", F.when(base_volume > 0, F.avg("quote_volume").over(w(-pre - lag, -1 - lag)) / base_volume))
-    d = d.withColumn("position", F.when(h > lo, (prev - lo) / (h - lo) * 100))
+    d = d.withColumn(n("volume_ratio"), F.when(base_volume > 0, F.avg("quote_volume").over(w(-pre - lag, -1 - lag)) / base_volume))
+    d = d.withColumn(n("position"), F.when(h > lo, (prev - lo) / (h - lo) * 100))
     for name, k in (("r14", 14 * day), ("r30", 30 * day)):
         then = ind.back("close", k + lag)
-        d = d.withColumn(name, F.when(then > 0, (prev / then - 1) * 100))
+        d = d.withColumn(n(name), F.when(then > 0, (prev / then - 1) * 100))
     top = F.max("high").over(ind.o().rowsBetween(Window.unboundedPreceding, -1 - lag))
-    d = d.withColumn("from_high", F.when(top > 0, (prev / top - 1) * 100)).withColumn("up_bars", F.sum("_up").over(w(-pre - lag, -1 - lag)))
-    best = F.max_by(F.struct("move", "open_time_ms", "range_pct", "base_range", "volume_ratio", "position", "r14", "r30", "from_high", "up_bars"), F.when(F.col("move").isNotNull(), F.struct("move", (-i).alias("first"))))
-    out = d.groupBy(*SERIES).agg(best.alias("b")).where("b is not null").select(*SERIES, "b.*")
-    return out.withColumn("compress", F.when(F.col("base_range") > 0, F.col("range_pct") / F.col("base_range")))
+    d = d.withColumn(n("from_high"), F.when(top > 0, (prev / top - 1) * 100)).withColumn(n("up_bars"), F.sum("_up").over(w(-pre - lag, -1 - lag))).drop("_up")
+    return d.withColumn(n("compress"), F.when(F.col(n("base_range")) > 0, F.col(n("range_pct")) / F.col(n("base_range"))))
+
+
+def pre_move(bars: DataFrame, day: int = 24, pre: int = 48, week: int = 168, lag: int = 0) -> DataFrame:
+    """The pre_state() of each series' best change over `day` bars (ties: the first; `pre` bars must come before, and
+    `day` bars after it and one more)."""
+    i, c = F.col("bar_idx"), F.col("close")
+    n = F.count(F.lit(1)).over(Window.partitionBy(*SERIES))
+    d = pre_state(bars, day, pre, week, lag)
+    d = d.withColumn("move", F.when((i >= pre + lag) & (i < n - day) & (c > 0), (F.lead("close", day).over(ind.o()) / c - 1) * 100))
+    seen = F.struct("move", "open_time_ms", "range_pct", "base_range", "volume_ratio", "position", "r14", "r30", "from_high", "up_bars", "compress")
+    best = F.max_by(seen, F.when(F.col("move").isNotNull(), F.struct("move", (-i).alias("first"))))
+    return d.groupBy(*SERIES).agg(best.alias("b")).where("b is not null").select(*SERIES, "b.*")
+
+
+#: Conditions in a word of a bitmap.
+WORD = 62
+
+
+def bitmaps(rows: DataFrame, atoms: dict[str, Column]) -> DataFrame:
+    """n and hits of each combination of conditions that occurs: bits, words with a bit for each atom in their order.
+    One pass over the rows; a condition on a missing value doesn't hold."""
+    held = [F.when(F.coalesce(c, F.lit(False)), F.lit(1 << (k % WORD)).cast("long")).otherwise(F.lit(0).cast("long")) for k, c in enumerate(atoms.values())]
+    words = [sum(held[k + 1 : k + WORD], held[k]) for k in range(0, len(held), WORD)]
+    return rows.select(F.array(*words).alias("bits"), "hit").groupBy("bits").agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("h"))
+
+
+def _lifted(found: DataFrame, counts: DataFrame, *by: str, least: int) -> DataFrame:
+    """by, n, rate (%), lift of groups (by, n, h) against all rows of counts (n, h)."""
+    base = counts.agg(F.sum("n").alias("all_n"), F.sum("h").alias("all_h"))
+    out = found.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("h").alias("h")).where(F.col("n") >= least).join(F.broadcast(base))
+    rate = div(F.col("h"), F.col("n"))
+    return out.select(*by, "n", (rate * 100).alias("rate"), div(rate, div(F.col("all_h"), F.col("all_n"))).alias("lift"))
+
+
+def mask_lifts(rows: DataFrame, atoms: dict[str, Column], named: dict[str, tuple[str, ...]], least: int = 8) -> DataFrame:
+    """predicate, n, rate, lift of each atom and of each named conjunction of atoms that hold for at least `least` rows.
+    Rows are read once; the conjunctions are tested on the distinct bitmaps."""
+    place = {k: i for i, k in enumerate(atoms)}
+    masks = []
+    for name, parts in ({k: (k,) for k in atoms} | named).items():
+        words = [sum(1 << (place[p] % WORD) for p in parts if place[p] // WORD == w) for w in range(-(-len(atoms) // WORD))]
+        masks.append(F.struct(F.lit(name).alias("predicate"), F.array(*[F.lit(x).cast("long") for x in words]).alias("mask")))
+    counts = cut(bitmaps(rows, atoms))
+    holds = lambda m: F.forall(F.zip_with(m["mask"], F.col("bits"), lambda a, b: a.bitwiseAND(b) == a), lambda x: x)
+    found = counts.select("n", "h", F.explode(F.filter(F.array(*masks), holds)).alias("m")).select("n", "h", "m.predicate")
+    return _lifted(found, counts, "predicate", least=least)
+
+
+def pair_lifts(rows: DataFrame, atoms: dict[str, Column], least: int = 30) -> DataFrame:
+    """a < b, n, rate, lift of every two atoms that hold together for at least `least` rows.  A bitmap gives at most as
+    many pairs as there are of atoms, however many rows it stands for."""
+    counts = cut(bitmaps(rows, atoms))
+    bit = lambda k: F.col("bits")[k // WORD].bitwiseAND(F.lit(1 << (k % WORD)).cast("long")) != 0
+    names = F.array_compact(F.array(*[F.when(bit(k), F.lit(name)) for k, name in enumerate(atoms)]))
+    on = counts.select("n", "h", F.array_sort(names).alias("on")).withColumn("a", F.explode("on"))
+    both = on.withColumn("b", F.explode(F.filter("on", lambda x: x > F.col("a"))))
+    return _lifted(both, counts, "a", "b", least=least)
 
 
 def window_change(moves: DataFrame, series: DataFrame, before_ms: int, least: int = 10) -> DataFrame:
