@@ -229,3 +229,31 @@ def test_strong_peers_compare_neighbours_only(spark):
     print("compared share", share)
     assert share < 0.35
     assert correlation.strong_peers(d.where("symbol < 0"), 0.9).collect() == []
+
+
+# ---------------------------------------------------------------- pages
+def test_kline_pages_are_planned_by_symbol_and_time(spark, tmp_path):
+    from wickframe.sources import bars as src
+    from wickframe.sources import klines
+
+    d = src.indexed(spark.createDataFrame([(s, "1h", t, o, h, lo, c, 1.0, 2.0, 3, 0.5) for s, t, o, h, lo, c in bars(230)], klines.SCHEMA))
+    klines.write_pages(d, f"file://{tmp_path}/p", 50)
+    reader = lambda **o: klines.PageReader({"path": f"file://{tmp_path}/p", **{k: str(v) for k, v in o.items()}})
+    assert len(list(reader().pages())) == len(reader().partitions()) == 10
+    assert len(reader(symbols="A").partitions()) == 5
+    times = sorted(r.open_time_ms for r in d.where("symbol = 'A'").collect())
+    assert [p.symbol for p in reader(symbols="A", from_ms=times[60], to_ms=times[110]).partitions()] == ["A", "A"]
+    pushed = klines.FilteredPageReader({"path": f"file://{tmp_path}/p"})
+    time_filter = klines.GreaterThan(("open_time_ms",), times[160])
+    assert list(pushed.pushFilters([klines.EqualTo(("symbol",), "B"), time_filter])) == [time_filter] and len(pushed.partitions()) == 2
+    assert reader(symbols="nobody").partitions()[0].file == "" and list(reader().read(klines.Page("", ""))) == []
+    klines.register(spark)
+    got = spark.read.format("kline_pages").option("path", f"file://{tmp_path}/p").option("tf", "1h").load()
+    cols = [c.split()[0] for c in klines.SCHEMA.split(", ")]
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, d.select(*cols).collect()))
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        some = spark.read.format("kline_pages").option("path", f"file://{tmp_path}/p").option("pushdown", "true").load().where(f"symbol = 'B' and open_time_ms > {times[160]}")
+        assert some.count() == 69 and some.rdd.getNumPartitions() == 2
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")

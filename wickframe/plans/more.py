@@ -13,6 +13,7 @@ from wickframe.operators import indicators as ind
 from wickframe.plans import queries as q
 from wickframe.plans import sql as w
 from wickframe.sources import bars as src
+from wickframe.sources import klines
 from wickframe.sources.shared import base
 
 FOREVER, SEED, LEVERAGE = 4_102_444_800_000, 1_000_000.0, 3
@@ -102,8 +103,22 @@ def symbol_list(s: SparkSession, d: str) -> DataFrame:
     return named.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"), F.sum("trades").alias("trades"))
 
 
+#: What the page query asks for: symbols, and a span of open times.
+PAGE_SYMBOLS, PAGE_SPAN = ("AF", "NO", "RO"), (760_000_000_000, 860_000_000_000)
+
+
+def kline_pages(s: SparkSession, d: str) -> DataFrame:
+    """Some symbols' daily bars of some years, read from pages of raw klines; other pages aren't opened."""
+    path = f"{base(s)}/wickframe/pages-{uuid.uuid4().hex}"
+    klines.write_pages(src.daily(s, d), path, 200)
+    klines.register(s)
+    pages = s.read.format("kline_pages").option("path", path).option("symbols", ",".join(PAGE_SYMBOLS))
+    got = pages.option("from_ms", PAGE_SPAN[0]).option("to_ms", PAGE_SPAN[1]).load()
+    return q.shown(got, "open", "high", "low", "close", "volume", "quote_volume", "trades", "taker_buy_base")
+
+
 QUERIES = {
-    "backtest_report": backtest_report, "paper_trades": paper_trades, "paper_summary": paper_summary, "early_candidates": early_candidates, "candidate_context": candidate_context,
+    "kline_pages": kline_pages, "backtest_report": backtest_report, "paper_trades": paper_trades, "paper_summary": paper_summary, "early_candidates": early_candidates, "candidate_context": candidate_context,
     "new_gainers": new_gainers, "lifts_by_year": lifts_by_year, "model_comparison": model_comparison, "csv_round_trip": csv_round_trip, "symbol_list": symbol_list}
 
 
@@ -181,7 +196,9 @@ def _models() -> str:
     return c.add(lift="rate / nullif(base, 0)").out("n", keys="model", rounded=("rate", "lift", "top_rate"))
 
 
+_PAGED = "symbol in (" + ", ".join(f"'{x}'" for x in PAGE_SYMBOLS) + f") and open_time_ms between {PAGE_SPAN[0]} and {PAGE_SPAN[1]}"
 ORACLE_SQL = {
+    "kline_pages": w.Chain().where(_PAGED).out("trades", rounded=w.PX),
     "backtest_report": _report(), "paper_trades": _paper().out("state", "exit_ms", keys="id", rounded=("r",)), "paper_summary": _paper_summary(), "early_candidates": _early_candidates(), "candidate_context": _context(),
     "new_gainers": _new_gainers(), "lifts_by_year": _lifts_by_year(), "model_comparison": _models(),
     "csv_round_trip": w.run_ups().out("bars", keys="symbol, tf", rounded=("d1", "d7", "d30", "runup", "price")),
