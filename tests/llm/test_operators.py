@@ -764,3 +764,46 @@ def test_fragments_of_anchors_are_even():
     _, h = suffixes.anchors(data, np.array([0, len(data)]))
     n = np.bincount(suffixes._fragments(h, 100), minlength=100)
     assert n.max() < 4 * n.mean() and n.min() > 0
+
+
+def test_toxicity_query_learns_from_the_other_rows_only(spark, tmp_path):
+    """op8 on a small table: its scores are those of a sequential FTRL fit to the rows that aren't held out."""
+    rng = random.Random(8)
+    rows, marks = [], []
+    for i in range(240):
+        w = prose(rng, 30).split()
+        if i % 3 == 0:
+            w[rng.randrange(30)] = "vileword"
+        rows.append((i, " ".join(w), "en", "s", 0))
+        marks.append((i, 1, int(i % 3 == 0)))
+    held = [zlib.crc32(str(i).encode()) % 3 == 1 for i in range(240)]
+    wrong = [(i, q, 1 - t) if held[i] else (i, q, t) for i, q, t in marks]  # labels of held-out rows are never read
+    spark.createDataFrame(rows, DOC).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(wrong, "doc_id long, quality int, toxic int").repartition(3).write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in toxicity.op8_toxicity(spark, str(tmp_path)).collect()}
+    assert [got[i].held_out for i in range(240)] == held
+    known = spark.createDataFrame([r[:2] for r, h in zip(rows, held, strict=True) if not h], "doc_id long, text string")
+    ordered = known.orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
+    ids = ordered.column("doc_id").to_pylist()
+    places = lambda t: np.unique(toxicity.features(*utf8(pa.array([t])))[0])
+    texts = dict((r[0], r[1]) for r in rows)
+    x, y = [places(texts[i]) for i in ids], np.array([float(i % 3 == 0) for i in ids])
+    seen = Counter(p for r in x for p in r.tolist())
+    best = None
+    for share in toxicity.L1_SHARES:
+        z, n, heavy = defaultdict(float), defaultdict(float), (y == 0).sum() / y.sum()
+        weight = lambda i, l1: 0.0 if abs(z[i]) <= l1 else -(z[i] - np.sign(z[i]) * l1) / (1 + n[i] ** 0.5)  # noqa: B023, E731
+        for _ in range(toxicity.PASSES):
+            for r, t in zip(x, y, strict=True):
+                at = [(p, share * heavy) for p in r.tolist() if seen[p] >= toxicity.RARE] + [(-1, 0.0)]
+                ws = [weight(p, q) for p, q in at]
+                g = (1 / (1 + np.exp(-np.clip(sum(ws), -35, 35))) - t) * (heavy if t else 1)
+                for (p, _), w in zip(at, ws, strict=True):
+                    s = (n[p] + g * g) ** 0.5 - n[p] ** 0.5
+                    z[p] += g - s * w
+                    n[p] += g * g
+        want = [1 / (1 + np.exp(-(weight(-1, 0.0) + sum(weight(p, share * heavy) for p in places(texts[i]).tolist() if seen[p] >= toxicity.RARE)))) for i in range(240)]
+        off = max(abs(want[i] - got[i].score) for i in range(240))
+        best = off if best is None else min(best, off)
+    assert best < 1e-5
+    assert sum(got[i].predicted == (i % 3 == 0) for i in range(240) if held[i]) >= 0.95 * sum(held)
