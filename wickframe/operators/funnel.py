@@ -55,9 +55,9 @@ def candidates(d: DataFrame, cfg: Config, direction: str = "both") -> DataFrame:
     return d.where(want).withColumn("hint", hint).orderBy(F.desc(F.abs("change_6")), "symbol", "bar_idx").limit(cfg.candidate.keep)
 
 
-def tightest(d: DataFrame, keep: int = 50) -> DataFrame:
-    """Rows by squeeze, tightest first (unknown counts as 100), at most `keep`: what the early mode looks at closely."""
-    return d.orderBy(F.coalesce("squeeze", F.lit(100.0)), "symbol", "bar_idx").limit(keep)
+def most_traded(d: DataFrame, keep: int = 50) -> DataFrame:
+    """Rows by turnover, at most `keep`: what the early mode looks at closely."""
+    return d.orderBy(F.desc("quote_volume"), "symbol", "bar_idx").limit(keep)
 
 
 def ranked(results: DataFrame, by: str = "score", within: tuple = ()) -> DataFrame:

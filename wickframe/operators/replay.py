@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from wickframe.functions.scalar import div, r_multiple
 from wickframe.operators import indicators as ind
 from wickframe.operators.indicators import SERIES, w
+from wickframe.operators.structure import first_reach
 
 
 def with_length(bars: DataFrame) -> DataFrame:
@@ -186,17 +187,40 @@ def as_of(left: DataFrame, rates: DataFrame, value: str = "rate") -> DataFrame:
 
 
 def paper_resolved(log: DataFrame, bars: DataFrame, as_of_ms: int, cost: float = 0.0) -> DataFrame:
-    """Paper trades (id, symbol, at_ms, entry, stop, tp2) against bars that began at or after them and are over: lost at
-    the first low at the stop, won at the first high at the target, the loss first on a bar with both, else open and
-    marked at the last close."""
-    j = log.join(bars.where(F.col("close_time_ms") <= as_of_ms).select("symbol", "open_time_ms", "high", "low", "close"), "symbol", "left").where(F.col("open_time_ms").isNull() | (F.col("open_time_ms") >= F.col("at_ms")))
-    lost = F.min(F.when(F.col("low") <= F.col("stop"), F.col("open_time_ms"))).alias("lost")
-    won = F.min(F.when(F.col("high") >= F.col("tp2"), F.col("open_time_ms"))).alias("won")
-    g = log.join(j.groupBy("id").agg(lost, won, F.max_by("close", "open_time_ms").alias("mark")), "id", "left")
-    is_lost = F.col("lost").isNotNull() & (F.col("won").isNull() | (F.col("lost") <= F.col("won")))
-    state = F.when(is_lost, "loss").when(F.col("won").isNotNull(), "win").otherwise("open")
-    price = F.when(state == "loss", F.col("stop")).when(state == "win", F.col("tp2")).otherwise(F.coalesce("mark", "entry"))
-    return g.select(*log.columns, state.alias("state"), F.when(is_lost, F.col("lost")).otherwise(F.col("won")).alias("exit_ms"), div(price - F.col("entry"), F.col("entry") - F.col("stop")).alias("r"))
+    """Paper trades (id, symbol, at_ms, entry, stop, tp2) against bars (one series a symbol) that began at or after them
+    and are over: lost at the first low at the stop, won at the first high at the target, the loss first
+    on a bar with both, else open and marked at the last close.
+
+    A trade meets its first bar by as_of(), and the bars that reach its levels by first_reach(), so no trade is joined
+    with all later bars of its symbol."""
+    nth = F.row_number().over(Window.partitionBy("symbol").orderBy("open_time_ms")).cast("long") - 1
+    bars = bars.where(F.col("close_time_ms") <= as_of_ms).select("symbol", F.lit("").alias("tf"), nth.alias("bar_idx"), "open_time_ms", "high", "low", "close")
+    # the last bar that began before the trade; -1 if none did
+    keys = log.select("id", "symbol", (F.col("at_ms") - 1).alias("ms"), "stop", "tp2")
+    since = as_of(keys, bars.select("symbol", F.col("open_time_ms").alias("ms"), F.col("bar_idx").alias("before")), "before")
+    since = since.select("id", "symbol", F.lit("").alias("tf"), F.coalesce("before", F.lit(-1)).cast("long").alias("bar_idx"), "stop", "tp2")
+    levels = F.explode(F.array(F.struct(F.lit("stop").alias("side"), (-F.col("stop")).alias("level")), F.struct(F.lit("target").alias("side"), F.col("tp2").alias("level"))))
+    zones = since.select("id", "symbol", "tf", "bar_idx", levels.alias("z")).select("id", "symbol", "tf", "bar_idx", "z.*")
+    # several trades of a bar have levels of their own
+    zones = zones.withColumn("level", F.col("level").cast("double"))
+    asked = zones.select("symbol", "tf", "side", "bar_idx", "level").distinct()
+    sides = F.explode(F.array(F.struct(F.lit("stop").alias("side"), (-F.col("low")).alias("x")), F.struct(F.lit("target").alias("side"), F.col("high").alias("x"))))
+    steps = bars.select("symbol", "tf", F.col("bar_idx").cast("long").alias("k"), "close", sides.alias("s")).select("symbol", "tf", "s.side", "k", "s.x", "close")
+    found = first_reach(asked, steps).select("symbol", "tf", "side", "bar_idx", "level", "reached")
+    hit = zones.join(found, ["symbol", "tf", "side", "bar_idx", "level"], "left")
+    at = lambda side: F.max(F.when(F.col("side") == side, F.col("reached"))).alias(side)
+    both = hit.groupBy("id", "symbol", "bar_idx").agg(at("stop"), at("target"))
+    is_lost = F.col("stop").isNotNull() & (F.col("target").isNull() | (F.col("stop") <= F.col("target")))
+    both = both.select("id", "symbol", F.col("bar_idx").alias("_from"), is_lost.alias("_lost"), F.col("target").isNotNull().alias("_won"), F.when(is_lost, F.col("stop")).otherwise(F.col("target")).alias("_at"))
+    times = bars.select("symbol", F.col("bar_idx").cast("long").alias("_at"), F.col("open_time_ms").alias("exit_ms"))
+    end = bars.groupBy("symbol").agg(F.max_by("close", "bar_idx").alias("mark"), F.max("bar_idx").alias("_end"))
+    both = both.join(times, ["symbol", "_at"], "left").join(end, "symbol", "left").drop("symbol")
+    g = log.join(both, "id", "left")
+    state = F.when(F.col("_lost"), "loss").when(F.col("_won"), "win").otherwise("open")
+    # only bars from the trade on count as its mark
+    mark = F.when(F.col("_end") > F.col("_from"), F.col("mark"))
+    price = F.when(state == "loss", F.col("stop")).when(state == "win", F.col("tp2")).otherwise(F.coalesce(mark, "entry"))
+    return g.select(*log.columns, state.alias("state"), "exit_ms", div(price - F.col("entry"), F.col("entry") - F.col("stop")).alias("r"))
 
 
 def paper_summary(resolved: DataFrame, *by: str) -> DataFrame:

@@ -132,7 +132,7 @@ def first_reach(zones: DataFrame, bars: DataFrame, step: int = 64) -> DataFrame:
         down = got.withColumn("up", F.when(F.col("lv") == lv, F.col("at"))).join(below, [*on, "up"], "left").where((F.col("lv") < lv) | (F.col("_x") >= F.col("level")))
         first = F.struct(F.least("lv", F.lit(lv - 1)).alias("lv"), F.coalesce("_at", "at").alias("at"), F.coalesce("_close", "close").alias("close"))
         got = down.groupBy(*keys, "level").agg(F.min(first).alias("f")).select(*keys, "level", "f.*")
-    return zones.join(got.select(*keys, F.col("at").alias("reached"), F.col("close").alias("reached_close")), keys, "left")
+    return zones.join(got.select(*keys, "level", F.col("at").alias("reached"), F.col("close").alias("reached_close")), [*keys, "level"], "left")
 
 
 def gaps(df: DataFrame, cfg: Structure | None = None) -> DataFrame:

@@ -47,9 +47,9 @@ def paper_summary(s: SparkSession, d: str) -> DataFrame:
 
 
 def early_candidates(s: SparkSession, d: str) -> DataFrame:
-    """The tightest bars that pass the first filter of the early mode."""
+    """The most traded of the bars that pass the first filter of the early mode."""
     b = ind.with_squeeze(ind.with_bollinger(src.daily(s, d)), q.TAPE.early.squeeze)
-    return q.shown(funnel.tightest(early.prefilter(b, q.TAPE)), "squeeze", "momentum")
+    return q.shown(funnel.most_traded(early.prefilter(b, q.TAPE)), "squeeze", "momentum", "quote_volume")
 
 
 def candidate_context(s: SparkSession, d: str) -> DataFrame:
@@ -157,7 +157,7 @@ def _early_candidates() -> str:
     c = w.Chain().bands().add(ws=f"list(bb_width) filter (bb_width is not null) over {w.W(-99)}")
     c.add(squeeze="case when len(ws) = 100 and bb_width is not null then len([x for x in ws if x < bb_width]) * 100.0::double / 100 end")
     c.box().momentum().where("box_high is not null and (momentum is null or abs(momentum) >= 15)")
-    return c.where("true order by coalesce(squeeze, 100), symbol, i limit 50").out(rounded=("squeeze", "momentum"))
+    return c.where("true order by quote_volume desc, symbol, i limit 50").out(rounded=("squeeze", "momentum", "quote_volume"))
 
 
 def _context() -> str:
