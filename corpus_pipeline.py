@@ -15,20 +15,26 @@ from wickframe.llm import jaccard, langid, mixing, packing, suffixes
 from wickframe.llm.common import crc_mod, written
 
 
-#: Texts are long: so many rows go to a Python worker at once, a tenth of Spark's default, whose batches of some ten
-#: megabytes stay with the executors' buffers.  It changes no result.
-BATCH_ROWS = "1000"
+#: Settings of the session while it runs the pipeline; they change no result.  Texts are long, so a tenth of Spark's
+#: default of rows go to a Python worker at once (batches of some ten megabytes stay with the executors' buffers), and
+#: tasks read and shuffle less at a time, so their sorts take less of the heap.
+SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    "spark.sql.files.maxPartitionBytes": "32m",
+}
 #: Chunks that an encoder keeps, and bytes of text that it works on at once: fewer than by default, as executors have run
 #: other stages before and hold what these left in memory.
 ENCODER_CACHE, ENCODER_RUN = 40_000, 1 << 19
 
 
 def over_texts(stage):
-    """The stage, with short batches to and from Python workers in its session."""
+    """The stage, with SETTINGS in its session.  They stay there, as the stage's table is computed later."""
 
     @functools.wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        for key, value in SETTINGS.items():
+            spark.conf.set(key, value)
         return stage(spark, docs, sf_dir)
 
     return run_stage
