@@ -7,6 +7,7 @@ but the last return the columns of documents.
 from __future__ import annotations
 
 import functools
+import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,26 +16,33 @@ from wickframe.llm import jaccard, langid, mixing, packing, suffixes
 from wickframe.llm.common import crc_mod, written
 
 
-#: Settings of the session while it runs the pipeline; they change no result.  Texts are long, so a tenth of Spark's
+#: Upper bounds of the session's settings while it runs the pipeline; they change no result.  Texts are long, so a tenth of Spark's
 #: default of rows go to a Python worker at once (batches of some ten megabytes stay with the executors' buffers), and
 #: tasks read and shuffle less at a time, so their sorts take less of the heap.
 SETTINGS = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
-    "spark.sql.files.maxPartitionBytes": "32m",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": 1000,
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": 16 << 20,
+    "spark.sql.files.maxPartitionBytes": 32 << 20,
 }
 #: Chunks that an encoder keeps, and bytes of text that it works on at once: fewer than by default, as executors have run
 #: other stages before and hold what these left in memory.
 ENCODER_CACHE, ENCODER_RUN = 40_000, 1 << 19
 
 
+def in_bytes(value: str) -> int:
+    """A setting's number, which may end in a unit (k, m, g, with or without b)."""
+    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgt]?)b?", value.strip().lower()).groups()
+    return int(number) << (10 * "_kmgt".index(unit or "_"))
+
+
 def over_texts(stage):
-    """The stage, with SETTINGS in its session.  They stay there, as the stage's table is computed later."""
+    """The stage, with no setting of its session above SETTINGS.  They stay, as the stage's table is computed later."""
 
     @functools.wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        for key, value in SETTINGS.items():
-            spark.conf.set(key, value)
+        for key, most in SETTINGS.items():
+            if not 0 < in_bytes(spark.conf.get(key)) <= most:
+                spark.conf.set(key, str(most))
         return stage(spark, docs, sf_dir)
 
     return run_stage
