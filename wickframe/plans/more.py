@@ -14,7 +14,7 @@ from wickframe.plans import queries as q
 from wickframe.plans import sql as w
 from wickframe.sources import bars as src
 from wickframe.sources import klines
-from wickframe.sources.shared import base
+from wickframe.sources.shared import base, cut
 
 FOREVER, SEED, LEVERAGE = 4_102_444_800_000, 1_000_000.0, 3
 MODELS = ("A", "D")
@@ -103,6 +103,40 @@ def symbol_list(s: SparkSession, d: str) -> DataFrame:
     return named.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"), F.sum("trades").alias("trades"))
 
 
+#: Models side by side: exit rule, and the least score of the signals that it takes.
+EXITS = {"partial": ("partial", 40), "trailing": ("trail", 55)}
+
+
+def model_trades(s: SparkSession, d: str) -> DataFrame:
+    """Two models with exits and trades of their own: statistics of each, and how many of its entries the other shares."""
+    e = q.exits(s, d)
+    each = []
+    for name, (rule, least) in EXITS.items():
+        t = e.where(F.col("score") >= least).select("symbol", "tf", "bar_idx", f"{rule}.r", f"{rule}.why", F.col(f"{rule}.k").alias("exit_k"))
+        each.append(replay.cooled(t).withColumn("model", F.lit(name)))
+    both = cut(each[0].unionByName(each[1]))
+    entries = both.groupBy("symbol", "tf", "bar_idx").agg(F.count(F.lit(1)).alias("models"))
+    shared = both.join(entries, ["symbol", "tf", "bar_idx"]).groupBy("model").agg(F.count_if(F.col("models") == len(EXITS)).alias("shared"))
+    return q.shown(replay.trade_stats(both, "model").join(shared, "model"), "n", "shared", "win_pct", "avg_r", "total_r", "profit_factor", "n_target", "n_even", "n_stop", "n_time", keys=("model",))
+
+
+#: Bars that must lie behind a row of the feature table.
+AHEAD = 85
+
+
+def feature_table(s: SparkSession, d: str) -> DataFrame:
+    """The sixteen columns that the refit and the evaluation read, of every evaluation bar with two weeks behind it."""
+    m = q.labelled(s, d).withColumn("_oi", F.sum("volume").over(ind.past()))
+    then = ind.back("_oi", 72)
+    m = m.withColumn("oi_72", F.when(then > 0, (F.col("_oi") - then) / then * 100)).withColumn("stage", early.stage(q.TAPE))
+    shows = ~early.excluded(q.TAPE) & F.col("stage").isNotNull()
+    g = replay.grid(m, ahead=AHEAD).where("box_high is not null").withColumn("gate", F.coalesce(shows, F.lit(False)).cast("int"))
+    f4 = lambda c: sc.r(c, 4).alias(c)
+    return g.select(
+        "symbol", "open_time_ms", "gate", F.when(F.col("gate") == 1, F.col("stage")).alias("stage"), "score", sc.r(F.abs("funding"), 6).alias("crowd"), f4("momentum"), f4("vol_expand"), sc.r("age_days", 0).alias("age_days"),
+        f4("oi_72"), f4("change_24h"), sc.r("turnover_24h", 0).alias("turnover_24h"), f4("best_change"), f4("peak_7"), f4("peak_14"), f4("trough_7"))
+
+
 #: What the page query asks for: symbols, and a span of open times.
 PAGE_SYMBOLS, PAGE_SPAN = ("AF", "NO", "RO"), (760_000_000_000, 860_000_000_000)
 
@@ -118,7 +152,7 @@ def kline_pages(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "kline_pages": kline_pages, "backtest_report": backtest_report, "paper_trades": paper_trades, "paper_summary": paper_summary, "early_candidates": early_candidates, "candidate_context": candidate_context,
+    "model_trades": model_trades, "feature_table": feature_table, "kline_pages": kline_pages, "backtest_report": backtest_report, "paper_trades": paper_trades, "paper_summary": paper_summary, "early_candidates": early_candidates, "candidate_context": candidate_context,
     "new_gainers": new_gainers, "lifts_by_year": lifts_by_year, "model_comparison": model_comparison, "csv_round_trip": csv_round_trip, "symbol_list": symbol_list}
 
 
@@ -196,9 +230,32 @@ def _models() -> str:
     return c.add(lift="rate / nullif(base, 0)").out("n", keys="model", rounded=("rate", "lift", "top_rate"))
 
 
+def _model_trades() -> str:
+    c = w.all_exits()
+    signals = c.top
+    arms = []
+    for name, (rule, least) in EXITS.items():
+        c.top = signals
+        w.cooled(c.where(f"score >= {least}"), "symbol", f"{rule}_k", f"kept_{rule}")
+        arms.append(f"select '{name}' as model, symbol, i, {rule}_r as r, {rule}_why as why from {c.top}")
+    both = c.raw(" union all ".join(arms)).top
+    g = w.stats(c, "model", "r", "why").top
+    c.raw(f"select model, count(*) filter (k = {len(EXITS)}) as shared from (select *, count(*) over (partition by symbol, i) as k from {both}) group by 1")
+    c.raw(f"select g.*, x.shared from {g} g join {c.top} x using (model)")
+    return w.finished(c, "n", "shared", "n_target", "n_even", "n_stop", "n_time", keys="model", rounded=("win_pct", "avg_r", "total_r", "profit_factor"))
+
+
+def _feature_table() -> str:
+    c = w.Chain().early().labels().add(_oi=f"sum(volume) over {w.W(None)}", n_all=f"count(*) over {w.A}")
+    c.add(oi_72=f"case when lag(_oi, 72) over {w.O} > 0 then (_oi - lag(_oi, 72) over {w.O}) / lag(_oi, 72) over {w.O} * 100 end")
+    c.where(f"i >= 240 and (i - 240) % 6 = 0 and i < n_all - {AHEAD} and box_high is not null").add(gate="case when not coalesce(change_24h > 40, false) and stage is not null then 1 else 0 end")
+    f4 = [f"{w.R(x, 4)} as {x}" for x in ("momentum", "vol_expand", "oi_72", "change_24h", "best_change", "peak_7", "peak_14", "trough_7")]
+    return c.out("gate", "case when gate = 1 then stage end as stage", "score", f"{w.R('abs(funding)')} as crowd", f"{w.R('age_days', 0)} as age_days", f"{w.R('turnover_24h', 0)} as turnover_24h", *f4, keys="symbol, open_time_ms")
+
+
 _PAGED = "symbol in (" + ", ".join(f"'{x}'" for x in PAGE_SYMBOLS) + f") and open_time_ms between {PAGE_SPAN[0]} and {PAGE_SPAN[1]}"
 ORACLE_SQL = {
-    "kline_pages": w.Chain().where(_PAGED).out("trades", rounded=w.PX),
+    "model_trades": _model_trades(), "feature_table": _feature_table(), "kline_pages": w.Chain().where(_PAGED).out("trades", rounded=w.PX),
     "backtest_report": _report(), "paper_trades": _paper().out("state", "exit_ms", keys="id", rounded=("r",)), "paper_summary": _paper_summary(), "early_candidates": _early_candidates(), "candidate_context": _context(),
     "new_gainers": _new_gainers(), "lifts_by_year": _lifts_by_year(), "model_comparison": _models(),
     "csv_round_trip": w.run_ups().out("bars", keys="symbol, tf", rounded=("d1", "d7", "d30", "runup", "price")),

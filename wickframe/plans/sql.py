@@ -224,15 +224,15 @@ def excursions() -> Chain:
     return c.raw(f"select e.symbol, e.tf, e.open_time_ms, greatest(0, max((p.h - p.fill) / p.risk)) as mfe, least(0, min((p.l - p.fill) / p.risk)) as mae from {c.top} e join {c.paths} p on p.symbol = e.symbol and p.i = e.i and p.k <= e.out_by group by 1, 2, 3")
 
 
-def cooled(c: Chain, by: str, k: str) -> Chain:
+def cooled(c: Chain, by: str, k: str, kept: str = "kept") -> Chain:
     """Greedy, in order: a trade counts if it starts after the last kept one is over."""
     src = c.top
     keys = [x.strip() for x in by.split(",")]
     on = " and ".join(f"n.{x} = k.{x}" for x in keys)
-    c.raw(f"select {by}, min(i) as i from {src} group by {by} union all select n.{', n.'.join(keys)}, min(n.i) from kept k join {src} o on {on.replace('n.', 'o.')} and o.i = k.i join {src} n on {on} and n.i > o.{k} group by {', '.join('n.' + x for x in keys)}")
-    c.parts[-1] = c.parts[-1].replace(f"{c.top} as (", "kept as (", 1)
-    c.top = "kept"
-    return c.raw(f"select s.* from {src} s join kept using ({by}, i)")
+    c.raw(f"select {by}, min(i) as i from {src} group by {by} union all select n.{', n.'.join(keys)}, min(n.i) from {kept} k join {src} o on {on.replace('n.', 'o.')} and o.i = k.i join {src} n on {on} and n.i > o.{k} group by {', '.join('n.' + x for x in keys)}")
+    c.parts[-1] = c.parts[-1].replace(f"{c.top} as (", f"{kept} as (", 1)
+    c.top = kept
+    return c.raw(f"select s.* from {src} s join {kept} using ({by}, i)")
 
 
 def finished(c: Chain, *args, **kw) -> str:
