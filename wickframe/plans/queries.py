@@ -470,4 +470,10 @@ def reversal_chosen(s, d):
     return got.select("rank", "symbol", "direction", "score", "n_peers", F.array_join("closest", ",").alias("closest"), sc.r("top_r").alias("top_r"))
 
 
-QUERIES |= {"reversal_scan": reversal_query(0.0), "reversal_gated": reversal_query(TAPE.reversal.core_min), "reversal_view": reversal_view, "reversal_chosen": reversal_chosen}
+def timeframes(s, d):
+    """The state of each interval of each result, rounded."""
+    rows_ = reversal_results(s, d).select("symbol", F.explode("timeframes").alias("tf", "t")).select("symbol", "tf", "t.*")
+    return shown(rows_, *[c for c in rows_.columns if c not in ("symbol", "tf")], keys=("symbol", "tf"))
+
+
+QUERIES |= {"timeframe_summary": timeframes, "reversal_scan": reversal_query(0.0), "reversal_gated": reversal_query(TAPE.reversal.core_min), "reversal_view": reversal_view, "reversal_chosen": reversal_chosen}

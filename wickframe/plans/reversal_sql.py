@@ -211,9 +211,19 @@ def chosen(cfg: Config, favourites: list[str], excluded: list[str], least: float
     return c.out("rank", "direction", "score", "n_peers", "closest", keys="symbol", rounded=("top_r",))
 
 
+def timeframes(cfg: Config) -> str:
+    c = results(chain(), cfg)
+    side = lambda a, x: f"coalesce(case when direction = 'short' then {a}.has_bearish_{x} else {a}.has_bullish_{x} end, false) as {x}"
+    arm = lambda tf, a: (
+        f"select symbol, '{tf}' as tf, {a}.price as price, {', '.join(f'{a}.{x} as {x}' for x in ('rsi', 'ema_20', 'ema_50', 'vwap'))}, {a}.last_event as last_structure, {a}.last_label as last_label, {R(f'{a}.noise_volume', 2)} as rel_volume, "
+        f"case when {a}.cvd_slope > 0 then 'up' when {a}.cvd_slope < 0 then 'down' else 'flat' end as cvd, {side(a, 'gap')}, {side(a, 'block')} from {{t}}")
+    c.raw(" union all ".join(arm(tf, a) for tf, a in TF.items()))
+    return c.out("last_structure", "last_label", "cvd", "gap", "block", keys="symbol, tf", rounded=("price", "rsi", "ema_20", "ema_50", "vwap", "rel_volume"))
+
+
 def oracle() -> dict[str, str]:
     from wickframe.plans.queries import EXCLUDED, FAVOURITES, PEER_R, TAPE
 
     seen = view(TAPE, "not new_listing", "quote_volume desc").out("rank", "direction", "score", "grade", keys="symbol")
     return {
-        "reversal_scan": scan(TAPE), "reversal_gated": scan(TAPE, TAPE.reversal.core_min), "reversal_view": seen, "reversal_chosen": chosen(TAPE, FAVOURITES, EXCLUDED, PEER_R)}
+        "timeframe_summary": timeframes(TAPE), "reversal_scan": scan(TAPE), "reversal_gated": scan(TAPE, TAPE.reversal.core_min), "reversal_view": seen, "reversal_chosen": chosen(TAPE, FAVOURITES, EXCLUDED, PEER_R)}
