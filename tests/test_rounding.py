@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from wickframe.functions import scalar as sc
 from wickframe.plans import registry
 from wickframe.sources import bars as src
 
@@ -47,3 +48,14 @@ def test_millis_of_times_before_1970(spark):
     con = duckdb.connect()
     want = {x: con.sql(f"select epoch_ms(make_timestamp({x}::bigint))").fetchall()[0][0] for x in micros}
     assert {x.us: x.ms for x in d.collect()} == want
+
+
+def test_a_change_that_rounds_to_zero_has_no_sign(spark, tmp_path):
+    change = spark.createDataFrame([(0.004,), (-0.004,), (0.005,), (0.0,), (-0.006,)], "x double").select(sc.pct_text(F.col("x")).alias("t"))
+    assert [x.t for x in change.collect()] == ["0.00%", "0.00%", "+0.01%", "0.00%", "-0.01%"]
+    day = dt.datetime(2000, 1, 1)
+    lines = [(k, 1, 1, k % 2 + 1, 1.0, p, 0.0, 0.0, "A", "F", day + dt.timedelta(days=k // 2)) for k, p in enumerate([90_000.0, 90_001.5, 90_000.0, 89_998.5, 100.0, 200.0])]
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    spark.createDataFrame(lines, schema).write.parquet(str(tmp_path / "lineitem.parquet"))
+    want = from_sql("number_texts", lineitem=tmp_path / "lineitem.parquet")
+    assert sorted(map(tuple, registry.QUERIES["number_texts"](spark, str(tmp_path)).select(*want.columns).collect())) == sorted(want.fetchall())
