@@ -18,9 +18,16 @@ def test_all_vectors_are_correlated(spark):
     e = spark.read.parquet(f"{SMALL}/embeddings.parquet").orderBy("vec_id").toPandas()
     r = np.corrcoef(np.array(e.embedding.tolist(), float))
     want = {(int(e.vec_id[i]), int(e.vec_id[j])): r[i, j] for i, j in zip(*np.nonzero(r >= 0.2), strict=True) if i != j}
-    got = {(x.symbol, x.peer): x.r for x in QUERIES["correlated_vectors"](spark, SMALL).collect()}
+    pairs = correlation.vector_peers(spark.read.parquet(f"{SMALL}/embeddings.parquet").selectExpr("vec_id as symbol", "embedding as v"), 0.2)
+    got = {(x.symbol, x.peer): x.r for x in pairs.collect()}
     assert got.keys() == want.keys() and max(a for a, _ in want) >= 40
     assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    by_vector = {int(k): [x for (a, _), x in want.items() if a == k] for k in e.vec_id}
+    found = {x.symbol: x for x in QUERIES["correlated_vectors"](spark, SMALL).collect()}
+    assert found.keys() == by_vector.keys()
+    for k, rs in by_vector.items():
+        assert found[k].links == len(rs) and found[k].class_id == k
+        assert not rs or abs(found[k].strongest - max(rs)) < 1e-6 and abs(found[k].mean_r - sum(rs) / len(rs)) < 1e-6
 
 
 def test_vector_peers_equal_pairs_of_positions(spark):
