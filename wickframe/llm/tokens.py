@@ -6,6 +6,7 @@ So a text is the concatenation of such chunks, and each distinct chunk needs to
 from __future__ import annotations
 
 import gc
+import os
 import re
 import sys
 import types
@@ -53,6 +54,8 @@ class Encoder:
     Special-token strings in a text are read as the library reads them by default."""
 
     def __init__(self, path: str, cache: int = CACHE):
+        # the tasks of an executor take all its cores: threads of the library's own would only wait for each other
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -145,8 +148,9 @@ class Encoder:
         bare_new, led_new = self._found(self.bare, False), self._found(self.led, True)
         made = []
         for head, word, x, words in zip(first, heads, ids, lines, strict=True):
-            if None in x:
-                x = [led_new[w] if v is None else v for v, w in zip(x, words, strict=True)]
+            for k in range(x.count(None)):
+                at = x.index(None, at + 1 if k else 0)
+                x[at] = led_new[words[at]]
             made.append((bare_new[word] if head is None else head) + b"".join(x))
         out, at = [], 0
         for n in n_lines:
