@@ -42,3 +42,19 @@ def test_vectors_are_sent_as_often_in_larger_tables(spark):
 
     assert sent(1024, False) == sent(256, False) == correlation.BLOCKS
     assert sent(2048, True) < 1.5 * sent(512, True)
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+@pytest.mark.parametrize("links", [correlation.vector_links])
+def test_links_name_their_peers(spark, links, block):
+    """Every pair of r >= 0.6 comes out both ways, copies too; vectors without any come once."""
+    rows = rows_of(60)
+    rows += [(100, rows[0][1]), (101, rows[0][1]), (102, None), (103, []), (105, [1.0] * 8), (106, [*rows[1][1][:-1], None]), (107, rows[2][1][:6])]
+    d = spark.createDataFrame(rows, "symbol long, v array<double>").repartition(3)
+    p = correlation.peers(correlation.pairs(d.selectExpr("symbol", "posexplode(v) as (pos, ret)").where("ret is not null")), 0.6)
+    want = {(x.symbol, x.peer): x.r for x in p.collect()}
+    found = links(d, 0.6, block).collect()
+    got = {(x.symbol, x.peer): x.r for x in found}
+    without = {(k, None) for k, _ in rows} - {(a, None) for a, _ in want}
+    assert len(found) == len(got) and got.keys() == want.keys() | without and (100, 101) in want and (102, None) in without
+    assert all(abs(got[k] - r) < 1e-9 for k, r in want.items()) and all(got[k] is None for k in without)
