@@ -1,10 +1,14 @@
-"""Links by vector are the pairs counted, and vectors are sent a bounded number of times."""
+"""Links by vector are the pairs counted, no pair is left out, and vectors are sent a bounded number of times."""
+
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.test_rounding import from_sql
 from wickframe.operators import correlation
+from wickframe.plans.queries import QUERIES
 
 RNG = np.random.default_rng(5)
 
@@ -58,3 +62,19 @@ def test_links_name_their_peers(spark, links, block):
     without = {(k, None) for k, _ in rows} - {(a, None) for a, _ in want}
     assert len(found) == len(got) and got.keys() == want.keys() | without and (100, 101) in want and (102, None) in without
     assert all(abs(got[k] - r) < 1e-9 for k, r in want.items()) and all(got[k] is None for k in without)
+
+
+@pytest.mark.parametrize("name, least", [("correlated_vectors", 0.2)])
+def test_sql_and_query_have_all_pairs(spark, tmp_path, name, least):
+    rows = rows_of(60, 16)
+    rows += [(100, rows[0][1]), (101, rows[0][1]), (102, None), (103, None), (104, []), (105, [1.0] * 16)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    full = [k for k, v in rows if v and k != 105]
+    r = np.corrcoef(np.array([v for k, v in rows if k in full], np.float32).astype(float))
+    want = {(full[i], full[j]) for i, j in zip(*np.nonzero(r >= least), strict=True) if i != j}
+    sql, query = from_sql(name, embeddings=tmp_path / "embeddings.parquet"), QUERIES[name](spark, str(tmp_path))
+    got = Counter(map(tuple, query.collect()))
+    assert query.columns == sql.columns and got == Counter(sql.fetchall())
+    places = [query.columns.index(c) for c in ("symbol", "peer")]
+    pairs = Counter(tuple(x[k] for k in places) for x in got.elements())
+    assert max(pairs.values()) == 1 and {p for p in pairs if p[1] is not None} == want and len(want) > 100
