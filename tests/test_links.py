@@ -49,7 +49,7 @@ def test_vectors_are_sent_as_often_in_larger_tables(spark):
 
 
 @pytest.mark.parametrize("block", [7, 4096])
-@pytest.mark.parametrize("links", [correlation.vector_links])
+@pytest.mark.parametrize("links", [correlation.vector_links, correlation.strong_links])
 def test_links_name_their_peers(spark, links, block):
     """Every pair of r >= 0.6 comes out both ways, copies too; vectors without any come once."""
     rows = rows_of(60)
@@ -64,7 +64,7 @@ def test_links_name_their_peers(spark, links, block):
     assert all(abs(got[k] - r) < 1e-9 for k, r in want.items()) and all(got[k] is None for k in without)
 
 
-@pytest.mark.parametrize("name, least", [("correlated_vectors", 0.2)])
+@pytest.mark.parametrize("name, least", [("correlated_vectors", 0.2), ("strong_vectors", 0.4)])
 def test_sql_and_query_have_all_pairs(spark, tmp_path, name, least):
     rows = rows_of(60, 16)
     rows += [(100, rows[0][1]), (101, rows[0][1]), (102, None), (103, None), (104, []), (105, [1.0] * 16)]
